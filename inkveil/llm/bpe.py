@@ -39,7 +39,7 @@ class Vocabulary:
         self._split: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}  # by a, b < 2**20
 
     def merge(self, data: bytes, below: int | None = None) -> list[bytes]:
         """Plain BPE: the lowest-ranked neighbouring pair first, leftmost among equals."""
@@ -79,7 +79,8 @@ class Vocabulary:
     def follows(self, a: int, b: int) -> bool:
         if a == START:
             return True
-        known = self._follows.get((a, b))
+        key = a << 20 | b
+        known = self._follows.get(key)
         if known is None:
             ranks, known = self.ranks, True
             left = self._spine(b, 0, self._left)
@@ -93,63 +94,72 @@ class Vocabulary:
                     break
             if len(self._follows) > 2_000_000:
                 self._follows.clear()
-            self._follows[a, b] = known
+            self._follows[key] = known
         return known
 
 
 class Transducer:
     """Bytes in, token ids out.  At most ``max_states`` states are remembered; beyond that
-    the memo is emptied and refilled, which changes no output."""
+    the memo is emptied and refilled, which changes no output.
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 300_000):
+    A state is the last emitted token, the longest unfinished beginning of a token that the
+    input ends in, and for each live prefix (one for each unfinished beginning, the longest
+    first, and the whole input) its tokens since the last emitted one.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 400_000):
         self.v = vocabulary
         self.max_states = max_states
+        self.ends: dict[tuple[bytes, int], tuple] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # A state: last emitted token, bytes since it, and for each live prefix (bytes after
-        # it, its tokens since the last emitted one), the whole prefix last.
-        self.states = [(START, b"", ((0, ()),))]
+        self.states = [(START, b"", ((),))]
         self.number = {self.states[0]: 0}
         self.arcs: dict[int, tuple[tuple, int]] = {}  # by 256 * state + byte
 
+    def _end(self, open_: bytes, byte: int) -> tuple:
+        """What one more byte does to the unfinished beginnings: the tokens it completes and
+        the beginnings that stay, both by the live prefixes they start at, and the longest."""
+        v, whole, at = self.v, open_ + bytes((byte,)), [*range(len(open_) + 1)]
+        starts = [i for i in at if i == len(open_) or open_[i:] in v.prefixes]
+        done = [(n, v.ranks[whole[i:]]) for n, i in enumerate(starts) if whole[i:] in v.ranks]
+        stay = [n for n, i in enumerate(starts) if whole[i:] in v.prefixes]
+        found = self.ends[open_, byte] = (done, stay, whole[starts[stay[0]] :] if stay else b"")
+        return found
+
     def _step(self, state: int, byte: int) -> tuple[tuple, int]:
-        v = self.v
-        last, tail, live = self.states[state]
-        tail += bytes((byte,))
-        path = None
-        kept, ranks, prefixes, end = [], v.ranks, v.prefixes, len(tail) - 1
-        for after, tokens in live:
-            rest = tail[end - after :]
-            if path is None:
-                t = ranks.get(rest)
-                if t is not None and v.follows(tokens[-1] if tokens else last, t):
-                    path = tokens + (t,)
-            if rest in prefixes:
-                kept.append((after + 1, tokens))
-        if path is None:
+        last, open_, live = self.states[state]
+        done, stay, open_ = self.ends.get((open_, byte)) or self._end(open_, byte)
+        for n, token in done:
+            path = live[n]
+            if self.v.follows(path[-1] if path else last, token):
+                path += (token,)
+                break
+        else:
             raise ValueError("the vocabulary gives no segmentation: a byte is missing")
-        kept.append((0, path))
-        first, n = kept[0][1], 0
-        for token in first:
-            for _, tokens in kept:
-                if len(tokens) <= n or tokens[n] != token:
-                    break
-            else:
-                n += 1
-                continue
-            break
-        out = first[:n]
-        if n:
-            last = out[-1]
-            kept = [(after, tokens[n:]) for after, tokens in kept]
-        new = (last, tail[len(tail) - kept[0][0] :] if kept[0][0] else b"", tuple(kept))
+        kept, out = [live[n] for n in stay], ()
+        kept.append(path)
+        first, n = kept[0], 0
+        if first:
+            for token in first:
+                for tokens in kept:
+                    if len(tokens) <= n or tokens[n] != token:
+                        break
+                else:
+                    n += 1
+                    continue
+                break
+            if n:
+                out, last = first[:n], first[n - 1]
+                kept = [tokens[n:] for tokens in kept]
+        new = (last, open_, tuple(kept))
         to = self.number.get(new)
         if to is None:
             to = self.number[new] = len(self.states)
             self.states.append(new)
-        self.arcs[state << 8 | byte] = (out, to)
-        return out, to
+        arc = self.arcs[state << 8 | byte] = (out, to)
+        return arc
 
     def encode(self, data: bytes) -> tuple[int, ...]:
         if len(self.states) > self.max_states:
@@ -160,8 +170,8 @@ class Transducer:
             arc = arcs.get(state << 8 | byte)
             emitted, state = arc if arc is not None else self._step(state, byte)
             if emitted:
-                out.extend(emitted)
-        out.extend(self.states[state][2][-1][1])
+                out += emitted
+        out += self.states[state][2][-1]
         return tuple(out)
 
 
@@ -171,7 +181,7 @@ class Pieces(dict):
     When full, it becomes the older half and a new one is begun, so frequent pieces stay.
     """
 
-    def __init__(self, encode, pack, limit: int = 250_000):
+    def __init__(self, encode, pack, limit: int = 350_000):
         super().__init__()
         self.encode, self.pack, self.limit = encode, pack, limit
         self.older: dict = {}
