@@ -27,10 +27,10 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import Pieces, encoder_of
 from .common import batch, keyed_texts, pieces_of, staged
 
 CAPACITY, SEPARATOR = 1024, 2
@@ -65,8 +65,14 @@ def json_ranks(path: str) -> dict[bytes, int]:
     return {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
 
 
-def _encoder(path: str):
-    return encoder_of(path, public_tokenizers.PATTERN, json_ranks)
+_encodings: dict[str, tiktoken.Encoding] = {}
+
+
+def _encoding(path: str) -> tiktoken.Encoding:
+    """The file's vocabulary in the faster of the libraries that give its ids; special tokens' strings are ordinary text."""
+    if path not in _encodings:
+        _encodings[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=json_ranks(path), special_tokens={})
+    return _encodings[path]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -79,13 +85,12 @@ def piece_table(docs: DataFrame, path: str, capacity: int = CAPACITY, separator:
     end = np.array([separator], "<u4").tobytes()
 
     def run(batches):
-        e = _encoder(path)
-        memo = Pieces(e.piece, lambda ids: np.array(ids, "<u4").tobytes())
+        encode = _encoding(path).encode_to_numpy
         chunk, seen = TaskContext.get().partitionId(), defaultdict(int)
         for b in pieces_of(batches, rows=4096, size=4 << 20):
             rows = {name: [] for name in PIECES.names}
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = memoryview(b"".join(map(memo.__getitem__, e.pattern.findall(text))) + end)
+                ids = memoryview(encode(text, disallowed_special=()).astype("<u4").tobytes() + end)
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     values = (chunk, doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), seen[length])
                     seen[length] += 1
