@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from . import packing, quality, simhash, tokenize
+from . import media, neighbours, packing, quality, simhash, sitetree, substrings, tokenize
 from .common import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return substrings.dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+def op2_neighbours(spark, sf_dir):
+    return neighbours.every_fiftieth(table(spark, sf_dir, "embeddings"))
+
+
+def op3_flac(spark, sf_dir):
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark, sf_dir):
+    return substrings.dedup_words(table(spark, sf_dir, "documents"))
+
+
+def op6_site_tree(spark, sf_dir):
+    return sitetree.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark, sf_dir):
     return tokenize.token_digests(table(spark, sf_dir, "documents"))
 
@@ -22,5 +42,11 @@ def op10_quality(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_byte_bpe, op8_simhash, op9_packing, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_neighbours, op3_flac, op4_substring_dedup, op6_site_tree,
+        op7_byte_bpe, op8_simhash, op9_packing, op10_quality,
+    )
+}
 ORACLES: dict[str, str] = {}

@@ -135,19 +135,31 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id (the smallest doc_id reachable over links, itself included)."""
-    fps = staged(fingerprints(docs), "fingerprints")
+def _groups(fps: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of staged fingerprints."""
     nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    groups = components(links(nodes.select("fp")))
-    of = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    found = components(links(nodes.select("fp")))
+    of = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(roots, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(of.join(roots, "root").select("fp", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id (the smallest doc_id reachable over links, itself included)."""
+    found = _groups(staged(fingerprints(docs), "fingerprints"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component.  Of rows that repeat a doc_id, one stays."""
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The row of docs with the smallest doc_id of each component.
+
+    Where rows repeat that doc_id, one of them stays.  Rows without a doc_id have no place
+    in that order: they stay if no row of their component has one, and then all of them.
+    """
+    fps = staged(fingerprints(docs), "fingerprints")
+    found = staged(_groups(fps).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "kept")
+    kept = docs.join(found.distinct(), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
+        known = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+        kept = known.unionByName(kept.where(F.col("doc_id").isNull()))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
