@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, neighbours, packing, quality, simhash, sitetree, substrings, tokenize
+from . import licences, media, neighbours, packing, quality, simhash, sitetree, substrings, tokenize
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_substring_dedup(spark, sf_dir):
     return substrings.dedup_words(table(spark, sf_dir, "documents"))
 
 
+def op5_licences(spark, sf_dir):
+    return licences.licence_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_site_tree(spark, sf_dir):
     return sitetree.main_text(table(spark, sf_dir, "pages"))
 
@@ -45,7 +49,7 @@ def op10_quality(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_suffix_dedup, op2_neighbours, op3_flac, op4_substring_dedup, op6_site_tree,
+        op1_suffix_dedup, op2_neighbours, op3_flac, op4_substring_dedup, op5_licences, op6_site_tree,
         op7_byte_bpe, op8_simhash, op9_packing, op10_quality,
     )
 }
