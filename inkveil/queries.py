@@ -2,5 +2,175 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, functions as F
+
+from .functions import text as T
+from .operators import detect as D, layout as L
+from .plans import cards as C, sql as S
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _found(boxes: DataFrame) -> DataFrame:
+    return boxes.select(
+        "doc_id", F.col("priority").cast("long").alias("priority"), F.col("seq").cast("long").alias("seq"), *[F.round(c, 6).alias(c) for c in "xywh"], "label", "source"
+    )
+
+
+def _cards(spark, sf_dir, **more):
+    return D.on_pages(*C.card_words(spark, sf_dir, **more))
+
+
+def _documents(spark, sf_dir):
+    return D.on_pages(*C.document_words(spark, sf_dir))
+
+
+# --- text -------------------------------------------------------------------------------
+
+
+@query(
+    S.chain(
+        S.DOCUMENTS, S.WORDS,
+        select=f"SELECT doc_id, CAST(word_idx AS BIGINT) AS word_idx, {S.clean('text')} AS cleaned, {S.anchor('text')} AS anchor, {S.digits_of('text')} AS digits, "
+        f"{S.as_letter(S.clean('text'))} AS lettered FROM words",
+    )
+)
+def token_forms(spark, sf_dir):
+    """Cleaned, anchor, digit and letter forms of every token of the documents."""
+    words, _ = C.document_words(spark, sf_dir)
+    t = F.col("text")
+    return words.select("doc_id", "word_idx", T.clean(t).alias("cleaned"), T.anchor(t).alias("anchor"), T.digits_of(t).alias("digits"), T.as_letter(T.clean(t)).alias("lettered"))
+
+
+_PADDED = "lpad(CAST(o_orderkey * 7919 AS VARCHAR), 12, '2')"
+
+
+@query(
+    f"SELECT o_orderkey, {_PADDED} AS number, {S.verhoeff(_PADDED)} AS valid, regexp_full_match({_PADDED}, '[2-9][0-9]{{11}}') AS plausible FROM orders"
+)
+def verhoeff_ids(spark, sf_dir):
+    """Checksum and leading digit of twelve-digit numbers made of order keys."""
+    number = F.lpad((F.col("o_orderkey") * 7919).cast("string"), 12, "2")
+    return table(spark, sf_dir, "orders").select("o_orderkey", number.alias("number"), T.verhoeff(number).alias("valid"), T.looks_like_aadhaar(number).alias("plausible"))
+
+
+@query(
+    S.chain(
+        S.cards(), S.WORDS, S.LINED, S.LISTS,
+        select=f"SELECT doc_id, CAST(word_idx AS BIGINT) AS word_idx, {S.read_pan('text')} AS pan, reference, name_part, number_label FROM told",
+    )
+)
+def word_kinds(spark, sf_dir):
+    """What the words of cards could be: PAN, reference, part of a name, number label."""
+    words, _ = C.card_words(spark, sf_dir)
+    t = F.col("text")
+    return words.select(
+        "doc_id", "word_idx", T.read_pan(t).alias("pan"), T.looks_like_reference(t).alias("reference"), T.looks_like_name_part(t).alias("name_part"),
+        T.number_label(T.anchor(t)).alias("number_label"),
+    )
+
+
+# --- layout -----------------------------------------------------------------------------
+
+
+@query(
+    S.chain(
+        S.DOCUMENTS, S.WORDS, S.LINED,
+        select="SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, count(*) AS n_words, round(min(x), 6) AS x, round(min(y), 6) AS y, "
+        "round(max(x + w) - min(x), 6) AS w, round(max(y + h) - min(y), 6) AS h FROM lined GROUP BY doc_id, page_no, line_no",
+    )
+)
+def text_lines(spark, sf_dir):
+    """Lines by vertical overlap, and the rectangle around each."""
+    lined = L.lines(C.document_words(spark, sf_dir)[0])
+    return lined.groupBy("doc_id", "page_no", F.col("line_no").cast("long").alias("line_no")).agg(
+        F.count("*").alias("n_words"), *[F.round(c, 6).alias(n) for c, n in zip(L.union(), "xywh")]
+    ).drop("page_no")
+
+
+@query(
+    S.chain(
+        S.DOCUMENTS, S.WORDS, S.LINED, S.IDS,
+        select="SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CAST(run_no AS BIGINT) AS run_no, count(*) AS n_words, string_agg(digits, '' ORDER BY pos) AS digits "
+        "FROM pre GROUP BY doc_id, page_no, line_no, run_no",
+    )
+)
+def numeric_runs(spark, sf_dir):
+    """Runs of neighbouring numeric words and their digits."""
+    runs = L.numeric_runs(L.lines(C.document_words(spark, sf_dir)[0]))
+    digits = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "digits"))), lambda s: s["digits"]), "")
+    return runs.groupBy("doc_id", "page_no", F.col("line_no").cast("long").alias("line_no"), F.col("run_no").cast("long").alias("run_no")).agg(
+        F.count("*").alias("n_words"), digits.alias("digits")
+    ).drop("page_no")
+
+
+# --- detectors --------------------------------------------------------------------------
+
+
+@query(S.detector(S.DOCUMENTS, "ids", S.IDS))
+def id_numbers(spark, sf_dir):
+    """Aadhaar numbers and virtual ids in the documents."""
+    return _found(D.id_numbers(_documents(spark, sf_dir)))
+
+
+@query(S.detector(S.cards(), "ids", S.IDS))
+def card_id_numbers(spark, sf_dir):
+    return _found(D.id_numbers(_cards(spark, sf_dir)))
+
+
+@query(S.detector(S.cards(8_000_000_000), "pans", S.PANS))
+def pan_words(spark, sf_dir):
+    """PANs on cards whose phone numbers read like PANs too (D3)."""
+    return _found(D.pans(_cards(spark, sf_dir, phone_base=8_000_000_000)))
+
+
+@query(S.detector(S.cards(), "dates", S.DATES))
+def dates(spark, sf_dir):
+    return _found(D.dates(_cards(spark, sf_dir)))
+
+
+@query(S.detector(S.cards(), "numbers", S.LISTS, S.NUMBERS))
+def labelled_numbers(spark, sf_dir):
+    return _found(D.labelled_numbers(D.rows(_cards(spark, sf_dir))))
+
+
+@query(S.detector(S.cards(), "names", S.LISTS, S.NAMES))
+def names(spark, sf_dir):
+    return _found(D.names(D.rows(_cards(spark, sf_dir))))
+
+
+@query(S.detector(S.cards(), "addresses", S.ADDRESSES))
+def addresses(spark, sf_dir):
+    return _found(D.addresses(D.rows(_cards(spark, sf_dir))))
+
+
+def card_boxes(spark, sf_dir, phone_base=8_000_000_000):
+    return D.suppress(D.detect(_cards(spark, sf_dir, phone_base=phone_base)))
+
+
+@query(S.detector(S.cards(8_000_000_000), "boxes", *S.ALL))
+def boxes_all(spark, sf_dir):
+    """All detectors in order of priority, and what is left after suppression."""
+    return _found(card_boxes(spark, sf_dir))
+
+
+@query(S.detector(S.DOCUMENTS, "boxes", *S.ALL))
+def document_boxes(spark, sf_dir):
+    return _found(D.suppress(D.detect(_documents(spark, sf_dir))))
