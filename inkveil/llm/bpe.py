@@ -39,7 +39,7 @@ class Vocabulary:
         self._split: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
-        self._follows: dict[int, bool] = {}  # by a, b < 2**20
+        self.known: dict[int, bool] = {}  # by a, b < 2**20
 
     def merge(self, data: bytes, below: int | None = None) -> list[bytes]:
         """Plain BPE: the lowest-ranked neighbouring pair first, leftmost among equals."""
@@ -77,14 +77,12 @@ class Vocabulary:
         return memo[token]
 
     def follows(self, a: int, b: int) -> bool:
-        if a == START:
-            return True
         key = a << 20 | b
-        known = self._follows.get(key)
+        known = self.known.get(key)
         if known is None:
             ranks, known = self.ranks, True
             left = self._spine(b, 0, self._left)
-            for x, x_ends in self._spine(a, 1, self._right):
+            for x, x_ends in self._spine(a, 1, self._right) if a != START else ():
                 for y, y_ends in left:
                     r = ranks.get(x + y)
                     if r is not None and r < x_ends and r <= y_ends:
@@ -92,88 +90,125 @@ class Vocabulary:
                         break
                 if not known:
                     break
-            if len(self._follows) > 2_000_000:
-                self._follows.clear()
-            self._follows[key] = known
+            if len(self.known) > 1_000_000:
+                self.known.clear()
+            self.known[key] = known
         return known
 
 
+class _Open:
+    """An unfinished beginning of a token: what each next byte completes, what stays, what comes next."""
+
+    __slots__ = ("arcs", "text")
+
+    def __init__(self, text: bytes):
+        self.text = text
+        self.arcs: dict[int, tuple] = {}
+
+
 class Transducer:
-    """Bytes in, token ids out.  At most ``max_states`` states are remembered; beyond that
-    the memo is emptied and refilled, which changes no output.
+    """Bytes in, token ids out.
 
     A state is the last emitted token, the longest unfinished beginning of a token that the
     input ends in, and for each live prefix (one for each unfinished beginning, the longest
     first, and the whole input) its tokens since the last emitted one.
+
+    States become determined lazily, one for each input that leaves the known ones: its first
+    unknown arc is remembered, the rest of the input runs without being remembered.  So what
+    recurs is known after a few visits, and what never does costs no memory.  At most
+    ``max_states`` are kept; beyond that all are forgotten, which changes no output.
     """
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 250_000):
         self.v = vocabulary
         self.max_states = max_states
-        self.ends: dict[tuple[bytes, int], tuple] = {}
+        self.opens: dict[bytes, _Open] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states = [(START, b"", ((),))]
-        self.number = {self.states[0]: 0}
+        start = (START, self._open(b""), ((),))
+        self.states = [start]
+        self.number = {start: 0}
         self.arcs: dict[int, tuple[tuple, int]] = {}  # by 256 * state + byte
 
-    def _end(self, open_: bytes, byte: int) -> tuple:
+    def _open(self, text: bytes) -> _Open:
+        found = self.opens.get(text)
+        if found is None:
+            found = self.opens[text] = _Open(text)
+        return found
+
+    def _end(self, open_: _Open, byte: int) -> tuple:
         """What one more byte does to the unfinished beginnings: the tokens it completes and
         the beginnings that stay, both by the live prefixes they start at, and the longest."""
-        v, whole, at = self.v, open_ + bytes((byte,)), [*range(len(open_) + 1)]
-        starts = [i for i in at if i == len(open_) or open_[i:] in v.prefixes]
-        done = [(n, v.ranks[whole[i:]]) for n, i in enumerate(starts) if whole[i:] in v.ranks]
-        stay = [n for n, i in enumerate(starts) if whole[i:] in v.prefixes]
-        found = self.ends[open_, byte] = (done, stay, whole[starts[stay[0]] :] if stay else b"")
+        v, text, whole = self.v, open_.text, open_.text + bytes((byte,))
+        starts = [i for i in range(len(text) + 1) if i == len(text) or text[i:] in v.prefixes]
+        done = tuple((n, v.ranks[whole[i:]]) for n, i in enumerate(starts) if whole[i:] in v.ranks)
+        stay = tuple(n for n, i in enumerate(starts) if whole[i:] in v.prefixes)
+        found = open_.arcs[byte] = (done, stay, self._open(whole[starts[stay[0]] :] if stay else b""))
         return found
 
-    def _step(self, state: int, byte: int) -> tuple[tuple, int]:
-        last, open_, live = self.states[state]
-        done, stay, open_ = self.ends.get((open_, byte)) or self._end(open_, byte)
-        for n, token in done:
-            path = live[n]
-            if self.v.follows(path[-1] if path else last, token):
-                path += (token,)
-                break
-        else:
-            raise ValueError("the vocabulary gives no segmentation: a byte is missing")
-        kept, out = [live[n] for n in stay], ()
-        kept.append(path)
-        first, n = kept[0], 0
-        if first:
-            for token in first:
-                for tokens in kept:
-                    if len(tokens) <= n or tokens[n] != token:
-                        break
-                else:
-                    n += 1
-                    continue
-                break
-            if n:
-                out, last = first[:n], first[n - 1]
-                kept = [tokens[n:] for tokens in kept]
-        new = (last, open_, tuple(kept))
-        to = self.number.get(new)
-        if to is None:
-            to = self.number[new] = len(self.states)
-            self.states.append(new)
-        arc = self.arcs[state << 8 | byte] = (out, to)
-        return arc
+    def _run(self, state: tuple, data: bytes, out: list[int]) -> tuple:
+        """Reads data from a state, adds what becomes final to out, and returns the state reached."""
+        last, open_, live = state
+        known, follows = self.v.known, self.v.follows
+        for byte in data:
+            done, stay, open_ = open_.arcs.get(byte) or self._end(open_, byte)
+            for n, token in done:
+                path = live[n]
+                a = path[-1] if path else last
+                ok = known.get(a << 20 | token)
+                if ok or ok is None and follows(a, token):
+                    break
+            else:
+                raise ValueError("the vocabulary gives no segmentation: a byte is missing")
+            kept = [live[n] for n in stay]
+            kept.append(path + (token,))
+            first = kept[0]
+            if first:
+                n = 0
+                for token in first:
+                    for tokens in kept:
+                        if len(tokens) <= n or tokens[n] != token:
+                            break
+                    else:
+                        n += 1
+                        continue
+                    break
+                if n:
+                    out += first[:n]
+                    last = first[n - 1]
+                    kept = [tokens[n:] for tokens in kept]
+            live = kept
+        return last, open_, tuple(live)
 
     def encode(self, data: bytes) -> tuple[int, ...]:
-        if len(self.states) > self.max_states:
-            self._reset()
         out: list[int] = []
         state, arcs = 0, self.arcs
-        for byte in data:
+        for at, byte in enumerate(data):
             arc = arcs.get(state << 8 | byte)
-            emitted, state = arc if arc is not None else self._step(state, byte)
+            if arc is None:
+                return self._leave(state, data, at, out)
+            emitted, state = arc
             if emitted:
                 out += emitted
         out += self.states[state][2][-1]
         return tuple(out)
 
+    def _leave(self, state: int, data: bytes, at: int, out: list[int]) -> tuple[int, ...]:
+        before = len(out)
+        reached = self._run(self.states[state], data[at : at + 1], out)
+        if len(self.states) >= self.max_states:
+            self._reset()
+        else:
+            to = self.number.get(reached)
+            if to is None:
+                to = self.number[reached] = len(self.states)
+                self.states.append(reached)
+            self.arcs[state << 8 | data[at]] = (tuple(out[before:]), to)
+        reached = self._run(reached, data[at + 1 :], out)
+        out += reached[2][-1]
+        return tuple(out)
+
 
 class Pieces(dict):
     """Memo from a piece of text to what ``pack`` makes of its ids.
