@@ -29,7 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import batch, keyed_texts, pieces_of, staged
 
@@ -46,7 +46,6 @@ PIECES = pa.schema(
     ]
 )
 PIECES_DDL = "chunk long, doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
-PLACED = pa.schema([(n, PIECES.field(n).type) for n in PIECES.names[1:6]] + [("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -181,16 +180,30 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sep
     of_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     found = slots(plan(of_length, capacity), capacity)
 
-    def place(batches):
-        for b in batches:
-            length = b.column("length").to_numpy()
-            rank = found["base"][length] + b.column("before").to_numpy() + b.column("nth").to_numpy()
-            at = np.searchsorted(found["first"], rank, side="right") - 1
-            rows = {n: b.column(n) for n in PLACED.names[:5]}
-            rows["sequence_id"] = found["sequence"][at] + rank - found["first"][at]
-            rows["offset"] = found["offset"][at]
-            yield batch(rows, PLACED)
-
-    return pieces.join(base, ["chunk", "length"]).mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    rank = F.lit(0).cast("long") + F.get(_longs(found["base"]), F.col("length").cast("int")) + F.col("before") + F.col("nth")
+    placed = pieces.join(base, ["chunk", "length"]).withColumn("rank", rank)
+    placed = placed.withColumn("at", _last_not_above(found["first"], F.col("rank")))
+    return placed.select(
+        "doc_id", "piece", "start", "length", "ids_crc32",
+        (F.get(_longs(found["sequence"]), F.col("at")) + F.col("rank") - F.get(_longs(found["first"]), F.col("at"))).alias("sequence_id"),
+        F.get(_longs(found["offset"]), F.col("at")).alias("offset"),
+    )
+
+
+def _longs(values: np.ndarray) -> Column:
+    """A constant array; one literal, however long."""
+    return F.split(F.lit(",".join(map(str, values.tolist())) or "0"), ",").cast("array<bigint>")
+
+
+def _last_not_above(ascending: np.ndarray, value: Column) -> Column:
+    """The index of the last number that is not above value, by bisection."""
+    numbers = _longs(ascending)
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["low"] + s["high"], 1)
+        up = F.get(numbers, mid) <= value
+        return F.struct(F.when(up, mid).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(mid).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(max(1, len(ascending))).alias("high"))
+    rounds = F.sequence(F.lit(1), F.lit(max(1, int(len(ascending)).bit_length())))
+    return F.aggregate(rounds, start, halve)["low"]
