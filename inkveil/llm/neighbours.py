@@ -35,9 +35,9 @@ SAMPLE, LEAF, FANOUT, RECALL, BLOCK, CALIBRATE = 16_384, 48, 8, 0.98, 4096, 400
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>) of the rows that take part."""
-    v = F.col("embedding").cast("array<double>")
-    ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """vec_id, v (floats as they are, else array<double>) of the rows that take part."""
+    v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
+    ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
         .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
@@ -148,6 +148,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     """
     spark = vectors.sparkSession
     everything = staged(usable(vectors), "vectors")
+    kind = dict(everything.dtypes)["v"]
+    numbers = pa.list_(pa.float32() if kind == "array<float>" else pa.float64())
     fitted = everything.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not fitted:
@@ -159,13 +161,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     tree.members = []
 
     def descend(batches):
-        out = pa.schema([("vec_id", pa.int64()), ("leaf", pa.int64()), ("v", pa.list_(pa.float64()))])
+        out = pa.schema([("vec_id", pa.int64()), ("leaf", pa.int64()), ("v", numbers)])
         for b in batches:
             if b.num_rows:
                 leaf = tree.descend(unit(_matrix(b.column("v"), dim)))
                 yield batch({"vec_id": b.column("vec_id"), "leaf": leaf, "v": b.column("v")}, out)
 
-    indexed = staged(everything.mapInArrow(descend, "vec_id long, leaf long, v array<double>"), "indexed")
+    indexed = staged(everything.mapInArrow(descend, f"vec_id long, leaf long, v {kind}"), "indexed")
     # One row for each leaf, so no more than the tree has.
     held = np.zeros(tree.leaves, np.int64)
     for r in indexed.groupBy("leaf").count().collect():
@@ -175,7 +177,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     blocks = indexed.groupBy("leaf", salt.alias("salt")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("rows"))
 
     def route(batches):
-        out = pa.schema([("query_id", pa.int64()), ("leaf", pa.int64()), ("q", pa.list_(pa.float64()))])
+        out = pa.schema([("query_id", pa.int64()), ("leaf", pa.int64()), ("q", numbers)])
         for b in batches:
             if not b.num_rows:
                 continue
@@ -193,8 +195,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
             at = pa.array(rows, pa.int64())
             yield batch({"query_id": b.column("query_id").take(at), "leaf": leaves, "q": b.column("q").take(at)}, out)
 
-    asked = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    routed = asked.mapInArrow(route, "query_id long, leaf long, q array<double>")
+    asked = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("v").cast(kind).alias("q"))
+    routed = asked.mapInArrow(route, f"query_id long, leaf long, q {kind}")
     askers = routed.groupBy("leaf", F.pmod(F.xxhash64("query_id"), F.lit(8)).alias("part")).agg(
         F.collect_list(F.struct("query_id", "q")).alias("asks")
     )
