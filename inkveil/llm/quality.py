@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from .common import keyed_texts, pieces_of
+from .common import keyed_texts, pieces_of, small_batches
 
 MAX_ROWS, FOLDS, THRESHOLD = 20_000, 5, 0.3
 STATISTICS = (
@@ -65,12 +65,13 @@ def statistics(text: bytes) -> tuple[float, ...]:
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with one double column ``_stat_*`` for each statistic."""
+    small_batches(docs.sparkSession)
     schema = StructType(list(docs.schema.fields))
     for name in STATISTICS:
         schema = schema.add(_PREFIX + name, "double")
 
     def run(batches):
-        for b in pieces_of(batches, size=8 << 20, column=text):
+        for b in pieces_of(batches, size=4 << 20, column=text):
             rows = np.array([statistics((t or "").encode()) for t in b.column(b.schema.get_field_index(text)).to_pylist()], np.float64)
             rows = rows.reshape(-1, len(STATISTICS))
             arrays = list(b.columns) + [pa.array(rows[:, i].copy()) for i in range(rows.shape[1])]

@@ -34,9 +34,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces_of, shared_path
+from .common import pieces_of, shared_path, small_batches
 
-CHUNK, SEGMENT, SPLIT = 8 << 20, 1 << 20, 4
+CHUNK, SEGMENT, SPLIT = 4 << 20, 1 << 18, 4
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 NO_ID = np.iinfo(np.int64).max
 
@@ -148,6 +148,7 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             yield emit(parts, (task << 32) | made)
 
     spark = docs.sparkSession
+    small_batches(spark)
     name = f"inkveil_chunks_{uuid.uuid4().hex}"
     (
         docs.mapInArrow(run, "chunk long, rows binary")

@@ -32,7 +32,7 @@ def byte_codes(text: bytes) -> np.ndarray:
 
 class _WordCodes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         code = xxhash.xxh64_intdigest(word, 42)
         if len(word) <= 64:
