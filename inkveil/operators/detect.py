@@ -16,10 +16,13 @@ from ..functions import geometry as G, text as T
 from .layout import PAGE, lines, numeric_runs
 
 BOX = (*PAGE, "priority", "seq", "x", "y", "w", "h", "label", "source")
-SEQ = F.col("line_no").cast("long") * 1_000_000 + F.col("pos")
 _LONG = "array<struct<start:int,stop:int>>"
 
 
+def _seq() -> Column:
+    return F.col("line_no").cast("long") * 1_000_000 + F.col("pos")
+
+
 def on_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     """lines(words) with the width and height of their page."""
     return lines(words.join(pages.select(*PAGE, "width", "height"), list(PAGE)))
@@ -89,7 +92,7 @@ def dates(lined: DataFrame) -> DataFrame:
     across = Window.partitionBy(*PAGE, "line_no").orderBy("pos").rowsBetween(-3, -1)
     labelled = F.coalesce(F.max(T.anchor(F.col("text")).isin(*schema.DATE_LABELS)).over(across), F.lit(False))
     found = lined.withColumn("labelled", labelled).where(T.is_date(F.col("text")) | (T.is_year(F.col("text")) & F.col("labelled")))
-    return _boxes(found, "dates", SEQ, G.rect(), F.lit("Date of birth"), F.lit("auto"))
+    return _boxes(found, "dates", _seq(), G.rect(), F.lit("Date of birth"), F.lit("auto"))
 
 
 def rows(lined: DataFrame) -> DataFrame:
@@ -129,7 +132,7 @@ def labelled_numbers(lined_rows: DataFrame) -> DataFrame:
     value = F.coalesce(*[F.get(F.filter(F.slice(c, 1, 4), lambda w: w["reference"]), F.lit(0)) for c in ("rest", "under1", "under2")])
     found = found.withColumn("value", value).where(F.col("value").isNotNull())
     v = F.col("value")
-    return _boxes(found, "numbers", SEQ, (v["x"], v["y"], v["w"], v["h"]), F.col("label.number_label"), F.lit("suggested"))
+    return _boxes(found, "numbers", _seq(), (v["x"], v["y"], v["w"], v["h"]), F.col("label.number_label"), F.lit("suggested"))
 
 
 def names(lined_rows: DataFrame) -> DataFrame:
@@ -147,7 +150,7 @@ def names(lined_rows: DataFrame) -> DataFrame:
         ok = first_not(F.col(c), lambda w: w["name_part"] & ~w["name_label"] & w["number_label"].isNull())
         found = found.withColumn(c, F.slice(c, 1, ok))
     value = F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in ("rest", "under1", "under2")])
-    found = found.withColumn("value", value).where(F.col("value").isNotNull()).withColumn("own", SEQ)
+    found = found.withColumn("value", value).where(F.col("value").isNotNull()).withColumn("own", _seq())
     # Of candidates made of the same words only the first counts: one stays iff it is the first to hold some word.
     each = found.select(*PAGE, "own", F.explode("value").alias("v"))
     first = each.withColumn("least", F.min("own").over(Window.partitionBy(*PAGE, "v.line", "v.pos")))

@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from .functions import text as T
-from .operators import detect as D, layout as L
+from . import schema
+from .functions import geometry as G
+from .operators import codes as CO, detect as D, faces as FA, histogram as H, layout as L, policy as P, raster as RA
 from .plans import cards as C, sql as S
+from .sinks import export as EX
+from .sources import files as FI, sites as SI
+from .streaming import monitor as MO
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +179,551 @@ def boxes_all(spark, sf_dir):
 @query(S.detector(S.DOCUMENTS, "boxes", *S.ALL))
 def document_boxes(spark, sf_dir):
     return _found(D.suppress(D.detect(_documents(spark, sf_dir))))
+
+
+# --- boxes and people -------------------------------------------------------------------
+
+_BOXES = (S.cards(8_000_000_000), S.WORDS, S.LINED, *S.ALL)
+_PRESETS = "presets(name, reveal) AS (VALUES " + ", ".join(f"('{n}', [{S.quoted(r)}])" for n, r in schema.PRESETS) + ")"
+
+
+@query(
+    S.chain(
+        *_BOXES, _PRESETS,
+        select="SELECT doc_id, name, CAST(seq AS BIGINT) AS seq, label, NOT list_contains(reveal, label) AS enabled FROM boxes, presets",
+    )
+)
+def policy_reveal(spark, sf_dir):
+    """Every preset applied to every card's boxes."""
+    presets = schema.presets(spark)
+    each = card_boxes(spark, sf_dir).join(F.broadcast(presets.select("name")), F.lit(True))
+    return P.apply_preset(each, presets, "name").select("doc_id", "name", "seq", "label", "enabled")
+
+
+@query(
+    S.chain(
+        *_BOXES, _PRESETS,
+        select="SELECT doc_id, name, string_agg(label, ',' ORDER BY priority, seq) AS labels FROM (SELECT doc_id, label, min(priority) AS priority, min(seq) AS seq FROM boxes GROUP BY doc_id, label) "
+        "JOIN presets ON list_contains(reveal, label) GROUP BY doc_id, name",
+    )
+)
+def revealed_labels(spark, sf_dir):
+    """What each preset leaves readable on each card."""
+    return P.revealed(card_boxes(spark, sf_dir), schema.presets(spark)).select("doc_id", "name", F.array_join("labels", ",").alias("labels"))
+
+
+_SAID = "CASE WHEN label = upper(label) THEN label ELSE lower(label) END"
+
+
+@query(
+    S.chain(
+        *_BOXES,
+        "firsts AS (SELECT doc_id, label, min(struct_pack(p := priority, s := seq)) AS at_, count(*) AS n, count(*) FILTER (source = 'suggested') AS u FROM boxes GROUP BY doc_id, label)",
+        f"pages_ AS (SELECT doc_id, list({_SAID} ORDER BY at_) AS said, sum(n) AS n, sum(u) AS u FROM firsts GROUP BY doc_id)",
+        select="SELECT doc_id, 'Found ' || CASE WHEN len(said) > 1 THEN array_to_string(said[1:len(said) - 1], ', ') || ' and ' || said[len(said)] ELSE said[1] END || '. ' || "
+        "CASE WHEN u > 0 THEN CAST(u AS VARCHAR) || ' of ' || CASE WHEN n > u THEN 'these ' ELSE 'them ' END || CASE WHEN u > 1 THEN 'are guesses' ELSE 'is a guess' END || "
+        "'. Check the dashed ' || CASE WHEN u > 1 THEN 'boxes' ELSE 'box' END || '. ' ELSE '' END || 'Check everything else yourself.' AS summary FROM pages_",
+    )
+)
+def page_summary(spark, sf_dir):
+    """One sentence a card on what was found."""
+    return P.summary(card_boxes(spark, sf_dir)).select("doc_id", "summary")
+
+
+@query(S.chain(*_BOXES, select="SELECT doc_id, count(*) AS n_boxes, CAST(count(*) FILTER (label <> 'Name') AS BIGINT) AS n_hidden FROM boxes GROUP BY doc_id"))
+def hidden_counts(spark, sf_dir):
+    """Boxes and hidden areas of each card, with names left readable."""
+    boxes = card_boxes(spark, sf_dir).withColumn("enabled", F.col("label") != "Name")
+    return P.page_counts(boxes).select("doc_id", "n_boxes", "n_hidden")
+
+
+@query(
+    S.chain(
+        S.DOCUMENTS, S.WORDS, S.LINED, *S.ALL,
+        select="SELECT doc_id FROM documents d WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM boxes b WHERE b.doc_id = d.doc_id)",
+    )
+)
+def review_gate(spark, sf_dir):
+    """Documents that were read, show nothing and were not dismissed (P9).  A third counts as unread, a seventh as dismissed."""
+    words, pages = C.document_words(spark, sf_dir)
+    boxes = D.suppress(D.detect(D.on_pages(words, pages)))
+    status = pages.withColumn("ocr_status", F.when(F.col("doc_id") % 3 == 0, "unavailable").otherwise("ready"))
+    return P.blocked(status, boxes, pages.where(F.col("doc_id") % 7 == 0)).select("doc_id")
+
+
+@query(
+    S.chain(
+        S.DOCUMENTS, S.WORDS, S.LINED, *S.ALL,
+        select="SELECT doc_id % 20 AS file, count(DISTINCT CASE WHEN found.has THEN doc_id END) AS marked, count(*) AS total "
+        "FROM (SELECT doc_id, EXISTS (SELECT 1 FROM boxes b WHERE b.doc_id = d.doc_id) AS has FROM documents d) found GROUP BY 1",
+    )
+)
+def marked_pages(spark, sf_dir):
+    """How many pages have a box, documents taken as the pages of twenty files."""
+    words, pages = C.document_words(spark, sf_dir)
+    boxes = D.suppress(D.detect(D.on_pages(words, pages)))
+
+    def filed(df):
+        return df.withColumn("page_no", F.col("doc_id").cast("int")).withColumn("doc_id", F.col("doc_id") % 20)
+
+    return P.marked_pages(filed(pages), filed(boxes)).select(F.col("doc_id").alias("file"), "marked", "total")
+
+
+@query(
+    S.chain(
+        *_BOXES,
+        select="SELECT doc_id, CAST(seq AS BIGINT) AS seq, CAST(floor(x * 2.5 + 0.5) AS BIGINT) AS x, CAST(floor(y * 2.5 + 0.5) AS BIGINT) AS y, CAST(floor(w * 2.5 + 0.5) AS BIGINT) AS w, "
+        "CAST(floor(h * 2.5 + 0.5) AS BIGINT) AS h, 'block' AS style FROM boxes WHERE label <> 'Name'",
+    )
+)
+def regions(spark, sf_dir):
+    """Pixel regions to be painted at two and a half times the working size."""
+    boxes = card_boxes(spark, sf_dir).withColumn("enabled", F.col("label") != "Name").withColumn("scale_to_full", F.lit(2.5))
+    return P.regions(boxes).select("doc_id", "seq", "x", "y", "w", "h", "style")
+
+
+def _edits(boxes: DataFrame) -> DataFrame:
+    """Six edits of every box: moved, sized, relabelled, restyled, switched off; every fifth deleted."""
+    none = [F.lit(None).cast("double").alias(c) for c in "xywh"]
+    steps = [("move", "", 30.0, -12.5, None, None, None), ("resize", "nw", 5.0, 700.0, None, None, None), ("restyle", "", 0.0, 0.0, None, "blur", None),
+             ("relabel", "", 0.0, 0.0, "Address", None, None), ("toggle", "", 0.0, 0.0, None, None, False)]
+    parts = [
+        boxes.select(
+            "doc_id", "page_no", "box_id", F.lit(i).cast("long").alias("seq"), F.lit(k).alias("kind"), F.lit(hd).alias("handle"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"),
+            F.lit(lb).cast("string").alias("label"), F.lit(st).cast("string").alias("style"), F.lit(en).cast("boolean").alias("enabled"), *none,
+        )
+        for i, (k, hd, dx, dy, lb, st, en) in enumerate(steps)
+    ]
+    gone = boxes.where(F.col("seq") % 5 == 0).select(
+        "doc_id", "page_no", "box_id", F.lit(9).cast("long").alias("seq"), F.lit("delete").alias("kind"), F.lit("").alias("handle"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"),
+        F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("style"), F.lit(None).cast("boolean").alias("enabled"), *none,
+    )
+    out = gone
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
+def _moved() -> str:
+    mx, my = "least(greatest(x + 30.0, 0.0), greatest(1000.0 - w, 0.0))", "least(greatest(y - 12.5, 0.0), greatest(600.0 - h, 0.0))"
+    x, w, y, h = f"({mx} + 5.0)", "(w - 5.0)", f"({my} + 700.0)", "(h - 700.0)"
+    flip = lambda a, n: f"CASE WHEN {n} < 0 THEN {a} + {n} ELSE {a} END"
+    return ", ".join(
+        f"round({e}, 6) AS {n}" for e, n in zip(S.clamp(flip(x, w), flip(y, h), f"abs({w})", f"abs({h})", "1000.0", "600.0"), "xywh")
+    )
+
+
+@query(S.chain(*_BOXES, select=f"SELECT doc_id, {_moved()}, 'Address' AS label, CASE WHEN label IN ({S.quoted(schema.BLOCK_ONLY)}) THEN 'block' ELSE 'blur' END AS style, false AS enabled FROM boxes WHERE seq % 5 <> 0 ORDER BY 1"))
+def edited_boxes(spark, sf_dir):
+    """Boxes after an ordered fold of edits."""
+    boxes = D.suppress(D.detect(_cards(spark, sf_dir, phone_base=8_000_000_000)))
+    pages = C.card_texts(spark, sf_dir, 8_000_000_000).select("doc_id", "page_no", "width", "height")
+    out = P.apply_edits(boxes, _edits(boxes), pages)
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in "xywh"], "label", "style", "enabled")
+
+
+# --- geometry ---------------------------------------------------------------------------
+
+_RECT = (
+    "SELECT l_orderkey, l_linenumber, CAST(l_partkey % 140 - 20 AS DOUBLE) AS x, CAST(l_suppkey % 130 - 15 AS DOUBLE) AS y, "
+    "CAST(l_orderkey % 60 - 10 AS DOUBLE) AS w, CAST(l_quantity % 55 - 5 AS DOUBLE) AS h, CAST(l_linenumber * 7 - 20 AS DOUBLE) AS dx, CAST(l_orderkey % 41 - 20 AS DOUBLE) AS dy, "
+    "(['nw','n','ne','e','se','s','sw','w'])[CAST(l_orderkey % 8 AS INTEGER) + 1] AS handle FROM lineitem"
+)
+_FLAT = "CASE WHEN w < 0 THEN x + w ELSE x END", "CASE WHEN h < 0 THEN y + h ELSE y END", "abs(w)", "abs(h)"
+
+
+def _rects(spark, sf_dir):
+    d = lambda e: F.expr(e).cast("double")
+    handles = F.array(*map(F.lit, ("nw", "n", "ne", "e", "se", "s", "sw", "w")))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", d("l_partkey % 140 - 20").alias("x"), d("l_suppkey % 130 - 15").alias("y"), d("l_orderkey % 60 - 10").alias("w"),
+        d("l_quantity % 55 - 5").alias("h"), d("l_linenumber * 7 - 20").alias("dx"), d("l_orderkey % 41 - 20").alias("dy"),
+        F.get(handles, (F.col("l_orderkey") % 8).cast("int")).alias("handle"),
+    )
+
+
+def _rect_query(name: str, doc: str, spark_rect, sql_rect):
+    sql = ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for e, n in zip(sql_rect, "xywh"))
+
+    def f(spark, sf_dir):
+        r = _rects(spark, sf_dir)
+        return r.select("l_orderkey", "l_linenumber", *[F.round(c.cast("double"), 6).alias(n) for c, n in zip(spark_rect(G.rect()), "xywh")])
+
+    f.__name__, f.__doc__ = name, doc
+    query(f"WITH r AS ({_RECT}) SELECT l_orderkey, l_linenumber, {sql} FROM r")(f)
+
+
+_rect_query("rect_normalise", "Flipped rectangles put right (G1).", G.normalise_rect, _FLAT)
+_rect_query("rect_clamp", "Rectangles kept on a canvas of 100 by 100 (G2).", lambda r: G.clamp_rect(r, 100, 100), S.clamp(*"xywh", "100.0", "100.0"))
+_rect_query(
+    "rect_move", "Rectangles moved, stopping at the edge (G3).", lambda r: G.move_rect(r, F.col("dx"), F.col("dy"), 100, 100),
+    ("least(greatest(x + dx, 0.0), greatest(100.0 - w, 0.0))", "least(greatest(y + dy, 0.0), greatest(100.0 - h, 0.0))", "w", "h"),
+)
+_RX, _RW = "(CASE WHEN contains(handle, 'w') THEN x + dx ELSE x END)", "(CASE WHEN contains(handle, 'e') THEN w + dx WHEN contains(handle, 'w') THEN w - dx ELSE w END)"
+_RY, _RH = "(CASE WHEN contains(handle, 'n') THEN y + dy ELSE y END)", "(CASE WHEN contains(handle, 's') THEN h + dy WHEN contains(handle, 'n') THEN h - dy ELSE h END)"
+_rect_query(
+    "rect_resize", "A handle dragged (G4).", lambda r: G.resize_rect(r, F.col("handle"), F.col("dx"), F.col("dy"), 100, 100),
+    S.clamp(f"(CASE WHEN {_RW} < 0 THEN {_RX} + {_RW} ELSE {_RX} END)", f"(CASE WHEN {_RH} < 0 THEN {_RY} + {_RH} ELSE {_RY} END)", f"abs({_RW})", f"abs({_RH})", "100.0", "100.0"),
+)
+_rect_query("rect_full", "Full-size pixels, halves up (G5).", lambda r: G.to_full(r, 2.5), [f"floor({c} * 2.5 + 0.5)" for c in "xywh"])
+_rect_query(
+    "rect_pad_code", "Codes grown by their longer edge (G7).", lambda r: G.pad_code(r, 100, 100),
+    S.clamp("x - greatest(w, h) * 0.06::DOUBLE", "y - greatest(w, h) * 0.06::DOUBLE", "w + greatest(w, h) * 0.06::DOUBLE * 2", "h + greatest(w, h) * 0.06::DOUBLE * 2", "100.0", "100.0"),
+)
+_rect_query(
+    "rect_expand_face", "Faces grown to photographs (G8).", lambda r: G.expand_face(r, 100, 100),
+    S.clamp("x - w * 0.4::DOUBLE", "y - h * 0.4::DOUBLE", "w + w * 0.4::DOUBLE * 2", "h + h * 0.4::DOUBLE * 2", "100.0", "100.0"),
+)
+
+_OTHER = "least(x + w, 60.0) - greatest(x, 10.0)", "least(y + h, 70.0) - greatest(y, 20.0)"
+
+
+@query(
+    f"WITH r AS ({_RECT}), s AS (SELECT *, greatest(0.0, {_OTHER[0]}) * greatest(0.0, {_OTHER[1]}) AS common FROM r) SELECT l_orderkey, l_linenumber, "
+    "round(CASE WHEN w * h > 0 THEN common / (w * h) ELSE 0.0 END, 6) AS covers, round(CASE WHEN common > 0 THEN common / least(w * h, 2500.0) ELSE 0.0 END, 6) AS overlap, "
+    "least(y + h, 70.0) - greatest(y, 20.0) > least(h, 50.0) / 2 AS one_line FROM s"
+)
+def rect_overlaps(spark, sf_dir):
+    """Shares of common area with a fixed rectangle, and whether the two are of one line."""
+    other = tuple(map(F.lit, (10.0, 20.0, 50.0, 50.0)))
+    own = G.rect()
+    return _rects(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", F.round(G.covers(other, own), 6).alias("covers"), F.round(G.overlap(own, other), 6).alias("overlap"),
+        G.overlaps_vertically(own, other).alias("one_line"),
+    )
+
+
+@query(
+    "WITH e AS (SELECT p_partkey, CAST(p_partkey * 37 % 3000 AS BIGINT) AS w, CAST(p_size * 61 AS BIGINT) AS h FROM part), g AS (SELECT *, greatest(w, h) AS edge FROM e) "
+    "SELECT p_partkey, round(CASE WHEN edge <= 0 THEN 1.0 ELSE least(2.5, greatest(1.0, 1800.0 / edge)) END, 6) AS ocr_scale, "
+    "CAST(CASE WHEN edge <= 0 OR edge >= 1600 THEN 1 WHEN edge >= 800 THEN 2 ELSE 3 END AS BIGINT) AS n_scales, "
+    "CASE WHEN edge > 2000 THEN CAST(floor(w * least(1.0::DOUBLE, 2000.0::DOUBLE / edge) + 0.5) AS BIGINT) ELSE w END AS work_w, "
+    "CASE WHEN edge > 2000 THEN CAST(floor(h * least(1.0::DOUBLE, 2000.0::DOUBLE / edge) + 0.5) AS BIGINT) ELSE h END AS work_h, "
+    "round(1 / least(1.0::DOUBLE, 2000.0::DOUBLE / edge), 6) AS scale_to_full, CAST(greatest(11, floor(least(w, h) * 0.042::DOUBLE + 0.5)) AS BIGINT) AS font_size FROM g"
+)
+def page_scales(spark, sf_dir):
+    """Scales, working sizes and stamp sizes of pages."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 3000).cast("long").alias("w"), (F.col("p_size") * 61).cast("long").alias("h"))
+    w, h = F.col("w"), F.col("h")
+    edge = F.greatest(w, h)
+    work_w, work_h, scale = G.work_size(w, h)
+    return p.select(
+        "p_partkey", F.round(G.ocr_scale(edge), 6).alias("ocr_scale"), F.size(G.code_scales(edge)).cast("long").alias("n_scales"), work_w.alias("work_w"), work_h.alias("work_h"),
+        F.round(scale, 6).alias("scale_to_full"), G.stamp_layout(w, h)[0],
+    )
+
+
+# --- grey levels ------------------------------------------------------------------------
+
+_GREY = "SELECT CAST(l_suppkey % 7 AS BIGINT) AS page, CAST((l_partkey * l_linenumber) % 256 AS INTEGER) AS grey FROM lineitem"
+_HIST = f"px AS ({_GREY}), hist AS (SELECT page, grey, count(*) AS n FROM px GROUP BY page, grey)"
+
+
+def _hist(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return H.histogram(li.select((F.col("l_suppkey") % 7).cast("long").alias("page"), (F.col("l_partkey") * F.col("l_linenumber") % 256).cast("int").alias("grey")), "page")
+
+
+@query(f"WITH {_HIST} SELECT page, CAST(grey AS BIGINT) AS grey, n FROM hist")
+def histogram(spark, sf_dir):
+    """Grey levels of pixels, counted (A5)."""
+    return _hist(spark, sf_dir).select("page", F.col("grey").cast("long").alias("grey"), "n")
+
+
+@query(
+    f"WITH {_HIST}, levels AS (SELECT p.page, g.grey, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT page FROM hist) p CROSS JOIN (SELECT unnest(range(256)) AS grey) g LEFT JOIN hist h ON h.page = p.page AND h.grey = g.grey), "
+    "c AS (SELECT page, grey, CAST(sum(n) OVER w AS DOUBLE) AS wb, CAST(sum(n * grey) OVER w AS DOUBLE) AS sb, CAST(sum(n) OVER (PARTITION BY page) AS DOUBLE) AS t, CAST(sum(n * grey) OVER (PARTITION BY page) AS DOUBLE) AS a "
+    "FROM levels WINDOW w AS (PARTITION BY page ORDER BY grey)), v AS (SELECT page, grey, wb * (t - wb) * (sb / wb - (a - sb) / (t - wb)) * (sb / wb - (a - sb) / (t - wb)) AS var FROM c WHERE wb > 0 AND wb < t) "
+    "SELECT page, CAST(arg_max(grey, struct_pack(var := var, grey := grey)) AS BIGINT) AS threshold FROM v GROUP BY page"
+)
+def otsu_threshold(spark, sf_dir):
+    """The grey level that parts each page best."""
+    return H.otsu(_hist(spark, sf_dir), "page")
+
+
+@query(
+    f"WITH {_HIST}, c AS (SELECT page, grey, sum(n) OVER (PARTITION BY page ORDER BY grey) AS seen, sum(n) OVER (PARTITION BY page) AS t FROM hist) "
+    "SELECT page, CAST(min(grey) FILTER (seen >= t * 0.02::DOUBLE) AS BIGINT) AS low, CAST(min(grey) FILTER (seen >= t * 0.98::DOUBLE) AS BIGINT) AS high, "
+    "CAST(min(grey) FILTER (seen >= t * 0.98::DOUBLE) - min(grey) FILTER (seen >= t * 0.02::DOUBLE) AS BIGINT) AS spread FROM c GROUP BY page"
+)
+def contrast_spread(spark, sf_dir):
+    """The grey levels that hold the middle 96 %."""
+    return H.contrast_spread(_hist(spark, sf_dir), "page")
+
+
+@query(
+    f"WITH {_HIST}, c AS (SELECT page, grey, sum(n) OVER (PARTITION BY page ORDER BY grey) AS seen, sum(n) OVER (PARTITION BY page) AS t FROM hist), "
+    "b AS (SELECT page, min(grey) FILTER (seen >= t * 0.02::DOUBLE) AS low, min(grey) FILTER (seen >= t * 0.98::DOUBLE) AS high FROM c GROUP BY page) "
+    "SELECT h.page, CAST(h.grey AS BIGINT) AS grey, CAST(round_even(least(255.0, greatest(0.0, (h.grey - low) * (255.0::DOUBLE / (high - low)))), 0) AS BIGINT) AS level FROM hist h JOIN b USING (page)"
+)
+def stretched_levels(spark, sf_dir):
+    """What every grey level becomes when the contrast is stretched."""
+    h = _hist(spark, sf_dir)
+    return h.join(H.contrast_spread(h, "page"), "page").select(
+        "page", F.col("grey").cast("long").alias("grey"), H.stretched(F.col("grey"), F.col("low"), F.col("high")).cast("long").alias("level")
+    )
+
+
+@query(
+    "WITH px AS (SELECT o_orderkey AS page, l_linenumber AS px, CAST(l_partkey % 10 AS INTEGER) AS py, l_suppkey % 2 AS dark FROM orders JOIN lineitem ON o_orderkey = l_orderkey) "
+    "SELECT page, round(coalesce(avg(dark) FILTER (px >= 1 AND px < 5 AND py >= 2 AND py < 9), 0.0), 6) AS ratio FROM px GROUP BY page"
+)
+def dark_ratio(spark, sf_dir):
+    """The share of dark pixels in a rectangle of each page."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    px = li.select(F.col("o_orderkey").alias("page"), F.col("l_linenumber").alias("px"), (F.col("l_partkey") % 10).cast("int").alias("py"), (F.col("l_suppkey") % 2).alias("dark"))
+    rects = px.select("page").distinct().select("page", F.lit(1.2).alias("x"), F.lit(2.9).alias("y"), F.lit(3.1).alias("w"), F.lit(5.5).alias("h"))
+    return H.dark_ratio(px, rects, "page").select("page", F.round("ratio", 6).alias("ratio"))
+
+
+# --- photographs and codes --------------------------------------------------------------
+
+
+@query(
+    "WITH p AS (SELECT c_custkey AS doc_id, CAST(600 + c_custkey % 900 AS DOUBLE) AS pw, CAST(400 + c_custkey % 700 AS DOUBLE) AS ph FROM customer), f AS (SELECT unnest([1.0::DOUBLE, 0.5, 0.25]) AS fraction), "
+    "g AS (SELECT *, CAST(round(1 / fraction) * 2 - 1 AS INTEGER) AS steps FROM p, f), r AS (SELECT *, unnest(range(steps)) AS row FROM g), c AS (SELECT *, unnest(range(steps)) AS col FROM r) "
+    "SELECT CAST(doc_id AS BIGINT) AS doc_id, fraction, round(col * pw * fraction / 2, 6) AS x, round(row * ph * fraction / 2, 6) AS y, round(pw * fraction, 6) AS w, round(ph * fraction, 6) AS h FROM c"
+)
+def face_windows(spark, sf_dir):
+    """The frames that a face model is run on."""
+    k = F.col("c_custkey")
+    pages = table(spark, sf_dir, "customer").select(k.cast("long").alias("doc_id"), F.lit(0).alias("page_no"), (k % 900 + 600).alias("width"), (k % 700 + 400).alias("height"))
+    return FA.windows(pages).select("doc_id", "fraction", *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
+def face_answers(spark, sf_dir):
+    """A made-up model's answers: three a customer, some weak, some huge, some on top of each other."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("nth"))
+    k, n = F.col("doc_id"), F.col("nth")
+    frame = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(800.0).alias("w"), F.lit(600.0).alias("h"))
+    d = lambda e: e.cast("double")
+    return c.select(
+        "doc_id", F.lit(0).alias("page_no"), F.lit(0).alias("version"), F.lit(1.0).alias("fraction"), frame.alias("frame"), "nth", d(100 + (k * 13 + n * 40) % 300).alias("origin_x"),
+        d(80 + (k * 7 + n * 25) % 200).alias("origin_y"), d(60 + (k + n * 11) % 250).alias("width"), d(70 + (k * 3 + n * 5) % 200).alias("height"),
+        F.when((k + n) % 5 != 0, d((k * 17 + n * 29) % 100) / 100).alias("score"),
+    )
+
+
+_FACE = "least(greatest(ox - fw * 0.4::DOUBLE, 0.0), 792.0)", "least(greatest(oy - fh * 0.4::DOUBLE, 0.0), 592.0)"
+_COMMON = "greatest(0.0, least(k.x + k.w, {b}.x + {b}.w) - greatest(k.x, {b}.x)) * greatest(0.0, least(k.y + k.h, {b}.y + {b}.h) - greatest(k.y, {b}.y)) / least(k.w * k.h, {b}.w * {b}.h)".format(b="l.b")
+
+
+@query(
+    "WITH RECURSIVE c AS (SELECT CAST(c_custkey AS BIGINT) AS k, unnest([0, 1, 2]) AS n FROM customer), "
+    "raw AS (SELECT k AS doc_id, n, CAST(100 + (k * 13 + n * 40) % 300 AS DOUBLE) AS ox, CAST(80 + (k * 7 + n * 25) % 200 AS DOUBLE) AS oy, CAST(60 + (k + n * 11) % 250 AS DOUBLE) AS fw, "
+    "CAST(70 + (k * 3 + n * 5) % 200 AS DOUBLE) AS fh, CASE WHEN (k + n) % 5 <> 0 THEN CAST((k * 17 + n * 29) % 100 AS DOUBLE) / 100 END AS score FROM c), "
+    f"g AS (SELECT doc_id, n, {_FACE[0]} AS x, {_FACE[1]} AS y, least(greatest(fw + fw * 0.4::DOUBLE * 2, 8.0), 800 - {_FACE[0]}) AS w, least(greatest(fh + fh * 0.4::DOUBLE * 2, 8.0), 600 - {_FACE[1]}) AS h FROM raw WHERE coalesce(score, 1) >= 0.5), "
+    "f AS (SELECT * FROM g WHERE w * h <= 800 * 600 * 0.4::DOUBLE AND w / h BETWEEN 0.55 AND 1.8), "
+    "l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i, count(*) OVER (PARTITION BY doc_id) AS t, struct_pack(n := n, x := x, y := y, w := w, h := h) AS b FROM f), "
+    "z AS (SELECT doc_id, i, t, [b] AS kept FROM l WHERE i = 1 UNION ALL SELECT l.doc_id, l.i, l.t, CASE WHEN len(list_filter(z.kept, lambda k: "
+    + _COMMON
+    + " > 0.4)) > 0 THEN z.kept ELSE list_append(z.kept, l.b) END FROM z JOIN l ON l.doc_id = z.doc_id AND l.i = z.i + 1), "
+    "u AS (SELECT doc_id, unnest(kept, recursive := true) FROM z WHERE i = t) SELECT doc_id, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM u"
+)
+def face_photographs(spark, sf_dir):
+    """A face model's answers filtered, grown and freed of doubles."""
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(800).alias("width"), F.lit(600).alias("height"))
+    return FA.photographs(face_answers(spark, sf_dir), pages).select("doc_id", *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
+def finder_centres(spark, sf_dir):
+    """Five made-up finder centres a customer: three at the corners of a square, turned by the customer's number, and two strays."""
+    k = F.col("doc_id")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"))
+    side = (k % 9 * 10 + 60).cast("double")
+    s = lambda n, x, y, m: F.struct(F.lit(n).alias("nth"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(m).alias("module"))
+    tilt = (k % 5).cast("double")
+    five = F.array(
+        s(0, F.lit(100.0), F.lit(100.0), 5.0), s(1, 100 + side, 100 + tilt, 5.0), s(2, 100 - tilt, 100 + side, 5.2), s(3, 100 + side * 2, 101 + k % 3, 5.1), s(4, F.lit(400.0), 300 + k % 7, 9.0)
+    )
+    return c.select("doc_id", F.lit(0).alias("page_no"), F.explode(five).alias("c")).select("doc_id", "page_no", "c.*")
+
+
+@query(
+    "WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_custkey % 9 * 10 + 60 AS DOUBLE) AS s, CAST(c_custkey % 5 AS DOUBLE) AS t FROM customer), "
+    "p AS (SELECT k, 0 AS n, 100.0::DOUBLE AS x, 100.0::DOUBLE AS y, 5.0::DOUBLE AS m FROM c UNION ALL SELECT k, 1, 100 + s, 100 + t, 5.0 FROM c UNION ALL SELECT k, 2, 100 - t, 100 + s, 5.2 FROM c "
+    "UNION ALL SELECT k, 3, 100 + s * 2, 101 + k % 3, 5.1 FROM c UNION ALL SELECT k, 4, 400.0, 300 + k % 7, 9.0 FROM c), "
+    "g AS (SELECT a.* FROM p a WHERE (SELECT count(*) FROM p b WHERE b.k = a.k AND abs(b.m - a.m) <= a.m * 0.35::DOUBLE) >= 3), "
+    "tri AS (SELECT a.k, a.n AS i, b.n AS j, d.n AS l, (a.m + b.m + d.m) / 3 AS m, list_sort([sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)), sqrt((b.x-d.x)*(b.x-d.x)+(b.y-d.y)*(b.y-d.y)), sqrt((a.x-d.x)*(a.x-d.x)+(a.y-d.y)*(a.y-d.y))]) AS e, "
+    "least(a.x, b.x, d.x) AS x0, least(a.y, b.y, d.y) AS y0, greatest(a.x, b.x, d.x) AS x1, greatest(a.y, b.y, d.y) AS y1 FROM g a JOIN g b ON a.k = b.k AND a.n < b.n JOIN g d ON b.k = d.k AND b.n < d.n), "
+    "er AS (SELECT *, (e[2] - e[1]) / e[2] AS le, abs(e[3] - e[2] * sqrt(2.0)) / (e[2] * sqrt(2.0)) AS de FROM tri WHERE e[2] / m BETWEEN 11 AND 190), "
+    "best AS (SELECT * FROM er WHERE le <= 0.3 AND de <= 0.25 QUALIFY row_number() OVER (PARTITION BY k ORDER BY le + de, i, j, l) = 1) "
+    "SELECT k AS doc_id, round(le + de, 6) AS error, round(x0 - m * 3.5, 6) AS x, round(y0 - m * 3.5, 6) AS y, round(x1 + m * 3.5 - (x0 - m * 3.5), 6) AS w, round(y1 + m * 3.5 - (y0 - m * 3.5), 6) AS h FROM best"
+)
+def qr_triples(spark, sf_dir):
+    """The squarest triple of finder centres of each page."""
+    return CO.finder_bounds(finder_centres(spark, sf_dir)).select("doc_id", *[F.round(c, 6).alias(c) for c in ("error", "x", "y", "w", "h")])
+
+
+@query(
+    "WITH r AS (SELECT l_orderkey, l_linenumber, [CAST(l_quantity % 9 + 3 AS DOUBLE), CAST(l_partkey % 5 + 4 AS DOUBLE), CAST(l_suppkey % 9 + 12 AS DOUBLE), CAST(l_orderkey % 4 + 4 AS DOUBLE), CAST(l_linenumber + 2 AS DOUBLE)] AS runs FROM lineitem), "
+    "m AS (SELECT *, list_sum(runs) / 7 AS m FROM r) SELECT l_orderkey, l_linenumber, m >= 1.4 AND len(list_filter(list_zip(runs, [1.0, 1, 3, 1, 1]), lambda z: abs(z[1] - z[2] * m) > m * 0.55::DOUBLE)) = 0 AS finder FROM m"
+)
+def finder_ratios(spark, sf_dir):
+    """Which runs of five have a finder's proportions."""
+    d = lambda e: F.expr(e).cast("double")
+    runs = F.array(d("l_quantity % 9 + 3"), d("l_partkey % 5 + 4"), d("l_suppkey % 9 + 12"), d("l_orderkey % 4 + 4"), d("l_linenumber + 2"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", G.is_finder_ratio(runs).alias("finder"))
+
+
+def code_pages(spark, sf_dir):
+    """Grey pages with three drawn finder squares each, made in the tasks; one a supplier."""
+    import numpy as np
+    import pandas as pd
+
+    def draw(parts):
+        for p in parts:
+            rows = []
+            for k in p["s_suppkey"]:
+                module, side = 4 + k % 3, 100 + 5 * (k % 4)
+                page = np.full((320, 320, 1), 240, np.uint8)
+                inner = np.random.default_rng(k).random((side // module + 8, side // module + 8)) < 0.5
+                block = np.kron(inner, np.ones((module, module), bool))[: side + 7 * module, : side + 7 * module]
+                page[60 : 60 + block.shape[0], 60 : 60 + block.shape[1], 0][block] = 20
+                for x, y in ((0, 0), (side, 0), (0, side)):
+                    x, y = 60 + x, 60 + y
+                    page[y - module : y + 8 * module, x - module : x + 8 * module] = 240
+                    page[y : y + 7 * module, x : x + 7 * module] = 20
+                    page[y + module : y + 6 * module, x + module : x + 6 * module] = 240
+                    page[y + 2 * module : y + 5 * module, x + 2 * module : x + 5 * module] = 20
+                rows.append((k, 0, 320, 320, page.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "width", "height", "pixels"])
+
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"))
+    return s.mapInPandas(draw, "doc_id long, page_no int, width int, height int, pixels binary")
+
+
+@query()
+def located_codes(spark, sf_dir):
+    """Codes found by their finder squares on drawn pages."""
+    return RA.locate_codes(code_pages(spark, sf_dir)).select("doc_id", *[F.round(c, 6).alias(c) for c in "xywh"], "label", "source")
+
+
+@query()
+def redacted_pages(spark, sf_dir):
+    """Those pages with the codes painted over, as digests of their pixels."""
+    pages = code_pages(spark, sf_dir)
+    boxes = RA.locate_codes(pages).withColumn("enabled", F.lit(True)).withColumn("scale_to_full", F.lit(1.0)).withColumn("style", F.lit("block"))
+    boxes = boxes.withColumn("priority", F.lit(7)).withColumn("seq", F.lit(0).cast("long"))
+    painted = RA.redact_pages(pages, P.regions(boxes))
+    return painted.select("doc_id", "page_no", F.sha2("pixels", 256).alias("pixels_sha256"))
+
+
+# --- export -----------------------------------------------------------------------------
+
+_NAME = "regexp_extract(url, '([^/]*)$', 1)"
+_STEM = f"lower(regexp_replace(regexp_replace(regexp_replace({_NAME}, '\\.[^.]+$', ''), '[^a-zA-Z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'))"
+_EXT = "CASE WHEN page_id % 3 = 0 THEN 'png' ELSE 'jpg' END"
+
+
+@query(f"SELECT page_id, CASE WHEN {_STEM} = '' THEN 'document' ELSE {_STEM} END || '-redacted.' || {_EXT} AS name, CASE WHEN page_id % 3 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS mime FROM pages")
+def export_names(spark, sf_dir):
+    """Names and formats to export pages under (K2, K3)."""
+    mime, ext = EX.format_for(F.when(F.col("page_id") % 3 == 0, "image/png").otherwise("image/webp"))
+    return table(spark, sf_dir, "pages").select("page_id", T.redacted_name(F.regexp_extract("url", "([^/]*)\\z", 1), ext).alias("name"), mime.alias("mime"))
+
+
+@query(
+    "WITH d AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || event_type || ' ' WHEN 2 THEN 'For ' || event_type || ' only' ELSE 'format ' || event_type END AS p, ts FROM events), "
+    "t AS (SELECT event_id, trim(p) AS p, strftime(ts, '%d %b %Y') AS d FROM d) "
+    "SELECT event_id, CASE WHEN p = '' THEN 'Copy issued ' || d ELSE CASE WHEN regexp_matches(p, '(?i)^for\\b') THEN p ELSE 'For ' || p || ' only' END || ' · ' || d END AS stamp FROM t"
+)
+def stamp_text(spark, sf_dir):
+    """Stamps for purposes as people type them."""
+    n, e = F.col("event_id") % 4, F.col("event_type")
+    purpose = F.when(n == 0, "  ").when(n == 1, F.concat(F.lit(" "), e, F.lit(" "))).when(n == 2, F.concat(F.lit("For "), e, F.lit(" only"))).otherwise(F.concat(F.lit("format "), e))
+    return table(spark, sf_dir, "events").select("event_id", T.stamp_text(purpose, F.col("ts")).alias("stamp"))
+
+
+@query(
+    "WITH p AS (SELECT CAST(c_custkey AS BIGINT) AS doc_id, 600 + c_custkey % 900 AS w, 400 + c_custkey % 700 AS h FROM customer), "
+    "l AS (SELECT *, greatest(11, floor(least(w, h) * 0.042::DOUBLE + 0.5)) AS f, sqrt(CAST(w * w + h * h AS DOUBLE)) / 2 AS reach FROM p), "
+    "e AS (SELECT *, f * 4.2::DOUBLE AS lg, 300.0::DOUBLE + f * 2.4::DOUBLE AS st, reach + 150.0::DOUBLE AS ex, reach + f * 4.2::DOUBLE AS ey FROM l), "
+    "r AS (SELECT *, unnest(range(CAST(floor(ey * 2 / lg) AS INTEGER) + 1)) AS row FROM e), c AS (SELECT *, unnest(range(CAST(floor(ex * 2 / st) AS INTEGER) + 1)) AS col FROM r) "
+    "SELECT doc_id, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(col * st - ex, 6) AS x, round(row * lg - ey, 6) AS y FROM c"
+)
+def stamp_positions(spark, sf_dir):
+    """Where the stamp is tiled over each page."""
+    k = F.col("c_custkey")
+    pages = table(spark, sf_dir, "customer").select(k.cast("long").alias("doc_id"), F.lit(0).alias("page_no"), (k % 900 + 600).alias("width"), (k % 700 + 400).alias("height"), F.lit(300.0).alias("text_width"))
+    return EX.stamp_positions(pages).select("doc_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(
+    "WITH f AS (SELECT o_orderkey, (['image/jpeg','image/png','image/gif','application/pdf'])[CAST(o_orderkey % 4 AS INTEGER) + 1] AS mime, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE CAST(o_custkey * 40009 % 60000000 AS BIGINT) END AS size FROM orders) "
+    "SELECT o_orderkey, CASE WHEN mime NOT IN ('image/jpeg','image/png','image/webp','application/pdf') THEN 'That file type isn''t supported. Use a JPG, PNG, WEBP or PDF.' "
+    "WHEN size > 26214400 THEN 'That file is ' || CAST(CAST(floor(size / 1048576 + 0.5) AS BIGINT) AS VARCHAR) || ' MB. The limit is 25 MB.' WHEN size = 0 THEN 'That file is empty.' END AS reason FROM f"
+)
+def file_checks(spark, sf_dir):
+    """Why files are turned away."""
+    k = F.col("o_orderkey")
+    mime = F.get(F.array(*map(F.lit, ("image/jpeg", "image/png", "image/gif", "application/pdf"))), (k % 4).cast("int"))
+    size = F.when(k % 9 == 0, 0).otherwise((F.col("o_custkey").cast("long") * 40009) % 60_000_000)
+    return table(spark, sf_dir, "orders").select("o_orderkey", FI.reject_reason(mime, size).alias("reason"))
+
+
+@query()
+def pdf_files(spark, sf_dir):
+    """PDF files of one to seven pages, from the lines of orders (K5)."""
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    jpeg = F.concat(F.lit("\xff\xd8").cast("binary"), F.repeat(F.col("l_shipmode") if "l_shipmode" in li.columns else F.col("l_returnflag"), 20).cast("binary"))
+    pages = li.select(F.col("l_orderkey").cast("long").alias("doc_id"), F.col("l_linenumber").cast("int").alias("page_no"), jpeg.alias("jpeg"), F.lit(1000).alias("width"), (F.lit(500) + F.col("l_linenumber") * 100).cast("int").alias("height"))
+    return EX.pdfs(pages).select("doc_id", F.length("pdf").alias("n_bytes"), F.sha2("pdf", 256).alias("pdf_sha256"))
+
+
+# --- monitoring -------------------------------------------------------------------------
+
+OWN = "https://www.example.com"
+_LOW = "lower(trim(url))"
+_RX = "^(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]*))?(?:[/?#].*)?$"
+_ORIGIN = (
+    f"CASE WHEN regexp_extract({_LOW}, '{_RX}', 2) <> '' THEN regexp_extract({_LOW}, '{_RX}', 1) || '://' || regexp_extract({_LOW}, '{_RX}', 2) || CASE WHEN regexp_extract({_LOW}, '{_RX}', 3) NOT IN ('', "
+    f"CASE WHEN regexp_extract({_LOW}, '{_RX}', 1) = 'https' THEN '443' ELSE '80' END) THEN ':' || regexp_extract({_LOW}, '{_RX}', 3) ELSE '' END END"
+)
+_OFF = f"WITH o AS (SELECT {_ORIGIN} AS origin, page_id % 4 * 1000 AS size FROM pages), f AS (SELECT regexp_replace(origin, '^https?://', '') AS host, size FROM o WHERE size <> 0 AND origin <> '{OWN}')"
+
+
+def requests(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select(F.timestamp_seconds(F.col("page_id") * 60).alias("ts"), "url", (F.col("page_id") % 4 * 1000).alias("transfer_size"))
+
+
+@query(f"{_OFF} SELECT host, count(*) AS requests, CAST(sum(size) AS BIGINT) AS bytes FROM f GROUP BY host")
+def offdevice_hosts(spark, sf_dir):
+    """Requests that left the device, by host."""
+    return MO.per_host(requests(spark, sf_dir), OWN)
+
+
+@query(f"{_OFF} SELECT count(*) AS off_device, array_to_string(list_sort(list_distinct(list(host))), ',') AS hosts FROM f")
+def offdevice_stream(spark, sf_dir):
+    """The same as a running total over a stream of the requests (V1)."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkveil-stream-")
+    schema_ = table(spark, sf_dir, "pages").schema
+    stream = spark.readStream.schema(schema_).parquet(f"{sf_dir}/pages.parquet*")
+    live = stream.select(F.timestamp_seconds(F.col("page_id") * 60).alias("ts"), "url", (F.col("page_id") % 4 * 1000).alias("transfer_size"))
+    name = f"off_device_{uuid.uuid4().hex}"
+    MO.watch(live, OWN, name, f"{base}/{name}").awaitTermination()
+    return spark.table(name).select("off_device", F.array_join("hosts", ",").alias("hosts"))
+
+
+_SITE = "html || ' https://unpkg.com/a' || CASE WHEN page_id % 3 = 0 THEN '.js http://x.y.cdn.jsdelivr.net/b https://unpkg.com' ELSE '' END"
+
+
+@query(
+    f"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_SITE}, '{S.CDN}'))), ',') AS found, md5(regexp_replace({_SITE}, '{S.CDN}', '/never-fetches-a-cdn', 'g')) AS scrubbed_md5 FROM pages"
+)
+def cdn_scan(spark, sf_dir):
+    """Addresses of content networks in page texts, and the texts without them."""
+    more = F.when(F.col("page_id") % 3 == 0, ".js http://x.y.cdn.jsdelivr.net/b https://unpkg.com").otherwise("")
+    texts = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(" https://unpkg.com/a"), more).alias("text"))
+    return SI.scrubbed(texts).select("page_id", F.array_join(F.sort_array("found"), ",").alias("found"), F.md5("scrubbed").alias("scrubbed_md5"))
+
+
+@query("SELECT count(*) AS scanned, CAST(count(*) FILTER (contains(html, '://unpkg.com') OR page_id % 3 = 0) AS BIGINT) AS rewritten, CAST(0 AS BIGINT) AS remaining FROM pages")
+def cdn_report(spark, sf_dir):
+    """Files scanned, rewritten and still not clean."""
+    more = F.when(F.col("page_id") % 3 == 0, " https://unpkg.com/x").otherwise("")
+    return SI.report(SI.scrubbed(table(spark, sf_dir, "pages").select(F.concat("html", more).alias("text"))))
