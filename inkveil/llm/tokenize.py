@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import chain
+from operator import itemgetter
 
 import public_tokenizers
 import pyarrow as pa
@@ -67,20 +68,21 @@ def token_digests(docs: DataFrame, path: str | None = None, pattern: str = publi
 
     def run(batches):
         e = encoder(path, pattern)
-        memo = Pieces(e.piece, lambda ids: (ids, " ".join(map(str, ids))))
-        token = e.vocabulary.tokens.__getitem__
+        memo = Pieces(e.piece, lambda ids: (ids, " ".join(map(str, ids))), 500_000)
+        token = [e.vocabulary.tokens.get(i) for i in range(max(e.vocabulary.tokens) + 1)].__getitem__
+        ids_of, text_of = itemgetter(0), itemgetter(1)
         for b in pieces_of(batches, rows=4096, size=4 << 20):
             rows = {name: [] for name in DIGEST.names}
             for text in b.column("text").to_pylist():
                 found = list(map(memo.__getitem__, e.pattern.findall(text)))
-                ids = list(chain.from_iterable(x[0] for x in found))
+                ids = list(chain.from_iterable(map(ids_of, found)))
                 decoded, machine, n_chars = hashlib.sha256(), Utf8Machine(), 0
                 for at in range(0, len(ids), step):
                     data = b"".join(map(token, ids[at : at + step]))
                     decoded.update(data)
                     n_chars += len(machine.feed(data))
                 rows["n_tokens"].append(len(ids))
-                rows["ids_sha256"].append(hashlib.sha256(" ".join(x[1] for x in found).encode()).hexdigest())
+                rows["ids_sha256"].append(hashlib.sha256(" ".join(map(text_of, found)).encode()).hexdigest())
                 rows["decoded_sha256"].append(decoded.hexdigest())
                 rows["n_chars"].append(n_chars + len(machine.close()))
             rows["doc_id"] = b.column("doc_id")
