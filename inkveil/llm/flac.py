@@ -464,7 +464,7 @@ def decode(streams: list[bytes], lanes: int = 4096) -> list[np.ndarray]:
     """The samples of each stream, all CRCs and MD5s verified."""
     infos = [metadata(s) for s in streams]
     out = [np.zeros(i.samples, np.int64) for i in infos]
-    whole = [sum(c for _, _, c in i.points) == i.samples for i in infos]
+    whole = [_complete(i) for i in infos]
     for which in range(len(streams)):
         if not whole[which]:
             out[which] = _one_by_one(streams[which], infos[which])
@@ -499,6 +499,16 @@ def decode(streams: list[bytes], lanes: int = 4096) -> list[np.ndarray]:
     return out
 
 
+def _complete(info: Stream) -> bool:
+    """Is there a seek point for every frame?  If not, frames are read one after the other."""
+    at, offset = 0, -1
+    for sample, where, count in info.points:
+        if sample != at or where <= offset:
+            return False
+        at, offset = at + count, where
+    return at == info.samples
+
+
 def _one_by_one(data: bytes, info: Stream) -> np.ndarray:
     buf, at, got, have = np.frombuffer(data, np.uint8), info.audio, [], 0
     while at < len(data) and (not info.samples or have < info.samples):
