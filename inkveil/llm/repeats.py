@@ -214,18 +214,17 @@ class Cover:
     """The samples of a segment: for each stretch of ``span`` units its smallest k-gram, as runs."""
 
     def __init__(self, seg: Segment, unit: Unit):
-        self.sums = Sums(seg.codes)
-        grams = self.sums.of(unit.gram)
+        grams = Sums(seg.codes).of(unit.gram)
         choices = unit.span - unit.gram + 1
         least = sliding_min(grams, choices)
         n = len(least)
-        self.inside = _inside(seg, unit.span, n)
+        inside = _inside(seg, unit.span, n)
         edge = np.ones(n, bool)
-        edge[1:] = (least[1:] != least[:-1]) | (self.inside[1:] != self.inside[:-1])
+        edge[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
         edge[seg.start[seg.start < n]] = True
         self.begin = np.flatnonzero(edge)
         self.length = np.diff(np.append(self.begin, n))
-        keep = self.inside[self.begin]
+        keep = inside[self.begin]
         self.begin, self.length = self.begin[keep], self.length[keep]
         self.value = least[self.begin]
         # One place is the smallest of at most ``choices`` stretches; a longer run has two.
@@ -333,114 +332,114 @@ def told(found) -> np.ndarray:
 # --- the three passes -------------------------------------------------------------------
 
 
-def _sampled(units: list[np.ndarray], unit: Unit, ids: np.ndarray | None):
-    """Sorted fingerprints of a chunk's samples, and which it holds itself twice (in two documents, if ids count)."""
-    value, twice, doc = [], [], []
-    for seg in segments(units, unit.width):
-        c = Cover(seg, unit)
-        value.append(c.value)
-        twice.append(c.twice)
-        doc.append(c.doc)
-    if not value:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    value, twice, doc = map(np.concatenate, (value, twice, doc))
-    order = np.argsort(value, kind="stable")
-    value, twice, doc = value[order], twice[order], doc[order]
-    begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-    if ids is None:
-        often = (np.diff(np.append(begin, len(value))) > 1) | (np.maximum.reduceat(twice, begin))
-    else:
-        own = ids[doc]
-        often = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
-    return value[begin], often
-
-
-def _windows(units: list[np.ndarray], unit: Unit, keys: np.ndarray, repeated: np.ndarray):
-    """Row, start and fingerprint of each window whose samples are all repeated."""
-    row, start, prints = [], [], []
-    for seg in segments(units, unit.width):
-        c = Cover(seg, unit)
-        if not len(c.value):
-            continue
-        at = c.candidates(unit, seg, repeated[np.searchsorted(keys, c.value)])
-        piece = np.searchsorted(seg.start, at, side="right") - 1
-        row.append(seg.doc[piece].astype(np.int32))
-        start.append(at - seg.start[piece] + seg.first[piece])
-        prints.append(c.sums.of(unit.width, at))
-    if not row:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(row), np.concatenate(start), np.concatenate(prints)
-
-
-def _ids(rows: pa.Table, ordered: bool) -> np.ndarray | None:
-    if not ordered:
-        return None
-    return rows.column("doc_id").fill_null(NO_ID).to_numpy()
-
-
-def _texts(rows: pa.Table) -> list[bytes]:
-    return [(t or "").encode() for t in rows.column("text").to_pylist()]
+class Chunk:
+    """A chunk's rows, its samples (sorted, and whether it holds each twice itself: in two
+    documents, if ids count), and the windows that pass once the samples' bits are back."""
+
+    def __init__(self, data: bytes, unit: Unit, ordered: bool):
+        self.rows = unpack_rows(data)
+        self.unit = unit
+        self.texts = [(t or "").encode() for t in self.rows.column("text").to_pylist()]
+        self.ids = self.rows.column("doc_id").fill_null(NO_ID).to_numpy() if ordered else None
+        # Documents without a whole window are passed over, so segments hold little else.
+        self.parts = [(seg, Cover(seg, unit)) for seg in segments(list(map(unit.codes, self.texts)), unit.width)]
+        value, twice, doc = (np.concatenate([getattr(c, n) for _, c in self.parts]) if self.parts else np.zeros(0, t) for n, t in (("value", np.uint64), ("twice", bool), ("doc", np.int64)))
+        order = np.argsort(value, kind="stable")
+        value, twice, doc = value[order], twice[order], doc[order]
+        begin = np.flatnonzero(np.diff(value, prepend=~value[:1])) if len(value) else np.zeros(0, np.int64)
+        self.keys = value[begin]
+        if not len(begin):
+            self.often = np.zeros(0, bool)
+        elif self.ids is None:
+            self.often = (np.diff(np.append(begin, len(value))) > 1) | np.maximum.reduceat(twice, begin)
+        else:
+            own = self.ids[doc]
+            self.often = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
+
+    def passing(self, bits) -> Iterator[tuple[Segment, np.ndarray]]:
+        """Segments with starts of windows all of whose samples are repeated."""
+        repeated = self.often | told(bits)
+        for seg, cover in self.parts:
+            if len(cover.value):
+                at = cover.candidates(self.unit, seg, repeated[np.searchsorted(self.keys, cover.value)])
+                if len(at):
+                    yield seg, at
+
+
+class Store:
+    """The chunks of a corpus and, joined to them, the bits of their samples (pass 1)."""
+
+    def __init__(self, docs: DataFrame, unit: Unit, ordered: bool, size: int = CHUNK):
+        spark = docs.sparkSession
+        self.table, self.parts, parts = chunked(docs, size), SPLIT * partitions(spark), SPLIT * partitions(spark)
+
+        def sample(batches):
+            for b in batches:
+                for number, data in zip(b.column("chunk").to_pylist(), b.column("rows")):
+                    yield send(number, Chunk(data.as_py(), unit, ordered).keys, None, parts)
+
+        # The bits go back to the chunks twice, so they are kept.
+        samples = returned(merged(self.table.mapInArrow(sample, _SENT_DDL), parts), "samples")
+        path = shared_path(spark, "samples")
+        samples.write.option("compression", "zstd").parquet(path)
+        self.samples = spark.read.schema(samples.schema).parquet(path)
+        self.joined = self.table.join(self.samples.hint("shuffle_hash"), "chunk", "left")
+
+    def with_bits(self, back: DataFrame) -> DataFrame:
+        """rows, samples, windows of each chunk: windows are the bits that came back for what it sent."""
+        both = self.samples.join(returned(back, "windows"), "chunk", "left")
+        return self.table.join(both.hint("shuffle_hash"), "chunk", "left").select("rows", "samples", "windows")
 
 
 def repeats(docs: DataFrame, unit: Unit, ordered: bool, finish: Callable, schema: str, chunk: int = CHUNK) -> DataFrame:
     """finish(rows, texts, marks) -> record batch, for each chunk: marks[i] are the starts of
     document i's windows that are found elsewhere (ordered: in a document of smaller id)."""
-    spark = docs.sparkSession
-    store = chunked(docs, chunk)
-    parts = SPLIT * partitions(spark)
-
-    def sample(batches):
-        for b in batches:
-            for number, data in zip(b.column("chunk").to_pylist(), b.column("rows")):
-                rows = unpack_rows(data.as_py())
-                units = list(map(unit.codes, _texts(rows)))
-                keys, often = _sampled(units, unit, _ids(rows, ordered))
-                yield send(number, keys, None, parts)
-
-    def candidates(data, found):
-        rows = unpack_rows(data)
-        texts = _texts(rows)
-        units = list(map(unit.codes, texts))
-        ids = _ids(rows, ordered)
-        keys, often = _sampled(units, unit, ids)
-        row, start, prints = _windows(units, unit, keys, often | told(found))
-        order = np.argsort(prints, kind="stable") if ids is None else np.lexsort((ids[row], prints))
+    store = Store(docs, unit, ordered, chunk)
+    parts = store.parts
+
+    def candidates(data, bits):
+        c = Chunk(data, unit, ordered)
+        row, start, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for seg, at in c.passing(bits):
+            piece = np.searchsorted(seg.start, at, side="right") - 1
+            row.append(seg.doc[piece])
+            start.append(at - seg.start[piece] + seg.first[piece])
+            prints.append(Sums(seg.codes).of(unit.width, at))
+        row, start, prints = map(np.concatenate, (row, start, prints))
+        order = np.argsort(prints, kind="stable") if c.ids is None else np.lexsort((c.ids[row], prints))
         ordered_prints = prints[order]
-        begin = np.flatnonzero(np.concatenate([[True], ordered_prints[1:] != ordered_prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
-        return rows, texts, ids, row, start, order, ordered_prints, begin
+        begin = np.flatnonzero(np.diff(ordered_prints, prepend=~ordered_prints[:1])) if len(prints) else np.zeros(0, np.int64)
+        return c, row, start, order, ordered_prints, begin
 
     def gather(batches):
         for b in batches:
-            for number, data, found in zip(b.column("chunk").to_pylist(), b.column("rows"), b.column("samples").to_pylist()):
-                _, _, ids, row, _, order, prints, begin = candidates(data.as_py(), found)
-                yield send(number, prints[begin], None if ids is None else ids[row[order]][begin], parts)
+            for number, data, bits in zip(b.column("chunk").to_pylist(), b.column("rows"), b.column("samples").to_pylist()):
+                c, row, _, order, prints, begin = candidates(data.as_py(), bits)
+                yield send(number, prints[begin], None if c.ids is None else c.ids[row[order]][begin], parts)
 
     def judge(batches):
         for b in batches:
             for data, samples, windows in zip(b.column("rows"), b.column("samples").to_pylist(), b.column("windows").to_pylist()):
-                rows, texts, ids, row, start, order, prints, begin = candidates(data.as_py(), samples)
+                c, row, start, order, prints, begin = candidates(data.as_py(), samples)
                 size = np.diff(np.append(begin, len(prints)))
                 hit = np.repeat(told(windows), size)
-                if ids is None:
+                if c.ids is None:
                     hit |= np.repeat(size > 1, size)
                 elif len(begin):
-                    own = ids[row[order]]
+                    own = c.ids[row[order]]
                     hit |= own > np.repeat(own[begin], size)
-                row, start = row[order][hit], start[order][hit]
-                by = np.lexsort((start, row))
-                row, start = row[by], start[by]
-                cut = np.searchsorted(row, np.arange(len(texts) + 1))
-                yield finish(rows, texts, [start[cut[i] : cut[i + 1]] for i in range(len(texts))])
-
-    # Samples come back to the chunks and are needed twice, so they are kept.
-    samples = returned(merged(store.mapInArrow(sample, _SENT_DDL), parts), "samples")
-    path = shared_path(spark, "samples")
-    samples.write.option("compression", "zstd").parquet(path)
-    samples = spark.read.schema(samples.schema).parquet(path)
-    joined = store.join(samples.hint("shuffle_hash"), "chunk", "left")
-    windows = returned(merged(joined.mapInArrow(gather, _SENT_DDL), parts), "windows")
-    both = samples.join(windows, "chunk", "left")
-    return store.join(both.hint("shuffle_hash"), "chunk", "left").select("rows", "samples", "windows").mapInArrow(judge, schema)
+                yield finish(c.rows, c.texts, by_row(row[order][hit], start[order][hit], len(c.texts)))
+
+    back = merged(store.joined.mapInArrow(gather, _SENT_DDL), parts)
+    return store.with_bits(back).mapInArrow(judge, schema)
+
+
+def by_row(row: np.ndarray, start: np.ndarray, n: int) -> list[np.ndarray]:
+    """The starts of each of n rows, ascending."""
+    by = np.lexsort((start, row))
+    row, start = row[by], start[by]
+    cut = np.searchsorted(row, np.arange(n + 1))
+    return [start[cut[i] : cut[i + 1]] for i in range(n)]
 
 
 def covered(marks: np.ndarray, n: int, width: int) -> np.ndarray:

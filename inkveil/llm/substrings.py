@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import suffixes
 from .common import batch, keyed_texts
 from .repeats import Unit, covered, repeats
 
@@ -87,7 +88,7 @@ def dedup_bytes(docs: DataFrame, width: int = BYTES, with_text: bool = False) ->
         return batch(out, schema)
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<array<long>>" if with_text else "")
-    return repeats(keyed_texts(docs), unit, False, finish, ddl)
+    return suffixes.repeats(keyed_texts(docs), unit, finish, ddl)
 
 
 def _word_unit(width: int) -> Unit:
