@@ -53,4 +53,17 @@ QUERIES = {
         op7_byte_bpe, op8_simhash, op9_packing, op10_quality,
     )
 }
-ORACLES: dict[str, str] = {}
+#: Of these only operator 4 can be said in SQL.  The others are held against brute force in tests.
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 12, 0))) AS i FROM d),
+v AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 13], ' ') AS k FROM p),
+f AS (SELECT k, min(doc_id) AS first FROM v GROUP BY k),
+hit AS (SELECT DISTINCT v.doc_id, v.i + o.o AS pos FROM v JOIN f USING (k) CROSS JOIN (SELECT unnest(range(13)) AS o) o WHERE f.first < v.doc_id),
+t AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d),
+kept AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.pos) AS text FROM t ANTI JOIN hit ON hit.doc_id = t.doc_id AND hit.pos = t.pos GROUP BY t.doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(gone.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}

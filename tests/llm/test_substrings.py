@@ -107,3 +107,14 @@ def test_keep_first_passages(make, texts):
 def test_empty(make):
     none = make(["x"]).where("false")
     assert substrings.dedup_bytes(none).count() == 0 and substrings.dedup_words(none).count() == 0 and substrings.keep_first_passages(none).count() == 0
+
+
+def test_words_against_sql(spark, small):
+    import duckdb
+
+    from inkveil.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    want = con.execute(ORACLES["op4_substring_dedup"]).fetchall()
+    assert sorted(map(tuple, QUERIES["op4_substring_dedup"](spark, small).collect())) == sorted(want)
