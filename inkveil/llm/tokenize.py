@@ -8,7 +8,6 @@ the table are not read.  Texts are encoded whole, one at a time, without a shuff
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 from operator import itemgetter
 
 import public_tokenizers
@@ -68,20 +67,20 @@ def token_digests(docs: DataFrame, path: str | None = None, pattern: str = publi
 
     def run(batches):
         e = encoder(path, pattern)
-        memo = Pieces(e.piece, lambda ids: (ids, " ".join(map(str, ids))), 500_000)
-        token = [e.vocabulary.tokens.get(i) for i in range(max(e.vocabulary.tokens) + 1)].__getitem__
-        ids_of, text_of = itemgetter(0), itemgetter(1)
+        tokens = e.vocabulary.tokens
+        # Of each piece: how many ids, their text, and what these ids decode to.
+        memo = Pieces(e.piece, lambda ids: (len(ids), " ".join(map(str, ids)), b"".join([tokens[i] for i in ids])), 400_000)
+        count, text_of, bytes_of = itemgetter(0), itemgetter(1), itemgetter(2)
         for b in pieces_of(batches, rows=4096, size=4 << 20):
             rows = {name: [] for name in DIGEST.names}
             for text in b.column("text").to_pylist():
                 found = list(map(memo.__getitem__, e.pattern.findall(text)))
-                ids = list(chain.from_iterable(map(ids_of, found)))
                 decoded, machine, n_chars = hashlib.sha256(), Utf8Machine(), 0
-                for at in range(0, len(ids), step):
-                    data = b"".join(map(token, ids[at : at + step]))
+                for at in range(0, len(found), step):
+                    data = b"".join(map(bytes_of, found[at : at + step]))
                     decoded.update(data)
                     n_chars += len(machine.feed(data))
-                rows["n_tokens"].append(len(ids))
+                rows["n_tokens"].append(sum(map(count, found)))
                 rows["ids_sha256"].append(hashlib.sha256(" ".join(map(text_of, found)).encode()).hexdigest())
                 rows["decoded_sha256"].append(decoded.hexdigest())
                 rows["n_chars"].append(n_chars + len(machine.close()))
