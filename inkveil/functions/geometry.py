@@ -52,14 +52,18 @@ def move_rect(r: Rect, dx, dy, width, height) -> Rect:
     )
 
 
-def resize_rect(r: Rect, handle: Column, dx, dy, width, height) -> Rect:
+def drag_rect(r: Rect, handle: Column, dx, dy) -> Rect:
+    """A handle dragged; past the opposite edge the extent is negative."""
     x, y, w, h = r
     dx, dy = num(dx), num(dy)
     west, east, north, south = (handle.contains(c) for c in "wens")
     nw = F.when(east, w + dx).when(west, w - dx).otherwise(w)
     nh = F.when(south, h + dy).when(north, h - dy).otherwise(h)
-    moved = (F.when(west, x + dx).otherwise(x), F.when(north, y + dy).otherwise(y), nw, nh)
-    return clamp_rect(normalise_rect(moved), width, height)
+    return F.when(west, x + dx).otherwise(x), F.when(north, y + dy).otherwise(y), nw, nh
+
+
+def resize_rect(r: Rect, handle: Column, dx, dy, width, height) -> Rect:
+    return clamp_rect(normalise_rect(drag_rect(r, handle, dx, dy)), width, height)
 
 
 def to_full(r: Rect, scale) -> Rect:

@@ -114,7 +114,10 @@ def rows(lined: DataFrame) -> DataFrame:
 
 def _labelled(lined_rows: DataFrame, is_label) -> DataFrame:
     """label (the word), pos, and the value lists a label points at: rest, or rest and what lies under it."""
-    r = lined_rows.select("*", F.posexplode("ws").alias("pos", "label")).where(is_label(F.col("label")))
+    # Only label words are exploded, as each takes its line along.
+    heads = F.filter(F.transform("ws", lambda w, i: F.struct(i.alias("pos"), w.alias("label"))), lambda s: is_label(s["label"]))
+    r = lined_rows.withColumn("heads", heads).where(F.size("heads") > 0)
+    r = r.select("*", F.inline("heads")).drop("heads")
     label = F.col("label")
     r = r.withColumn("rest", F.slice("ws", F.col("pos") + 2, F.size("ws")))
     spoken = F.exists("rest", lambda w: w["digit"] | ((w["anchor"] != "") & ~w["filler"]))

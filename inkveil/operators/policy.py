@@ -102,6 +102,15 @@ def drawable(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns(dict(zip("xywh", r))).where((F.col("w") >= G.MIN_SIZE) & (F.col("h") >= G.MIN_SIZE))
 
 
+def _r(s: Column) -> G.Rect:
+    return s["x"], s["y"], s["w"], s["h"]
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 EDIT_KINDS = ("draw", "move", "resize", "relabel", "toggle", "restyle", "delete")
 _STATE = "struct<x:double,y:double,w:double,h:double,label:string,source:string,style:string,enabled:boolean,gone:boolean>"
 
@@ -126,20 +135,26 @@ def apply_edits(boxes: DataFrame, edits: DataFrame, pages: DataFrame) -> DataFra
 
     def step(s: Column, e: Column) -> Column:
         r = (s["x"], s["y"], s["w"], s["h"])
-        width, height = F.col("width"), F.col("height")
-        moved = G.move_rect(r, F.coalesce(e["dx"], F.lit(0.0)), F.coalesce(e["dy"], F.lit(0.0)), width, height)
-        sized = G.resize_rect(r, F.coalesce(e["handle"], F.lit("")), F.coalesce(e["dx"], F.lit(0.0)), F.coalesce(e["dy"], F.lit(0.0)), width, height)
-        drawn = G.normalise_rect((e["x"], e["y"], e["w"], e["h"]))
-        kind = e["kind"]
+        width, height, kind = F.col("width"), F.col("height"), e["kind"]
+        dx, dy, handle = F.coalesce(e["dx"], F.lit(0.0)), F.coalesce(e["dy"], F.lit(0.0)), F.coalesce(e["handle"], F.lit(""))
+        # Each rule is worked out once, as a rectangle, and only where the edit asks for it.
+        flipped = _let(F.struct(*G.named(G.drag_rect(r, handle, dx, dy))), lambda d: F.struct(*G.named(G.normalise_rect(_r(d)))))
+        sized = _let(flipped, lambda d: F.struct(*G.named(G.clamp_rect(_r(d), width, height))))
+        moved = F.struct(*G.named(G.move_rect(r, dx, dy, width, height)))
+        drawn = F.struct(*G.named(G.normalise_rect((e["x"], e["y"], e["w"], e["h"]))))
+        place = F.when(kind == "move", moved).when(kind == "resize", sized).when(kind == "draw", drawn).otherwise(F.struct(*G.named(r)))
         label = F.when(kind.isin("relabel", "draw"), F.coalesce(e["label"], F.lit("Other"))).otherwise(s["label"])
         style = F.when(kind == "restyle", e["style"]).otherwise(s["style"])
-        places = [F.when(kind == "move", m).when(kind == "resize", z).when(kind == "draw", d).otherwise(o).alias(n) for n, o, m, z, d in zip("xywh", r, moved, sized, drawn)]
-        small = (drawn[2] < G.MIN_SIZE) | (drawn[3] < G.MIN_SIZE)
-        return F.struct(
-            *places, label.alias("label"), s["source"].alias("source"), F.when(allows_blur(label), style).otherwise("block").alias("style"),
-            F.when(kind == "toggle", e["enabled"]).otherwise(s["enabled"]).alias("enabled"),
-            F.when(kind == "delete", F.lit(True)).when(kind == "draw", small).otherwise(s["gone"]).alias("gone"),
-        )
+
+        def put(p: Column) -> Column:
+            small = (kind == "draw") & ((p["w"] < G.MIN_SIZE) | (p["h"] < G.MIN_SIZE))
+            return F.struct(
+                *[p[c].alias(c) for c in "xywh"], label.alias("label"), s["source"].alias("source"), F.when(allows_blur(label), style).otherwise("block").alias("style"),
+                F.when(kind == "toggle", e["enabled"]).otherwise(s["enabled"]).alias("enabled"),
+                F.when(kind == "delete", F.lit(True)).when(kind == "draw", small).otherwise(s["gone"]).alias("gone"),
+            )
+
+        return _let(place, put)
 
     begun = F.coalesce(F.col("state").cast(_STATE), nothing.cast(_STATE))
     folded = F.aggregate(F.coalesce("ops", F.array()), begun, lambda s, e: step(s, e).cast(_STATE))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from .functions import text as T
@@ -39,6 +40,17 @@ def _found(boxes: DataFrame) -> DataFrame:
     )
 
 
+_kept: list[DataFrame] = []
+
+
+def _shared(lined: DataFrame) -> DataFrame:
+    """Lines that several detectors read are kept (in memory, else on disk), the last two of them."""
+    _kept.append(lined.persist(StorageLevel.MEMORY_AND_DISK))
+    while len(_kept) > 2:
+        _kept.pop(0).unpersist()
+    return lined
+
+
 def _cards(spark, sf_dir, **more):
     return D.on_pages(*C.card_words(spark, sf_dir, **more))
 
@@ -167,7 +179,7 @@ def addresses(spark, sf_dir):
 
 
 def card_boxes(spark, sf_dir, phone_base=8_000_000_000):
-    return D.suppress(D.detect(_cards(spark, sf_dir, phone_base=phone_base)))
+    return D.suppress(D.detect(_shared(_cards(spark, sf_dir, phone_base=phone_base))))
 
 
 @query(S.detector(S.cards(8_000_000_000), "boxes", *S.ALL))
@@ -178,7 +190,7 @@ def boxes_all(spark, sf_dir):
 
 @query(S.detector(S.DOCUMENTS, "boxes", *S.ALL))
 def document_boxes(spark, sf_dir):
-    return _found(D.suppress(D.detect(_documents(spark, sf_dir))))
+    return _found(D.suppress(D.detect(_shared(_documents(spark, sf_dir)))))
 
 
 # --- boxes and people -------------------------------------------------------------------
@@ -246,7 +258,7 @@ def hidden_counts(spark, sf_dir):
 def review_gate(spark, sf_dir):
     """Documents that were read, show nothing and were not dismissed (P9).  A third counts as unread, a seventh as dismissed."""
     words, pages = C.document_words(spark, sf_dir)
-    boxes = D.suppress(D.detect(D.on_pages(words, pages)))
+    boxes = D.suppress(D.detect(_shared(D.on_pages(words, pages))))
     status = pages.withColumn("ocr_status", F.when(F.col("doc_id") % 3 == 0, "unavailable").otherwise("ready"))
     return P.blocked(status, boxes, pages.where(F.col("doc_id") % 7 == 0)).select("doc_id")
 
@@ -261,7 +273,7 @@ def review_gate(spark, sf_dir):
 def marked_pages(spark, sf_dir):
     """How many pages have a box, documents taken as the pages of twenty files."""
     words, pages = C.document_words(spark, sf_dir)
-    boxes = D.suppress(D.detect(D.on_pages(words, pages)))
+    boxes = D.suppress(D.detect(_shared(D.on_pages(words, pages))))
 
     def filed(df):
         return df.withColumn("page_no", F.col("doc_id").cast("int")).withColumn("doc_id", F.col("doc_id") % 20)
@@ -316,7 +328,7 @@ def _moved() -> str:
 @query(S.chain(*_BOXES, select=f"SELECT doc_id, {_moved()}, 'Address' AS label, CASE WHEN label IN ({S.quoted(schema.BLOCK_ONLY)}) THEN 'block' ELSE 'blur' END AS style, false AS enabled FROM boxes WHERE seq % 5 <> 0 ORDER BY 1"))
 def edited_boxes(spark, sf_dir):
     """Boxes after an ordered fold of edits."""
-    boxes = D.suppress(D.detect(_cards(spark, sf_dir, phone_base=8_000_000_000)))
+    boxes = _shared(card_boxes(spark, sf_dir))
     pages = C.card_texts(spark, sf_dir, 8_000_000_000).select("doc_id", "page_no", "width", "height")
     out = P.apply_edits(boxes, _edits(boxes), pages)
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in "xywh"], "label", "style", "enabled")
