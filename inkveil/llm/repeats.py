@@ -226,7 +226,8 @@ class Cover:
         self.length = np.diff(np.append(self.begin, n))
         keep = inside[self.begin]
         self.begin, self.length = self.begin[keep], self.length[keep]
-        self.value = least[self.begin]
+        # Smallest fingerprints are all small; scrambled again, they spread over the buckets.
+        self.value = scramble(least[self.begin])
         # One place is the smallest of at most ``choices`` stretches; a longer run has two.
         self.twice = self.length > choices
         self.doc = seg.doc[np.searchsorted(seg.start, self.begin, side="right") - 1]

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import CHUNK, Chunk, Segment, Store, Sums, Unit, bounds, by_row, pack_rows, sliding_min, told, unpack_rows
+from .repeats import CHUNK, Chunk, Segment, Store, Sums, Unit, bounds, by_row, pack_rows, scramble, sliding_min, told, unpack_rows
 from .repeats import _BACK, _BACK_DDL
 
 _SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("rows", pa.binary())])
@@ -46,13 +46,15 @@ def anchored(seg: Segment, at: np.ndarray, unit: Unit) -> Iterator[tuple[int, in
     piece = np.searchsorted(seg.start, at, side="right")
     cut = np.flatnonzero((np.diff(at) != 1) | (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])) + 1
     begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]]) - 1
-    for p0, p1, value in zip(at[begin].tolist(), at[end].tolist(), least[begin]):
+    # Smallest fingerprints are all small; scrambled again, they spread over the buckets.
+    spread = scramble(least[begin]).tolist()
+    for p0, p1, value, anchor in zip(at[begin].tolist(), at[end].tolist(), least[begin], spread):
         places = np.flatnonzero(grams[p0 : p1 + choices] == value) + p0
         first = p0
         for q in places.tolist():
             last = min(q, p1)
             if last >= first:
-                yield first, last, q, int(value)
+                yield first, last, q, anchor
                 first = last + 1
             if first > p1:
                 break
