@@ -49,9 +49,8 @@ def as_letter(c: Column) -> Column:
 
 def digits_of(c: Column) -> Column:
     """The digits of a wholly numeric word with one real digit at least, else null."""
-    cleaned = clean(c)
-    mapped = as_digit(cleaned)
-    return F.when(cleaned.rlike("[0-9]") & mapped.rlike("^[0-9]+\\z"), mapped)
+    mapped = as_digit(clean(c))
+    return F.when(c.rlike("[0-9]") & mapped.rlike("^[0-9]+\\z"), mapped)
 
 
 def verhoeff(c: Column) -> Column:
@@ -76,7 +75,7 @@ def read_pan(c: Column, strict: bool = False) -> Column:
     """
     raw = clean(c)
     read = F.concat(as_letter(F.substring(raw, 1, 5)), as_digit(F.substring(raw, 6, 4)), as_letter(F.substring(raw, 10, 1)))
-    ok = (F.length(raw) == 10) & read.rlike("^[A-Z]{5}[0-9]{4}[A-Z]\\z") & F.substring(read, 4, 1).isin(*schema.HOLDER_TYPES)
+    ok = (F.length(c) >= 10) & (F.length(raw) == 10) & read.rlike("^[A-Z]{5}[0-9]{4}[A-Z]\\z") & F.substring(read, 4, 1).isin(*schema.HOLDER_TYPES)
     if strict:
         ok = ok & F.substring(raw, 6, 4).rlike("[0-9]") & F.substring(raw, 1, 5).rlike("[A-Za-z]")
     return F.when(ok, read)
@@ -85,7 +84,7 @@ def read_pan(c: Column, strict: bool = False) -> Column:
 def looks_like_reference(c: Column) -> Column:
     """Four digits or more, and no bare year."""
     cleaned = clean(c)
-    return (F.length(F.regexp_replace(cleaned, "[^0-9]", "")) >= 4) & ~cleaned.rlike(YEAR)
+    return c.rlike("[0-9]") & (F.length(F.regexp_replace(cleaned, "[^0-9]", "")) >= 4) & ~cleaned.rlike(YEAR)
 
 
 def looks_like_name_part(c: Column) -> Column:
@@ -95,11 +94,11 @@ def looks_like_name_part(c: Column) -> Column:
 
 
 def is_date(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{SPACE}]", "").rlike(DATE)
+    return c.rlike("[0-9]") & F.regexp_replace(c, f"[{SPACE}]", "").rlike(DATE)
 
 
 def is_year(c: Column) -> Column:
-    return clean(c).rlike(YEAR)
+    return c.rlike("[0-9]") & clean(c).rlike(YEAR)
 
 
 def is_pin(c: Column) -> Column:

@@ -96,16 +96,16 @@ def dates(lined: DataFrame) -> DataFrame:
 
 
 def rows(lined: DataFrame) -> DataFrame:
-    """One row for each line: its words with what detectors ask of them, and the next two lines' words."""
+    """One row for each line: its words with what tells labels, and the next two lines' words.
+
+    What detectors ask of the few words that labels point at is worked out there.
+    """
     text, anchored = F.col("text"), F.col("anchor")
     told = lined.withColumn("anchor", T.anchor(text))
     word = F.struct(
         "pos", F.col("line_no").alias("line"), "x", "y", "w", "h", "anchor",
-        text.rlike("[0-9]").alias("digit"), anchored.isin(*schema.FILLER).alias("filler"),
-        T.looks_like_reference(text).alias("reference"), T.looks_like_name_part(text).alias("name_part"),
-        anchored.isin(*schema.NAME_LABELS).alias("name_label"), T.number_label(anchored).alias("number_label"),
-        anchored.isin(*schema.NOT_A_PERSON).alias("organisation"), anchored.isin(*schema.ADDRESS_LABELS).alias("address_label"),
-        T.is_pin(text).alias("pin"),
+        "text", text.rlike("[0-9]").alias("digit"), anchored.isin(*schema.FILLER).alias("filler"), anchored.isin(*schema.NAME_LABELS).alias("name_label"),
+        T.number_label(anchored).alias("number_label"), anchored.isin(*schema.ADDRESS_LABELS).alias("address_label"),
     )
     grouped = told.groupBy(*PAGE, "line_no").agg(F.array_sort(F.collect_list(word)).alias("ws"), F.first("width").alias("width"), F.first("height").alias("height"))
     down = Window.partitionBy(*PAGE).orderBy("line_no")
@@ -132,7 +132,7 @@ def _labelled(lined_rows: DataFrame, is_label) -> DataFrame:
 def labelled_numbers(lined_rows: DataFrame) -> DataFrame:
     """The first reference among the first four words of the first list that has one."""
     found = _labelled(lined_rows, lambda w: w["number_label"].isNotNull())
-    value = F.coalesce(*[F.get(F.filter(F.slice(c, 1, 4), lambda w: w["reference"]), F.lit(0)) for c in ("rest", "under1", "under2")])
+    value = F.coalesce(*[F.get(F.filter(F.slice(c, 1, 4), lambda w: T.looks_like_reference(w["text"])), F.lit(0)) for c in ("rest", "under1", "under2")])
     found = found.withColumn("value", value).where(F.col("value").isNotNull())
     v = F.col("value")
     return _boxes(found, "numbers", _seq(), (v["x"], v["y"], v["w"], v["h"]), F.col("label.number_label"), F.lit("suggested"))
@@ -141,7 +141,7 @@ def labelled_numbers(lined_rows: DataFrame) -> DataFrame:
 def names(lined_rows: DataFrame) -> DataFrame:
     """Up to five name-like words after the filler that follows a name label."""
     found = _labelled(lined_rows, lambda w: w["name_label"])
-    found = found.where(~F.exists(F.slice("rest", 1, 3), lambda w: w["organisation"]))
+    found = found.where(~F.exists(F.slice("rest", 1, 3), lambda w: w["anchor"].isin(*schema.NOT_A_PERSON)))
 
     def first_not(a: Column, ok) -> Column:
         """How many elements at the head satisfy ok."""
@@ -150,7 +150,7 @@ def names(lined_rows: DataFrame) -> DataFrame:
 
     for c in ("rest", "under1", "under2"):
         found = found.withColumn(c, F.slice(c, first_not(F.col(c), lambda w: w["filler"] | (w["anchor"] == "")) + 1, 5))
-        ok = first_not(F.col(c), lambda w: w["name_part"] & ~w["name_label"] & w["number_label"].isNull())
+        ok = first_not(F.col(c), lambda w: T.looks_like_name_part(w["text"]) & ~w["name_label"] & w["number_label"].isNull())
         found = found.withColumn(c, F.slice(c, 1, ok))
     value = F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in ("rest", "under1", "under2")])
     found = found.withColumn("value", value).where(F.col("value").isNotNull()).withColumn("own", _seq())
@@ -165,7 +165,9 @@ def names(lined_rows: DataFrame) -> DataFrame:
 def addresses(lined_rows: DataFrame, most: int = 6) -> DataFrame:
     """From an address label to the line with a PIN code, six lines down at most; the search goes on below the block."""
     start = F.array_position(F.transform("ws", lambda w: w["address_label"]), True).cast("int")
-    marked = lined_rows.select(*PAGE, "line_no", "width", "height", "ws", start.alias("start"), F.exists("ws", lambda w: w["pin"]).alias("pin"), *G.named(_around(F.col("ws"))))
+    # Most pages have no such label; the rest is worked out for those that do.
+    lined_rows = lined_rows.withColumn("start", start).withColumn("_any", F.max("start").over(Window.partitionBy(*PAGE))).where("_any > 0")
+    marked = lined_rows.select(*PAGE, "line_no", "width", "height", "ws", "start", F.exists("ws", lambda w: w["digit"] & T.is_pin(w["text"])).alias("pin"), *G.named(_around(F.col("ws"))))
     down = Window.partitionBy(*PAGE).orderBy("line_no").rowsBetween(1, most)
     below = F.collect_list(F.struct("line_no", "pin", "x", "y", "w", "h")).over(down)
     marked = marked.withColumn("below", below).where(F.col("start") > 0)
