@@ -157,7 +157,9 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
         .option("compression", "uncompressed")
         .saveAsTable(name)
     )
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only its name: the files are the shared folder's, and table's plan knows them
+    return table
 
 
 def partitions(spark) -> int:
