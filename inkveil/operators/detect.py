@@ -23,6 +23,11 @@ def _seq() -> Column:
     return F.col("line_no").cast("long") * 1_000_000 + F.col("pos")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def on_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     """lines(words) with the width and height of their page."""
     return lines(words.join(pages.select(*PAGE, "width", "height"), list(PAGE)))
@@ -145,20 +150,24 @@ def names(lined_rows: DataFrame) -> DataFrame:
 
     def first_not(a: Column, ok) -> Column:
         """How many elements at the head satisfy ok."""
-        at = F.array_position(F.transform(a, lambda w: ~ok(w)), True).cast("int")
-        return F.when(at > 0, at - 1).otherwise(F.size(a))
-
-    for c in ("rest", "under1", "under2"):
-        found = found.withColumn(c, F.slice(c, first_not(F.col(c), lambda w: w["filler"] | (w["anchor"] == "")) + 1, 5))
-        ok = first_not(F.col(c), lambda w: T.looks_like_name_part(w["text"]) & ~w["name_label"] & w["number_label"].isNull())
-        found = found.withColumn(c, F.slice(c, 1, ok))
-    value = F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in ("rest", "under1", "under2")])
-    found = found.withColumn("value", value).where(F.col("value").isNotNull()).withColumn("own", _seq())
-    # Of candidates made of the same words only the first counts: one stays iff it is the first to hold some word.
-    each = found.select(*PAGE, "own", F.explode("value").alias("v"))
-    first = each.withColumn("least", F.min("own").over(Window.partitionBy(*PAGE, "v.line", "v.pos")))
-    fresh = first.where("least = own").select(*PAGE, "own").distinct()
-    found = found.join(fresh, [*PAGE, "own"], "left_semi")
+        return let(F.array_position(F.transform(a, lambda w: ~ok(w)), True).cast("int"), lambda at: F.when(at > 0, at - 1).otherwise(F.size(a)))
+
+    def value_of(a: Column) -> Column:
+        tail = F.slice(a, first_not(a, lambda w: w["filler"] | (w["anchor"] == "")) + 1, 5)
+        return let(tail, lambda t: F.slice(t, 1, first_not(t, lambda w: T.looks_like_name_part(w["text"]) & ~w["name_label"] & w["number_label"].isNull())))
+
+    lists = F.array(*[F.coalesce(value_of(F.col(c)), F.slice("rest", 1, 0)) for c in ("rest", "under1", "under2")])
+    found = found.withColumn("value", F.get(F.filter(lists, lambda v: F.size(v) > 0), F.lit(0))).where(F.col("value").isNotNull())
+    page = found.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(_seq().alias("own"), "width", "height", "value"))).alias("all"))
+
+    def claim(acc: Column, c: Column) -> Column:
+        """Of candidates made of words that earlier ones hold, only the first counts."""
+        words = F.transform(c["value"], lambda v: F.struct(v["line"].alias("line"), v["pos"].alias("pos")))
+        taken = let(words, lambda w: F.struct(F.array_union(acc["claimed"], w).alias("claimed"), (F.size(F.array_except(w, acc["claimed"])) > 0).alias("fresh")))
+        return let(taken, lambda t: F.when(t["fresh"], F.struct(t["claimed"].alias("claimed"), F.concat(acc["kept"], F.array(c)).alias("kept"))).otherwise(acc))
+
+    empty = F.struct(F.array().cast("array<struct<line:int,pos:int>>").alias("claimed"), F.slice("all", 1, 0).alias("kept"))
+    found = page.select(*PAGE, F.inline(F.aggregate("all", empty, claim)["kept"]))
     return _boxes(found, "names", F.col("own"), _around(F.col("value")), F.lit("Name"), F.lit("suggested"))
 
 
