@@ -150,16 +150,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """The row of docs with the smallest doc_id of each component.
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row of docs with the smallest doc_id of each component (doc_id, component_id).
 
     Where rows repeat that doc_id, one of them stays.  Rows without a doc_id have no place
     in that order: they stay if no row of their component has one, and then all of them.
     """
-    fps = staged(fingerprints(docs), "fingerprints")
-    found = staged(_groups(fps).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "kept")
+    found = staged(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "kept")
     kept = docs.join(found.distinct(), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
     if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
         known = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
         kept = known.unionByName(kept.where(F.col("doc_id").isNull()))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The first row of docs of each component of close fingerprints."""
+    return first_of_groups(docs, _groups(staged(fingerprints(docs), "fingerprints")))
