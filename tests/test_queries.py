@@ -38,3 +38,19 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pdf_files_takes_every_order(spark, tmp_path):
+    import hashlib
+
+    from inkveil.sinks.export import build_pdf
+
+    lines = [(order, n, mode) for order in (1, 2999, 3000, 7_000_000_000) for n, mode in ((2, "AIR"), (1, "RAIL"))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_shipmode string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["doc_id"]: (r["n_bytes"], r["pdf_sha256"]) for r in QUERIES["pdf_files"](spark, str(tmp_path)).collect()}
+    want = {}
+    for order in {o for o, _, _ in lines}:
+        pages = sorted((n, mode) for o, n, mode in lines if o == order)
+        pdf = build_pdf([("\xff\xd8".encode() + mode.encode() * 20, 1000, 500 + n * 100) for n, mode in pages])
+        want[order] = (len(pdf), hashlib.sha256(pdf).hexdigest())
+    assert got == want
