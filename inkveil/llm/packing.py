@@ -64,13 +64,23 @@ def json_ranks(path: str) -> dict[bytes, int]:
     return {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
 
 
+def json_added(path: str) -> dict[str, int]:
+    """The file's added tokens, which the tokenizers library finds in texts before anything else."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", ())
+    for t in added:
+        if t.get("single_word") or t.get("lstrip") or t.get("rstrip"):
+            raise ValueError(f"the added token {t['content']!r} takes account of what is around it")
+    return {t["content"]: t["id"] for t in added}
+
+
 _encodings: dict[str, tiktoken.Encoding] = {}
 
 
 def _encoding(path: str) -> tiktoken.Encoding:
-    """The file's vocabulary in the faster of the libraries that give its ids; special tokens' strings are ordinary text."""
+    """The file's vocabulary in the faster of the libraries that give its ids; added tokens in a text have their own."""
     if path not in _encodings:
-        _encodings[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=json_ranks(path), special_tokens={})
+        _encodings[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=json_ranks(path), special_tokens=json_added(path))
     return _encodings[path]
 
 
@@ -89,7 +99,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int = CAPACITY, separator:
         for b in pieces_of(batches, rows=4096, size=4 << 20):
             rows = {name: [] for name in PIECES.names}
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = memoryview(encode(text, disallowed_special=()).astype("<u4").tobytes() + end)
+                ids = memoryview(encode(text, allowed_special="all").astype("<u4").tobytes() + end)
                 for k, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     values = (chunk, doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), seen[length])
                     seen[length] += 1
