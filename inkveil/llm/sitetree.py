@@ -13,7 +13,7 @@ and style node there are
   presentation's and the page-weighted composite of what it holds.
 
 Branches of low composite importance are removed from every page of the host.  A host with
-fewer than ``MIN_PAGES`` pages tells nothing of this kind.  On any host, branches are removed
+fewer than ``MIN_PAGES`` pages tells nothing of this kind; copies of a page count once.  On any host, branches are removed
 whose style says by itself that they are no article: navigation, header or footer of a page,
 asides, forms, adverts, notices, comments (tag, role, class or id).  Where a page marks its
 article (article, main or role=main) only that part is taken, and inside it only styles, not
@@ -214,12 +214,12 @@ def _hash(text: str) -> int:
 _BLOCKS = pa.list_(pa.struct([("path", pa.int64()), ("article", pa.bool_()), ("text", pa.string())]))
 _PARSED = pa.schema(
     [
-        ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("blocks", _BLOCKS),
+        ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()), ("blocks", _BLOCKS),
         ("nodes", pa.list_(pa.struct([("path", pa.int64()), ("up", pa.int64()), ("style", pa.int64()), ("content", pa.int64())]))),
     ]
 )
 _PARSED_DDL = (
-    "page_id long, url string, host string, blocks array<struct<path:long,article:boolean,text:string>>, "
+    "page_id long, url string, host string, page long, blocks array<struct<path:long,article:boolean,text:string>>, "
     "nodes array<struct<path:long,up:long,style:long,content:long>>"
 )
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
@@ -258,13 +258,18 @@ def _parse(page: str):
     return [{"path": _hash(p), "article": a, "text": t} for p, a, _, t in kept], nodes
 
 
+def _page(kept: list[dict]) -> int:
+    """A hash of what the page holds: copies of a page have the same."""
+    return _hash("\n".join(f"{b['path']} {b['text']}" for b in kept))
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in pieces_of(batches, rows=1000, size=4 << 20, column="html"):
             both = [_parse(x) for x in b.column("html").to_pylist()]
             urls = b.column("url").to_pylist()
             yield batch(
-                {"page_id": b.column("page_id"), "url": urls, "host": list(map(_host, urls)), "blocks": [x[0] for x in both], "nodes": [x[1] for x in both]},
+                {"page_id": b.column("page_id"), "url": urls, "host": list(map(_host, urls)), "page": [_page(x[0]) for x in both], "blocks": [x[0] for x in both], "nodes": [x[1] for x in both]},
                 _PARSED,
             )
 
@@ -307,10 +312,18 @@ def composite(tree: DataFrame, mix: float = MIX) -> DataFrame:
     )
 
 
+def different(rows: DataFrame) -> DataFrame:
+    """One row of each page of a host: copies tell nothing of what its pages have in common."""
+    pages = rows.select("host", "page", "row")
+    repeated = pages.groupBy("host", "page").agg(F.count("*").alias("copies"), F.min("row").alias("first")).where("copies > 1")
+    again = pages.join(repeated, ["host", "page"]).where("row <> first").select("row")
+    return rows.join(again, "row", "left_anti")
+
+
 def main_text(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages."""
     rows = staged(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    weak = composite(style_tree(rows)).where((F.col("importance") < low) & (F.col("pages") >= min_pages)).select("host", "path")
+    weak = composite(style_tree(different(rows))).where((F.col("importance") < low) & (F.col("pages") >= min_pages)).select("host", "path")
     # Pages that mark their article need nothing of the tree and move nothing.
     marked = F.exists("blocks", lambda b: b["article"])
     loose = rows.where(~marked)
