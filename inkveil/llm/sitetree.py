@@ -71,7 +71,9 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<([/]?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
-NONE, ARTICLE, OUT = 0, 1, 2
+# Words that turn such a name into its absence, or into what holds it among other things.
+AROUND = frozenset("no non not has have with without wrap wrapper wrapping container layout".split())
+NONE, ARTICLE, OUT, NAMED, HEADING = 0, 1, 2, 3, 4
 
 
 def _style(tag: str, attributes: str) -> tuple[str, int]:
@@ -89,26 +91,36 @@ def _style(tag: str, attributes: str) -> tuple[str, int]:
         return name, ARTICLE
     if tag in DROPPED or role in ROLES or "hidden" in found or found.get("aria-hidden") == "true":
         return name, OUT
+    kind = NONE
     if tag not in ("html", "body"):
         for key in ("id", "class"):
             for word in (found.get(key) or "").split():
                 parts = [p.lower() for p in _WORD.findall(word)]
-                if STYLES.intersection(parts):
-                    return name, OUT
-    return name, NONE
+                listed = STYLES.intersection(parts)
+                if listed and not AROUND.intersection(parts):
+                    kind = HEADING if listed == {"header"} else NAMED
+                    if kind == NAMED:
+                        return name, NAMED
+    return name, kind
 
 
 class _Node:
-    __slots__ = ("tag", "path", "article", "out", "header")
+    # hard: removed by its tag or role; named: by a word of its class or id; nested: an article in something named.
+    __slots__ = ("tag", "path", "article", "hard", "named", "nested", "out")
 
-    def __init__(self, tag, path, article, out):
-        self.tag, self.path, self.article, self.out = tag, path, article, out
+    def __init__(self, tag, path, article, hard, named, nested):
+        self.tag, self.path, self.article, self.hard, self.named, self.nested = tag, path, article, hard, named, nested
+        self.out = hard or named or nested
 
 
 def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
-    """(style path, inside an article, removed by its style, text) in page order, without empty ones."""
+    """(style path, inside an article, removed by its style, text) in page order, without empty ones.
+
+    A word of a class or id removes no article that is below it, unless the page has another.
+    """
     out: list[tuple[str, bool, bool, str]] = []
-    stack = [_Node("", "", False, False)]
+    nested: list[int] = []
+    stack = [_Node("", "", False, False, False, False)]
     owner, run, styles = stack[0], [], {}
 
     def flush() -> None:
@@ -116,6 +128,8 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             text = " ".join(html.unescape("".join(run)).split())
             run.clear()
             if text:
+                if owner.nested and not owner.hard and not owner.named:
+                    nested.append(len(out))
                 out.append((owner.path, owner.article, owner.out, text))
 
     def pop_to(n: int) -> None:
@@ -166,8 +180,13 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
                 styles[key] = _style(*key)
             name, kind = styles[key]
             # A header inside an article may hold its headline.
-            gone = parent.out or kind == OUT or (tag == "header" and not parent.article)
-            inside = parent.article or (kind == ARTICLE and not gone)
+            hard = parent.hard or kind == OUT or (tag == "header" and not parent.article)
+            named = parent.named or kind == NAMED or (kind == HEADING and not parent.article)
+            below = parent.nested or (kind == ARTICLE and parent.named and not parent.article)
+            if below and not parent.nested:
+                named = False
+            inside = parent.article or (kind == ARTICLE and not hard and not named)
+            gone = hard or named or below
             path = f"{parent.path}/{name}" if tag in BLOCK or tag in DROPPED else parent.path
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
@@ -175,7 +194,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
                 continue
             if m[3].endswith("/") and tag not in BLOCK:
                 continue
-            stack.append(_Node(tag, path, inside, gone))
+            stack.append(_Node(tag, path, inside, hard, named, below))
             if tag in BLOCK or tag in DROPPED or gone != parent.out:
                 if gone != parent.out:
                     flush()
@@ -204,6 +223,9 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
                 owner = top
             break
     flush()
+    if nested and not any(article and not gone for _, article, gone, _ in out):
+        for i in nested:
+            out[i] = (out[i][0], True, False, out[i][3])
     return out
 
 
