@@ -10,8 +10,8 @@ the paragraph with the family's notices: the share of a notice's 2-grams that it
 
 Training runs in the driver on a fixed set of some thousand sentences made from the notices
 below; it reads no table.  The weights that lasso leaves become constants of the scan's
-column expression.  A paragraph that holds none of the cues in ``LOOK`` (each notice holds
-one) is ``none`` by definition, so most paragraphs, and texts, cost one pattern match.
+column expression.  A paragraph without any word of the pattern ``look`` makes of the weights
+cannot be anything but ``none``, so it costs one pattern match.
 
 Null texts count as empty.  Every row gives one row, repeated ones too; an empty table gives
 an empty result; further columns are not read.  Equal texts get equal results.
@@ -213,9 +213,31 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Every licence notice names a licence somehow: a paragraph without any of these is ``none``.
-_CUES = ("licen[cs]e", "spdx", "gnu", "unencumbered", "redistribut", "hereby granted", "creative commons", "public domain", "cc0", "cc by", "mozilla")
-LOOK = "(?i)" + "|".join(_CUES)
+def look(model: Model) -> str:
+    """A pattern that every paragraph holds for which the classifier can say anything but ``none``.
+
+    Without any of its words the features left cannot add up, for any class, to the lead that
+    ``none`` has in the bias, so the classifier's answer on such a paragraph is known.
+    """
+    gain = np.maximum(model.weights - model.weights[:, :1], 0)[:, 1:]
+    lead = model.bias[0] - model.bias[1:]
+    most: dict[str, float] = {}
+    for f, g in zip(model.features, gain.max(axis=1)):
+        for w in f.split():
+            most[w] = max(most.get(w, 0.0), g)
+    chosen: set[str] = set()
+    for w in [*sorted(most, key=lambda w: (-most[w], w)), ""]:
+        left = [i for i, f in enumerate(model.features) if chosen.isdisjoint(f.split())]
+        if (gain[left].sum(axis=0) < lead).all():
+            return f"(?i)(?<![a-z0-9])(?:{'|'.join(sorted(chosen))})(?![a-z0-9])"
+        chosen.add(w)
+    return ""
+
+
+def __getattr__(name: str) -> str:
+    if name == "LOOK":
+        return look(trained())
+    raise AttributeError(name)
 
 
 def _grams(found: Column) -> Column:
@@ -279,10 +301,11 @@ def classify(paragraph: Column, model: Model) -> Column:
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, found: array of (paragraph, family, probability, similarity, confirmed) of each text."""
     model = model or trained()
+    pattern = look(model)
     lines = F.split("text", "\n", -1)
     numbered = F.transform(lines, lambda p, i: F.struct(i.alias("paragraph"), p.alias("line")))
-    looked = F.filter(numbered, lambda s: s["line"].rlike(LOOK))
-    rows = keyed_texts(docs).select("doc_id", F.when(F.col("text").rlike(LOOK), looked).otherwise(F.array().cast("array<struct<paragraph:int,line:string>>")).alias("looked"))
+    looked = F.filter(numbered, lambda s: s["line"].rlike(pattern))
+    rows = keyed_texts(docs).select("doc_id", F.when(F.col("text").rlike(pattern), looked).otherwise(F.array().cast("array<struct<paragraph:int,line:string>>")).alias("looked"))
     judged = F.transform(
         "looked",
         lambda s: let(

@@ -1,0 +1,23 @@
+from inkveil.llm import licences as L
+
+
+def ungated(text, model):
+    found = []
+    for n, line in enumerate(text.split("\n")):
+        p = model.probabilities(line)
+        k = int(p.argmax())
+        family = L.UNKNOWN if k > 1 and p[k] < model.threshold else L.CLASSES[k]
+        if family != L.NONE:
+            found.append((n, family))
+    return found
+
+
+def test_the_gate_changes_no_answer(spark, small):
+    model = L.trained()
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    more = [(10_000, "shared under CC-BY-SA 4.0"), (10_001, "Apache-2.0"), (10_002, "BSD-3-Clause"), (10_003, "is hereby  granted"), (10_004, "Attribution-ShareAlike 4.0 International"), (10_005, "x")]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = {r["doc_id"]: [(x["paragraph"], x["family"]) for x in r["found"]] for r in L.scan(docs).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert got == {i: ungated(t, model) for i, t in texts.items()}
+    assert got[10_004]  # no cue of the list that decided before
