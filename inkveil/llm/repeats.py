@@ -2,23 +2,19 @@
 
 A window is ``width`` consecutive units (bytes or words) of one document.  The corpus is cut
 into chunks: some megabytes of whole documents, one compressed row each, in a table of the
-shared folder that is bucketed by chunk, so that later joins by chunk move no text.  Three
-passes read it:
-
-1. *Cover.*  Of every ``span`` units the k-gram with the smallest fingerprint is a sample.
-   Two equal windows hold the same samples at the same distances, wherever they begin, so
-   the samples are a cover chosen by content.  Each chunk sends the set of its samples'
-   fingerprints; those seen twice come back.  A window can only be repeated if all of its
-   samples are.
-2. *Buckets.*  Each chunk sends, for the windows that pass, their fingerprints, in sorted
-   runs cut at the bounds of fingerprint buckets, with the smallest document of each where
-   that counts.  One bucket at a time is merged; one bit for each sent entry comes back.
-3. *Verdict.*  Each chunk marks the windows, and what they cover.
+shared folder that is bucketed by chunk, so that later joins by chunk move no text.
+
+The first pass finds which windows can be repeated at all.  Of every ``span`` units the k-gram
+with the smallest fingerprint is a sample.  Two equal windows hold the same samples at the
+same distances, wherever they begin, so the samples are a cover chosen by content.  Each chunk
+sends the set of its samples' fingerprints, in sorted runs cut at the bounds of fingerprint
+buckets; one bucket at a time is merged, and a bit for each comes back: is it also another
+chunk's?  A window can only be repeated if all of its samples are.  Fingerprints decide no
+more than that: which windows are equal is found on their text (``suffixes``, ``trees``).
 
 A fingerprint is a polynomial in 64 bits over random unit codes, scrambled; a chunk sends it
 once however often it has it, so a passage that a third of all documents hold is one entry a
-chunk.  No pass sends text.  Buckets hold as much as the shuffle partitions are sized for,
-divided by ``SPLIT``; nothing else grows with the corpus on one machine.
+chunk.  Buckets hold as much as the shuffle partitions are sized for, divided by ``SPLIT``.
 """
 
 from __future__ import annotations
@@ -249,8 +245,8 @@ class Cover:
 
 # --- runs of fingerprints, cut into buckets ---------------------------------------------
 
-_SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
-_SENT_DDL = "part int, chunk long, n long, keys binary, docs binary"
+_SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("keys", pa.binary())])
+_SENT_DDL = "part int, chunk long, n long, keys binary"
 _BACK = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("bits", pa.binary())])
 _BACK_DDL = "chunk long, part int, n long, bits binary"
 
@@ -269,7 +265,7 @@ def unplanes(data: bytes, n: int, dtype=np.uint64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, n).T).reshape(-1).view(dtype)
 
 
-def send(chunk: int, keys: np.ndarray, docs: np.ndarray | None, parts: int):
+def send(chunk: int, keys: np.ndarray, parts: int):
     """A row for each bucket that the sorted keys reach into."""
     first = bounds(parts)
     cut = np.append(np.searchsorted(keys, first), len(keys))
@@ -280,37 +276,23 @@ def send(chunk: int, keys: np.ndarray, docs: np.ndarray | None, parts: int):
         rows["chunk"].append(chunk)
         rows["n"].append(int(b - a))
         rows["keys"].append(planes(np.diff(keys[a:b], prepend=first[part])))
-        rows["docs"].append(None if docs is None else planes(np.ascontiguousarray(docs[a:b])))
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _SENT], schema=_SENT)
 
 
 def merged(sent: DataFrame, parts: int) -> DataFrame:
-    """One bucket at a time: a bit for each entry.
-
-    Without docs: is the key also another chunk's?  With docs: does another chunk have it in
-    a smaller document than this one?
-    """
+    """One bucket at a time: a bit for each entry, whether the key is also another chunk's."""
 
     def run(key, table):
         first = bounds(parts)[key[0].as_py()]
         sizes = table.column("n").to_numpy()
         runs = [np.cumsum(unplanes(k.as_py(), n)) + first for k, n in zip(table.column("keys"), sizes.tolist())]
         keys = np.concatenate(runs)
-        if table.column("docs").null_count:
-            order = np.argsort(keys, kind="stable")
-            ordered = keys[order]
-            same = ordered[1:] == ordered[:-1]
-            hit = np.zeros(len(keys), bool)
-            hit[order[1:][same]] = True
-            hit[order[:-1][same]] = True
-        else:
-            docs = np.concatenate([unplanes(d.as_py(), n, np.int64) for d, n in zip(table.column("docs"), sizes.tolist())])
-            order = np.lexsort((docs, keys))
-            ordered = keys[order]
-            begins = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-            least = docs[order][np.maximum.accumulate(np.where(begins, np.arange(len(keys)), 0))]
-            hit = np.zeros(len(keys), bool)
-            hit[order] = least < docs[order]
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        same = ordered[1:] == ordered[:-1]
+        hit = np.zeros(len(keys), bool)
+        hit[order[1:][same]] = True
+        hit[order[:-1][same]] = True
         cuts = np.cumsum(sizes)[:-1]
         bits = [np.packbits(h).tobytes() for h in np.split(hit, cuts)]
         arrays = [table.column("chunk").combine_chunks(), table.column("part").combine_chunks(), table.column("n").combine_chunks(), pa.array(bits, pa.binary())]
@@ -332,7 +314,7 @@ def told(found) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool) for r in found])
 
 
-# --- the three passes -------------------------------------------------------------------
+# --- chunks in the passes -------------------------------------------------------------------
 
 
 class Chunk:
@@ -379,7 +361,7 @@ class Store:
         def sample(batches):
             for b in batches:
                 for number, data in zip(b.column("chunk").to_pylist(), b.column("rows")):
-                    yield send(number, Chunk(data.as_py(), unit, ordered).keys, None, parts)
+                    yield send(number, Chunk(data.as_py(), unit, ordered).keys, parts)
 
         # The bits go back to the chunks twice, so they are kept.
         samples = returned(merged(self.table.mapInArrow(sample, _SENT_DDL), parts), "samples")
@@ -394,49 +376,6 @@ class Store:
         return self.table.join(both.hint("shuffle_hash"), "chunk", "left").select("rows", "samples", "windows")
 
 
-def repeats(docs: DataFrame, unit: Unit, ordered: bool, finish: Callable, schema: str, chunk: int = CHUNK) -> DataFrame:
-    """finish(rows, texts, marks) -> record batch, for each chunk: marks[i] are the starts of
-    document i's windows that are found elsewhere (ordered: in a document of smaller id)."""
-    store = Store(docs, unit, ordered, chunk)
-    parts = store.parts
-
-    def candidates(data, bits):
-        c = Chunk(data, unit, ordered)
-        row, start, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for seg, at in c.passing(bits):
-            piece = np.searchsorted(seg.start, at, side="right") - 1
-            row.append(seg.doc[piece])
-            start.append(at - seg.start[piece] + seg.first[piece])
-            prints.append(Sums(seg.codes).of(unit.width, at))
-        row, start, prints = map(np.concatenate, (row, start, prints))
-        order = np.argsort(prints, kind="stable") if c.ids is None else np.lexsort((c.ids[row], prints))
-        ordered_prints = prints[order]
-        begin = np.flatnonzero(np.diff(ordered_prints, prepend=~ordered_prints[:1])) if len(prints) else np.zeros(0, np.int64)
-        return c, row, start, order, ordered_prints, begin
-
-    def gather(batches):
-        for b in batches:
-            for number, data, bits in zip(b.column("chunk").to_pylist(), b.column("rows"), b.column("samples").to_pylist()):
-                c, row, _, order, prints, begin = candidates(data.as_py(), bits)
-                yield send(number, prints[begin], None if c.ids is None else c.ids[row[order]][begin], parts)
-
-    def judge(batches):
-        for b in batches:
-            for data, samples, windows in zip(b.column("rows"), b.column("samples").to_pylist(), b.column("windows").to_pylist()):
-                c, row, start, order, prints, begin = candidates(data.as_py(), samples)
-                size = np.diff(np.append(begin, len(prints)))
-                hit = np.repeat(told(windows), size)
-                if c.ids is None:
-                    hit |= np.repeat(size > 1, size)
-                elif len(begin):
-                    own = c.ids[row[order]]
-                    hit |= own > np.repeat(own[begin], size)
-                yield finish(c.rows, c.texts, by_row(row[order][hit], start[order][hit], len(c.texts)))
-
-    back = merged(store.joined.mapInArrow(gather, _SENT_DDL), parts)
-    return store.with_bits(back).mapInArrow(judge, schema)
-
-
 def by_row(row: np.ndarray, start: np.ndarray, n: int) -> list[np.ndarray]:
     """The starts of each of n rows, ascending."""
     by = np.lexsort((start, row))

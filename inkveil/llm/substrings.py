@@ -2,11 +2,12 @@
 
 Operator 1 removes each byte covered by a 400-byte string that also starts anywhere else.
 Operator 4 removes each word covered by a 13-word window that also starts in a document with
-a smaller doc_id.  Both judge the input, not what is left of it; see ``repeats`` for how.
+a smaller doc_id.  Both judge the input, not what is left of it; see ``suffixes`` and ``trees`` for how.
 
 Null texts count as empty.  Repeated rows are documents of their own; for operator 4 equal
 doc_ids are not smaller than each other, and a null doc_id is larger than any other.  Texts
-shorter than a window keep everything.  An empty table gives an empty result.  Further
+shorter than a window keep everything.  Very long texts are judged in overlapping pieces, not
+cut.  An empty table gives an empty result.  Further
 columns are not read, except by ``keep_first_passages``, which passes them on.
 """
 
@@ -19,9 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from . import suffixes
+from . import suffixes, trees
 from .common import batch, keyed_texts
-from .repeats import Unit, covered, repeats
+from .repeats import Unit, covered
 
 BYTES, WORDS = 400, 13
 _BYTE_CODES = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,7 +114,7 @@ def dedup_words(docs: DataFrame, width: int = WORDS) -> DataFrame:
             out["kept_sha256"].append(hashlib.sha256(b" ".join(words)).hexdigest())
         return batch(out, schema)
 
-    return repeats(keyed_texts(docs), _word_unit(width), True, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return trees.repeats(keyed_texts(docs), _word_unit(width), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def keep_first_passages(docs: DataFrame, width: int = WORDS) -> DataFrame:
@@ -141,8 +142,4 @@ def keep_first_passages(docs: DataFrame, width: int = WORDS) -> DataFrame:
         kept = rows.filter(pa.array(stay)).combine_chunks()
         return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], kept.schema)
 
-    return repeats(shaped, _word_unit(width), True, finish, _ddl(shaped)).select(*names)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return trees.repeats(shaped, _word_unit(width), finish, shaped.schema).select(*names)

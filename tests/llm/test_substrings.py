@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from inkveil.llm import repeats, substrings
+from inkveil.llm import repeats, substrings, trees
 
 
 def brute_bytes(texts, width):
@@ -80,7 +80,7 @@ def test_many_chunks(spark, make, texts, monkeypatch):
 
     docs = make(texts)
     unit = substrings.WORD_UNIT
-    got = repeats.repeats(docs.select("doc_id", "text"), unit, True, count, "doc_id long, hits long", chunk=300)
+    got = trees.repeats(docs.select("doc_id", "text"), unit, count, "doc_id long, hits long", chunk=300)
     first = {}
     for i, t in enumerate(texts):
         w = (t or "").split()
@@ -118,3 +118,26 @@ def test_words_against_sql(spark, small):
     con.execute(f"create view documents as select * from '{small}/documents.parquet'")
     want = con.execute(ORACLES["op4_substring_dedup"]).fetchall()
     assert sorted(map(tuple, QUERIES["op4_substring_dedup"](spark, small).collect())) == sorted(want)
+
+
+def test_groups_by_prefixes():
+    some = [b"a b c", b"a b d", b"a b d", b"b", b"ba", b"c x y", b"c x z"]
+    found = trees.prefixes(some, 4)
+    assert found == sorted(set(found)) and all(any(s.startswith(p) for s in some) for p in found)
+    assert trees.prefixes([], 4) == [] and trees.prefixes([b"a"] * 9, 4) == []
+
+
+def test_equal_word_codes_are_told_apart(make, texts, monkeypatch):
+    # Codes of two values: the cover passes nearly every window, and only the text can decide.
+    rough = repeats.Unit(lambda t: substrings.word_codes(t) % 2, substrings.WORDS, 6, 13)
+    monkeypatch.setattr(substrings, "WORD_UNIT", rough)
+    rows = substrings.dedup_words(make(texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == brute_words(texts, range(len(texts)))
+
+
+def test_columns_of_any_name(spark, texts):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("my col", F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c`d")))
+    out = substrings.keep_first_passages(rows)
+    assert out.columns == rows.columns and {r["my col"][0] for r in out.collect()} == {1}
