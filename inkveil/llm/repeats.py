@@ -370,10 +370,10 @@ class Store:
         self.samples = spark.read.schema(samples.schema).parquet(path)
         self.joined = self.table.join(self.samples.hint("shuffle_hash"), "chunk", "left")
 
-    def with_bits(self, back: DataFrame) -> DataFrame:
-        """rows, samples, windows of each chunk: windows are the bits that came back for what it sent."""
-        both = self.samples.join(returned(back, "windows"), "chunk", "left")
-        return self.table.join(both.hint("shuffle_hash"), "chunk", "left").select("rows", "samples", "windows")
+    def answered(self, back: DataFrame, label: str) -> DataFrame:
+        """rows, samples and what came back (chunk, label) for each chunk."""
+        both = self.samples.join(back, "chunk", "left")
+        return self.table.join(both.hint("shuffle_hash"), "chunk", "left").select("rows", "samples", label)
 
 
 def by_row(row: np.ndarray, start: np.ndarray, n: int) -> list[np.ndarray]:

@@ -7,8 +7,9 @@ place is a sample in every place with the same text, and any two suffixes to be
 reach samples at a common distance.  (A cover by position modulo v promises that for only
 one of some 17 samples in 273 positions, and would have to hold six times as many.)
 
-A bucket holds the text around the anchors of a range of k-gram fingerprints, each
-neighbourhood once a chunk.  In it
+Each chunk sends each different neighbourhood, the text around an anchor, once; equal ones
+are counted before they meet others of their anchor.  Buckets are runs of anchors that come
+sorted and hold up to ``HELD`` bytes.  In a bucket
 
 1. the anchors are ranked by the text that follows them (the sample suffixes' order), with
    the longest common prefixes of neighbours in that order, and likewise by the text before
@@ -17,9 +18,11 @@ neighbourhood once a chunk.  In it
    units before it and width - o from it on.  So ties are resolved by two ranks, whatever
    their length: the window's suffix class is the pair of rank groups at these depths.
 
-Comparisons are of text, not of fingerprints; fingerprints only choose bucket and anchor.
-Memory is bounded by the bucket: its neighbourhoods, one table of their bytes, and for one
-distance o at a time the pairs of ranks.
+An anchor whose different neighbourhoods alone pass that size is not held: its windows go on
+one by one and are counted by their text, spread over all tasks.  Comparisons are of text,
+not of fingerprints; fingerprints only choose bucket and anchor.  Memory is bounded by the
+bucket: its neighbourhoods, one table of their bytes, and for one distance o at a time the
+pairs of ranks.  What goes back to a chunk is the windows that nothing else has.
 """
 
 from __future__ import annotations
@@ -28,14 +31,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from .repeats import CHUNK, Chunk, Segment, Store, Sums, Unit, bounds, by_row, pack_rows, scramble, sliding_min, told, unpack_rows
-from .repeats import _BACK, _BACK_DDL
+from .common import staged
+from .repeats import CHUNK, Chunk, Segment, Store, Sums, Unit, by_row, scramble, sliding_min
 
-_SENT = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("rows", pa.binary())])
-_SENT_DDL = "part int, chunk long, n long, rows binary"
-_AROUND = pa.schema([("anchor", pa.uint64()), ("before", pa.int32()), ("text", pa.binary())])
+#: Bytes of neighbourhoods that a bucket holds at most.
+HELD = 16 << 20
+
+_SENT = pa.schema([("anchor", pa.int64()), ("before", pa.int32()), ("text", pa.binary()), ("copies", pa.int64()), ("chunk", pa.int64()), ("at", pa.int32())])
+_SENT_DDL = "anchor long, before int, text binary, copies long, chunk long, at int"
+# Windows of a chunk's neighbourhood that are alone; or a window still to be counted, with its text.
+_JUDGED = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("alone", pa.binary()), ("text", pa.binary()), ("copies", pa.int64())])
+_JUDGED_DDL = "chunk long, at int, alone binary, text binary, copies long"
 
 
 def anchored(seg: Segment, at: np.ndarray, unit: Unit) -> Iterator[tuple[int, int, int, int]]:
@@ -75,36 +83,31 @@ class Neighbourhoods:
                 self.row.append(doc)
                 self.start.append(first + shift)
                 self.which.append(known.setdefault((value, q - first, text), len(known)))
-        anchor = np.array([k[0] for k in known], np.uint64)
-        # In the order of anchors, so that a bucket's are together.
-        order = np.argsort(anchor, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        keys = list(known)
-        self.anchor = anchor[order]
-        self.before = np.array([keys[i][1] for i in order], np.int32)
-        self.text = [keys[i][2] for i in order]
-        self.which = place[np.array(self.which, np.int64)] if known else np.zeros(0, np.int64)
-        self.size = np.array([len(t) - unit.width + 1 for t in self.text], np.int64)  # windows
-
-    def send(self, number: int, parts: int) -> pa.RecordBatch:
-        cut = np.append(np.searchsorted(self.anchor, bounds(parts)), len(self.anchor))
-        out = {n: [] for n in _SENT.names}
-        for part in np.flatnonzero(np.diff(cut)):
-            a, b = int(cut[part]), int(cut[part + 1])
-            rows = pa.RecordBatch.from_arrays([pa.array(self.anchor[a:b]), pa.array(self.before[a:b]), pa.array(self.text[a:b], pa.binary())], schema=_AROUND)
-            for name, value in zip(_SENT.names, (int(part), number, b - a, pack_rows(rows))):
-                out[name].append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in _SENT], schema=_SENT)
-
-    def hits(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and start of each window whose bit is set, or whose neighbourhood the chunk has twice."""
+        self.known = list(known)
+        self.which = np.array(self.which, np.int64)
+        self.size = np.array([len(t) - unit.width + 1 for _, _, t in known], np.int64)  # windows
+        self.copies = np.bincount(self.which, minlength=len(known))
+
+    def send(self, number: int, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.known), rows):
+            part = self.known[at : at + rows]
+            n = len(part)
+            columns = [
+                np.array([k[0] for k in part], np.uint64).view(np.int64), np.array([k[1] for k in part], np.int32), [k[2] for k in part],
+                self.copies[at : at + n], np.full(n, number), np.arange(at, at + n),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SENT)], schema=_SENT)
+
+    def hits(self, alone) -> tuple[np.ndarray, np.ndarray]:
+        """Row and start of each window but those that came back as alone."""
         end = np.cumsum(self.size)
-        twice = np.bincount(self.which, minlength=len(self.size)) > 1
-        bits = bits | np.repeat(twice, self.size)
+        begin = end - self.size
+        hit = np.ones(int(self.size.sum()), bool)
+        for r in alone or ():
+            hit[begin[r["at"]] + np.frombuffer(r["alone"], np.int32)] = False
         row, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for doc, first, w in zip(self.row, self.start, self.which.tolist()):
-            at = np.flatnonzero(bits[end[w] - self.size[w] : end[w]])
+            at = np.flatnonzero(hit[begin[w] : end[w]])
             if len(at):
                 row.append(np.full(len(at), doc))
                 start.append(at + first)
@@ -162,45 +165,73 @@ def repeated_windows(anchor: np.ndarray, before: np.ndarray, text: list[bytes],
 
 
 def merged(sent: DataFrame, width: int) -> DataFrame:
-    """One bucket at a time: a bit for each window of the neighbourhoods that each chunk sent."""
-
-    def run(key, table):
-        tables = [unpack_rows(r.as_py()) for r in table.column("rows")]
-        anchor = np.concatenate([t.column("anchor").to_numpy() for t in tables])
-        before = np.concatenate([t.column("before").to_numpy() for t in tables]).astype(np.int64)
-        text = [x for t in tables for x in t.column("text").to_pylist()]
-        hits, at, bits, count = repeated_windows(anchor, before, text, width), 0, [], []
-        for t in tables:
-            own = np.concatenate(hits[at : at + t.num_rows])
-            at += t.num_rows
-            bits.append(np.packbits(own).tobytes())
-            count.append(len(own))
-        arrays = [table.column("chunk").combine_chunks(), table.column("part").combine_chunks(), pa.array(count, pa.int64()), pa.array(bits, pa.binary())]
-        return pa.Table.from_arrays(arrays, schema=_BACK)
-
-    return sent.groupBy("part").applyInArrow(run, _BACK_DDL)
+    """chunk, alone: array of (at, alone), the windows of its neighbourhoods that nothing else has."""
+    held = HELD
+
+    def judged(rows: list[dict]) -> pa.RecordBatch:
+        anchor = np.array([r["anchor"] for r in rows], np.int64)
+        before = np.array([r["before"] for r in rows], np.int64)
+        hits = repeated_windows(anchor.view(np.uint64), before, [r["text"] for r in rows], width)
+        # A neighbourhood that is there twice has no window that is alone.
+        out = [(r["chunk"], r["at"], np.flatnonzero(~h).astype(np.int32).tobytes()) for r, h in zip(rows, hits) if r["copies"] == 1 and not h.all()]
+        columns = [[x[i] for x in out] for i in range(3)] + [[None] * len(out)] * 2
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _JUDGED)], schema=_JUDGED)
+
+    def apart(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            n, text = len(r["text"]) - width + 1, r["text"]
+            place = [i.to_bytes(4, "little") for i in range(n)]
+            columns = [[r["chunk"]] * n, [r["at"]] * n, place, [text[i : i + width] for i in range(n)], [r["copies"]] * n]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _JUDGED)], schema=_JUDGED)
+
+    def run(batches):
+        done, now, size, own, crowded, last = [], [], 0, 0, False, None
+        # done: rows of whole anchors; now: those of the anchor at hand, of own bytes.
+        for b in batches:
+            for r in b.to_pylist():
+                if r["anchor"] != last:
+                    if not crowded:
+                        done += now
+                        size += own
+                        if size > held:
+                            yield judged(done)
+                            done, size = [], 0
+                    now, own, crowded, last = [], 0, False, r["anchor"]
+                if crowded:
+                    yield from apart([r])
+                    continue
+                now.append(r)
+                own += len(r["text"])
+                if own > held:
+                    yield from apart(now)
+                    now, own, crowded = [], 0, True
+        if done or now:
+            yield judged(done + now)
+
+    counted = sent.groupBy("anchor", "before", "text").agg(F.sum("copies").alias("copies"), F.min("chunk").alias("chunk"), F.min("at").alias("at"))
+    ordered = counted.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "before", "text", "copies", "chunk", "at")
+    found = staged(ordered.mapInArrow(run, _JUDGED_DDL), "judged")
+    # Windows of crowded anchors: one row each, by their text.  Only those of one copy matter, so the least place is theirs.
+    single = found.where("text is not null").groupBy("text").agg(F.sum("copies").alias("copies"), *[F.min(x).alias(x) for x in ("chunk", "at", "alone")]).where("copies = 1")
+    back = found.where("text is null").select("chunk", "at", "alone").unionByName(single.select("chunk", "at", "alone"))
+    return back.groupBy("chunk").agg(F.collect_list(F.struct("at", "alone")).alias("alone"))
 
 
 def repeats(docs: DataFrame, unit: Unit, finish: Callable, schema: str, chunk: int = CHUNK) -> DataFrame:
     """finish(rows, texts, marks) -> record batch, for each chunk: marks[i] are the starts of
     document i's windows that start anywhere else too."""
     store = Store(docs, unit, False, chunk)
-    parts = store.parts
 
     def gather(batches):
         for b in batches:
             for number, data, bits in zip(b.column("chunk").to_pylist(), b.column("rows"), b.column("samples").to_pylist()):
-                yield Neighbourhoods(Chunk(data.as_py(), unit, False), bits).send(number, parts)
+                yield from Neighbourhoods(Chunk(data.as_py(), unit, False), bits).send(number)
 
     def judge(batches):
         for b in batches:
-            for data, samples, windows in zip(b.column("rows"), b.column("samples").to_pylist(), b.column("windows").to_pylist()):
+            for data, samples, alone in zip(b.column("rows"), b.column("samples").to_pylist(), b.column("alone").to_pylist()):
                 c = Chunk(data.as_py(), unit, False)
-                around = Neighbourhoods(c, samples)
-                row, start = around.hits(told(windows))
+                row, start = Neighbourhoods(c, samples).hits(alone)
                 yield finish(c.rows, c.texts, by_row(row, start, len(c.texts)))
 
-    back = merged(store.joined.mapInArrow(gather, _SENT_DDL), unit.width)
-    return store.with_bits(back).mapInArrow(judge, schema)
-
-
+    return store.answered(merged(store.joined.mapInArrow(gather, _SENT_DDL), unit.width), "alone").mapInArrow(judge, schema)

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from inkveil.llm import repeats, substrings, trees
+from inkveil.llm import repeats, substrings, suffixes, trees
 
 
 def brute_bytes(texts, width):
@@ -141,3 +141,36 @@ def test_columns_of_any_name(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("my col", F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c`d")))
     out = substrings.keep_first_passages(rows)
     assert out.columns == rows.columns and {r["my col"][0] for r in out.collect()} == {1}
+
+
+def _around_one_passage(n=24):
+    """One 500-byte passage in every text, with other text around it; some of that twice."""
+    import random
+
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ijklm nop") for _ in range(500))
+    sides = ["".join(rng.choice("qrstuvwxyz 0123456789") for _ in range(300)) for _ in range(n)]
+    return [sides[i] + line + sides[i // 2] for i in range(n)]
+
+
+@pytest.mark.parametrize("held", [1, 2000, 16 << 20])
+def test_one_passage_in_every_chunk(make, monkeypatch, held):
+    monkeypatch.setattr(suffixes, "HELD", held)
+    some = _around_one_passage()
+    unit = substrings.BYTE_UNIT
+
+    def starts(rows, _, marks):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array([m.tolist() for m in marks], pa.list_(pa.int64()))], names=["doc_id", "at"])
+
+    got = suffixes.repeats(make(some).select("doc_id", "text"), unit, starts, "doc_id long, at array<long>", chunk=1000)
+    seen = Counter(t[p : p + 400] for t in some for p in range(len(t) - 399))
+    want = {i: [p for p in range(len(t) - 399) if seen[t[p : p + 400]] > 1] for i, t in enumerate(some)}
+    assert {r["doc_id"]: r["at"] for r in got.collect()} == want
+
+
+def test_bytes_with_crowded_anchors(make, texts, monkeypatch):
+    monkeypatch.setattr(suffixes, "HELD", 1)
+    rows = substrings.dedup_bytes(make(texts), 25).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == brute_bytes(texts, 25)
