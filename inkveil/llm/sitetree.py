@@ -1,33 +1,43 @@
 """Main text of web pages by a site style tree (operator 6).
 
-Each page is parsed once into blocks: runs of text between block-level tags, each with the
-path of style nodes that holds it (tag, id, class and role of every ancestor; equal siblings
-share a node).  The DOMs of one host merged by these paths are its site style tree.  Per host
-and style node there are
-
+Each page is parsed once, by a scanner that never goes back, into blocks: runs of text between
+block-level tags, each with the style node that holds it (tag, id, class and role of every
+block-level ancestor; equal siblings share a node; nesting beyond ``DEPTH`` levels counts as
+that level).  The DOMs of one host merged by these nodes are its site style tree.  Copies of
+a page count once in it.  Per host and style node there are
+
+* content importance (nodes with text of their own): the average over its texts of 1 - log c /
+  log m, where c of the node's m pages have the text: 0 if all pages share it, 1 if one has it;
 * presentation importance: entropy, base the number of pages, of the child styles under it;
-* content importance (nodes with text of their own): the average over its texts of
-  1 - entropy over the host's pages; a text that all pages share counts 0, one that a single
-  page has counts 1;
-* composite importance: a leaf has its content importance, an inner node a mix of its
-  presentation's and the page-weighted composite of what it holds.
-
-Branches of low composite importance are removed from every page of the host.  A host with
-fewer than ``MIN_PAGES`` pages tells nothing of this kind; copies of a page count once.  On any host, branches are removed
-whose style says by itself that they are no article: navigation, header or footer of a page,
-asides, forms, adverts, notices, comments (tag, role, class or id).  Where a page marks its
-article (article, main or role=main) only that part is taken, and inside it only styles, not
-repetition, decide: articles may quote the same lines.
+* composite importance of a branch: a mix of its presentation's and the average content
+  importance of all texts that it holds.
+
+A text node's importance is its content's, and that of the branch around it for lack of
+evidence: the branch counts as ``PRIOR`` further pages, and is itself taken as important by as
+many.  So nothing is gone because of one page, and no number of pages switches the tree on.
+Nodes of low importance are removed from every page of the host.
+
+The tree judges where style is silent.  Tags and roles that name what is no part of an
+article (navigation, forms, scripts, ...) go on any page, and so do branches with such a
+class or id, unless the page's only article is in them.  Where a page marks its article
+(article, main or role=main) only that part is taken.  Inside it what has no style of its own
+stays however often it is repeated, as articles may quote the same lines; a name removes only
+what holds blocks, not a paragraph or list item, and only if it is made of such words alone;
+anything else is the tree's to judge.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by a line feed in page order.  Null html counts as empty; null urls are
-one host.  Repeated rows stay.  An empty table gives an empty result.
+one host.  Repeated rows stay and get equal texts.  Very long pages are read whole, in time
+that grows with their length.  Further columns are not read, whatever their names.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -35,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import batch, pieces_of, staged
 
-MIN_PAGES, LOW, MIX = 5, 0.2, 0.9
+LOW, MIX, PRIOR, DEPTH = 0.2, 0.9, 2.0, 64
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,12 +78,18 @@ STYLES = frozenset(
     "sharing social related recommended widget pager pagination toolbar copyright skip".split()
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
-_LOOSE = re.compile(r"<([/]?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+# A tag with no bracket in its quotes: the common case, and tried no further than the next one.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_VALUE = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 # Words that turn such a name into its absence, or into what holds it among other things.
 AROUND = frozenset("no non not has have with without wrap wrapper wrapping container layout".split())
-NONE, ARTICLE, OUT, NAMED, HEADING = 0, 1, 2, 3, 4
+# Words that go with such a name without making it another.
+PARTS = frozenset("list area box block section slot unit link links button buttons bar post posts icon icons thread item items panel".split())
+NONE, ARTICLE, OUT, NAMED, HEADING, WHOLE = 0, 1, 2, 3, 4, 5
+# Elements that hold a piece of text, which no name removes from an article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre caption figcaption center".split())
 
 
 def _style(tag: str, attributes: str) -> tuple[str, int]:
@@ -95,33 +111,119 @@ def _style(tag: str, attributes: str) -> tuple[str, int]:
     if tag not in ("html", "body"):
         for key in ("id", "class"):
             for word in (found.get(key) or "").split():
-                parts = [p.lower() for p in _WORD.findall(word)]
-                listed = STYLES.intersection(parts)
-                if listed and not AROUND.intersection(parts):
-                    kind = HEADING if listed == {"header"} else NAMED
-                    if kind == NAMED:
-                        return name, NAMED
+                parts = {p.lower() for p in _WORD.findall(word)}
+                listed = STYLES & parts
+                if listed and not AROUND & parts:
+                    own = HEADING if listed == {"header"} else WHOLE if parts <= STYLES | PARTS else NAMED
+                    kind = max(kind, own, key=(NONE, HEADING, NAMED, WHOLE).index)
     return name, kind
 
 
-class _Node:
-    # hard: removed by its tag or role; named: by a word of its class or id; nested: an article in something named.
-    __slots__ = ("tag", "path", "article", "hard", "named", "nested", "out")
+class Scanner:
+    """Tags and texts of a page, in one pass."""
+
+    def __init__(self, page: str):
+        self.page, self.open_quotes = page, False
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def tag(self, at: int):
+        """(end, closing, name, attributes) of the tag that starts at ``at``, or None."""
+        m = _TAG.match(self.page, at)
+        if m:
+            return m.end(), m[1], m[2], m[3]
+        page = self.page
+        slash = page.startswith("/", at + 1)
+        m = _NAME.match(page, at + 1 + slash)
+        if m is None:
+            return None
+        end = -1
+        if not self.open_quotes:
+            i = m.end()
+            while (v := _VALUE.search(page, i)) is not None:
+                if v[0] == ">":
+                    end = v.start()
+                    break
+                if v.start() >= self.last[v[0]]:
+                    break
+                i = page.index(v[0], v.end()) + 1
+            # Once quotes leave no end for a tag, those of later tags are not followed either.
+            self.open_quotes = end < 0
+        if end < 0:
+            end = page.find(">", m.end())
+        return None if end < 0 else (end + 1, "/" if slash else "", m[0], page[m.end() : end])
+
+    def tokens(self):
+        """Texts as (None, text), tags as (closing, name, attributes, end); send() an end to go on from there."""
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            i = page.find("<", at)
+            if i < 0:
+                yield None, page[at:]
+                return
+            if i > at:
+                yield None, page[at:i]
+            at = i
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at)
+                at = size if end < 0 else end + 3
+            elif page.startswith(("<!", "<?"), at):
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
+            elif (found := self.tag(at)) is not None:
+                at, closing, name, attributes = found
+                moved = yield closing, name.lower(), attributes, at
+                if moved is not None:
+                    at = moved
+                    yield  # for send()
+            else:
+                yield None, "<"
+                at += 1
+
+
+class _Open:
+    # hard: removed by its tag or role; named: by a word of its class or id; nested: an article in something named;
+    # node: the style node of the nearest block around; owner: the nearest element that ends a run of text.
+    __slots__ = ("tag", "node", "owner", "article", "hard", "named", "nested", "out")
 
-    def __init__(self, tag, path, article, hard, named, nested):
-        self.tag, self.path, self.article, self.hard, self.named, self.nested = tag, path, article, hard, named, nested
+    def __init__(self, tag, node, article, hard, named, nested):
+        self.tag, self.node, self.article, self.hard, self.named, self.nested = tag, node, article, hard, named, nested
         self.out = hard or named or nested
+        self.owner = self
+
+
+@dataclass
+class Node:
+    path: int
+    up: int  # place of the node above, -1 for the root
+    depth: int
+    loose: bool  # the tree may remove it
+
 
+def _deeper(nodes: list[Node], places: dict, at: int, name: str, loose: bool) -> int:
+    above = nodes[at]
+    if above.depth >= DEPTH:
+        return at
+    path = _hash(f"{above.path}/{name}")
+    if (path, loose) not in places:
+        places[path, loose] = len(nodes)
+        nodes.append(Node(path, at, above.depth + 1, loose))
+    return places[path, loose]
 
-def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
-    """(style path, inside an article, removed by its style, text) in page order, without empty ones.
+
+def read(page: str) -> tuple[list[tuple[int, bool, bool, str]], list[Node]]:
+    """Blocks (place of its node, inside an article, removed by its style, text) in page order, without
+    empty ones, and the page's style nodes, each after the one above it.
 
     A word of a class or id removes no article that is below it, unless the page has another.
     """
-    out: list[tuple[str, bool, bool, str]] = []
+    out: list[tuple[int, bool, bool, str]] = []
     nested: list[int] = []
-    stack = [_Node("", "", False, False, False, False)]
-    owner, run, styles = stack[0], [], {}
+    nodes, places = [Node(_hash(""), -1, 0, True)], {}
+    stack = [_Open("", 0, False, False, False, False)]
+    owner, run, styles, opened = stack[0], [], {}, Counter()
 
     def flush() -> None:
         if run:
@@ -130,27 +232,21 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             if text:
                 if owner.nested and not owner.hard and not owner.named:
                     nested.append(len(out))
-                out.append((owner.path, owner.article, owner.out, text))
+                out.append((owner.node, owner.article, owner.out, text))
 
     def pop_to(n: int) -> None:
+        for x in stack[n:]:
+            opened[x.tag] -= 1
         del stack[n:]
 
-    at, end, find = 0, len(page), _TOKEN.search
-    while at < end:
-        m = find(page, at)
-        if m is None:
-            m = _LOOSE.search(page, at)
-        if m is None:
-            run.append(page[at:])
-            break
-        if m.start() > at:
-            run.append(page[at : m.start()])
-        at = m.end()
-        if not m[2] if m.lastindex else True:
+    tokens = Scanner(page).tokens()
+    for token in tokens:
+        if token[0] is None:
+            run.append(token[1])
             continue
-        tag = m[2].lower()
-        if not m[1]:
-            if tag in CLOSES_P:
+        closing, tag, attributes, at = token
+        if not closing:
+            if tag in CLOSES_P and opened["p"]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == "p":
                         flush()
@@ -158,7 +254,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
                         break
                     if stack[i].tag in BLOCK:
                         break
-            if tag in ENDS:
+            if tag in ENDS and any(opened[x] for x in ENDS[tag][0]):
                 ended, within = ENDS[tag]
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in within:
@@ -168,38 +264,48 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
                         pop_to(i)
                         if tag != "tr":
                             break
+            owner = stack[-1].owner if not run else owner
             if tag in BLOCK or tag in DROPPED:
                 flush()
             if tag == "br":
                 run.append(" ")
             if tag in VOID:
+                owner = stack[-1].owner if not run else owner
                 continue
             parent = stack[-1]
-            key = (tag, m[3])
-            if key not in styles:
-                styles[key] = _style(*key)
-            name, kind = styles[key]
+            if (tag, attributes) not in styles:
+                styles[tag, attributes] = _style(tag, attributes)
+            name, kind = styles[tag, attributes]
             # A header inside an article may hold its headline.
             hard = parent.hard or kind == OUT or (tag == "header" and not parent.article)
-            named = parent.named or kind == NAMED or (kind == HEADING and not parent.article)
+            if parent.article:
+                named = parent.named or (kind == WHOLE and tag in BLOCK and tag not in PROSE)
+            else:
+                named = parent.named or kind in (NAMED, HEADING, WHOLE)
             below = parent.nested or (kind == ARTICLE and parent.named and not parent.article)
             if below and not parent.nested:
                 named = False
             inside = parent.article or (kind == ARTICLE and not hard and not named)
-            gone = hard or named or below
-            path = f"{parent.path}/{name}" if tag in BLOCK or tag in DROPPED else parent.path
+            block = tag in BLOCK or tag in DROPPED
             if tag in RAW:
                 close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else end
+                tokens.send(close.end() if close else len(page))
                 continue
-            if m[3].endswith("/") and tag not in BLOCK:
+            if attributes.endswith("/") and tag not in BLOCK:
                 continue
-            stack.append(_Node(tag, path, inside, hard, named, below))
-            if tag in BLOCK or tag in DROPPED or gone != parent.out:
-                if gone != parent.out:
+            node = parent.node
+            if block:
+                plain = parent.article and name == tag
+                node = _deeper(nodes, places, node, name, nodes[node].loose if plain else not (inside and kind == ARTICLE))
+            own = _Open(tag, node, inside, hard, named, below)
+            if block or own.out != parent.out:
+                if own.out != parent.out:
                     flush()
-                owner = stack[-1]
-        else:
+            else:
+                own.owner = parent.owner
+            stack.append(own)
+            opened[tag] += 1
+        elif opened[tag]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     if tag in BLOCK or tag in DROPPED or stack[i].out != stack[i - 1].out:
@@ -208,41 +314,38 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK and tag not in DROPPED:
                     break
-            else:
-                if tag in BLOCK:
-                    flush()
-        while owner is not stack[-1]:
-            top = stack[-1]
-            for i in range(len(stack) - 1, -1, -1):
-                if i == 0 or stack[i].tag in BLOCK or stack[i].tag in DROPPED or stack[i].out != stack[i - 1].out:
-                    top = stack[i]
-                    break
-            if owner is not top:
-                if run and owner.path != top.path:
-                    flush()
-                owner = top
-            break
+        elif tag in BLOCK:
+            flush()
+        top = stack[-1].owner
+        if owner is not top:
+            if run and owner.node != top.node:
+                flush()
+            owner = top
     flush()
     if nested and not any(article and not gone for _, article, gone, _ in out):
         for i in nested:
             out[i] = (out[i][0], True, False, out[i][3])
-    return out
+    return out, nodes
+
+
+def blocks(page: str) -> list[tuple[int, bool, bool, str]]:
+    return read(page)[0]
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-_BLOCKS = pa.list_(pa.struct([("path", pa.int64()), ("article", pa.bool_()), ("text", pa.string())]))
+# loose: the tree may remove it.
+_BLOCKS = pa.list_(pa.struct([("path", pa.int64()), ("loose", pa.bool_()), ("text", pa.string())]))
+_NODES = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("ups", pa.list_(pa.int64()))]))
+_TEXTS = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.int64())]))
 _PARSED = pa.schema(
-    [
-        ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()), ("blocks", _BLOCKS),
-        ("nodes", pa.list_(pa.struct([("path", pa.int64()), ("up", pa.int64()), ("style", pa.int64()), ("content", pa.int64())]))),
-    ]
-)
+    [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.int64()), ("page", pa.int64()), ("blocks", _BLOCKS), ("nodes", _NODES), ("texts", _TEXTS)]
+)
 _PARSED_DDL = (
-    "page_id long, url string, host string, page long, blocks array<struct<path:long,article:boolean,text:string>>, "
-    "nodes array<struct<path:long,up:long,style:long,content:long>>"
+    "page_id long, url string, host long, page long, blocks array<struct<path:long,loose:boolean,text:string>>, "
+    "nodes array<struct<path:long,style:long,ups:array<long>>>, texts array<struct<path:long,text:long>>"
 )
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -253,47 +356,46 @@ def _host(url: str | None) -> str:
 
 
 def _parse(page: str):
-    """The blocks that styles alone do not remove, and all style nodes with a hash of the child styles and of the text of each."""
-    found = blocks(page)
-    texts: dict[str, list[str]] = {}
-    for path, _, _, text in found:
-        texts.setdefault(path, []).append(text)
-    children: dict[str, dict[str, None]] = {}
-    for path in texts:
-        while path:
-            up = path.rpartition("/")[0]
-            children.setdefault(up, {})[path] = None
-            path = up
-    nodes = []
-    for path in {**children, **texts}:
-        nodes.append(
-            {
-                "path": _hash(path),
-                "up": _hash(path.rpartition("/")[0]) if path else None,
-                "style": _hash("\n".join(children.get(path, ()))),
-                "content": _hash("\n".join(texts[path])) if path in texts else None,
-            }
-        )
-    kept = [x for x in found if not x[2]]
-    if any(x[1] for x in kept):
-        kept = [x for x in kept if x[1]]
-    return [{"path": _hash(p), "article": a, "text": t} for p, a, _, t in kept], nodes
-
-
-def _page(kept: list[dict]) -> int:
+    """The blocks that may be kept; the style nodes with text that style does not remove, and those above
+    them, with a hash of the child styles of each; and the different texts of each node."""
+    found, nodes = read(page)
+    found = [x for x in found if not x[2]]
+    used = dict.fromkeys(x[0] for x in found)
+    children: dict[int, dict[int, None]] = {}
+    for at in list(used):
+        while (up := nodes[at].up) >= 0:
+            children.setdefault(up, {})[nodes[at].path] = None
+            used[up] = None
+            at = up
+
+    def ups(at: int) -> list[int]:
+        out = []
+        while (at := nodes[at].up) >= 0:
+            out.append(nodes[at].path)
+        return out
+
+    merged = {}
+    for at in used:
+        # Parts of an article and others of the same style are one node of the tree.
+        merged.setdefault(nodes[at].path, {"path": nodes[at].path, "style": _hash("\n".join(map(str, children.get(at, ())))), "ups": ups(at)})
+    texts = dict.fromkeys((nodes[x[0]].path, _hash(x[3])) for x in found)
+    kept = [x for x in found if x[1]] or found
+    kept = [{"path": nodes[n].path, "loose": nodes[n].loose, "text": t} for n, _, _, t in kept]
+    return kept, list(merged.values()), [{"path": p, "text": t} for p, t in texts]
+
+
+def _page(texts: list[dict]) -> int:
     """A hash of what the page holds: copies of a page have the same."""
-    return _hash("\n".join(f"{b['path']} {b['text']}" for b in kept))
+    return _hash("\n".join(f"{t['path']} {t['text']}" for t in texts))
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in pieces_of(batches, rows=1000, size=4 << 20, column="html"):
-            both = [_parse(x) for x in b.column("html").to_pylist()]
+            all_ = [_parse(x) for x in b.column("html").to_pylist()]
             urls = b.column("url").to_pylist()
-            yield batch(
-                {"page_id": b.column("page_id"), "url": urls, "host": list(map(_host, urls)), "page": [_page(x[0]) for x in both], "blocks": [x[0] for x in both], "nodes": [x[1] for x in both]},
-                _PARSED,
-            )
+            rows = {"page_id": b.column("page_id"), "url": urls, "host": [_hash(_host(u)) for u in urls], "page": [_page(x[2]) for x in all_]}
+            yield batch(rows | {k: [x[i] for x in all_] for i, k in enumerate(("blocks", "nodes", "texts"))}, _PARSED)
 
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
@@ -301,37 +403,40 @@ def parsed(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _PARSED_DDL)
 
 
-def style_tree(pages: DataFrame, depth: int = 24) -> DataFrame:
-    """host, path, importance of each style node, from parsed pages.
+def style_tree(pages: DataFrame, mix: float = MIX, prior: float = PRIOR) -> DataFrame:
+    """host, path, pages, presentation, content, composite, importance (content and importance: null
+    where a node has no text of its own) of each style node, from parsed pages.
 
     Counts are aggregated by host, node and feature before anything meets by host, so a host
     with a third of all pages costs one row for each of its distinct features and task.
     """
-    nodes = pages.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
     node = ["host", "path"]
 
-    def entropy(feature: str, name: str):
-        n = nodes.where(F.col(feature).isNotNull()).groupBy(*node, feature).agg(F.count("*").alias("c"))
-        return n.groupBy(*node).agg(F.sum("c").alias(f"{name}_m"), F.sum(F.col("c") * F.log("c")).alias(f"{name}_s"))
-
-    def of(m: str, s: str):
-        # -sum(p log p) / log m with p = c / m
-        return F.when(F.col(m) > 1, 1 - F.col(s) / (F.col(m) * F.log(m))).otherwise(F.lit(1.0))
-
-    where = nodes.groupBy(*node).agg(F.min("up").alias("up"))
-    level = where.join(entropy("style", "p"), node).join(entropy("content", "t"), node, "left")
-    return level.select(*node, "up", F.col("p_m").alias("pages"), of("p_m", "p_s").alias("presentation"), F.when(F.col("t_m").isNotNull(), of("t_m", "t_s")).alias("content"))
-
-
-def composite(tree: DataFrame, mix: float = MIX) -> DataFrame:
-    """host, path, pages, importance: one row of text-bearing style nodes, with the mix of the way up.
-
-    A branch is as important as the best of what it holds, so a node goes only if it and all
-    that it holds are of low importance.
-    """
-    return tree.where("content is not null").select(
-        "host", "path", "pages", (F.lit(mix) * F.col("content") + F.lit(1 - mix) * F.when(F.col("content") > 0, F.col("presentation")).otherwise(F.lit(0.0))).alias("importance")
-    )
+    def sums(column: str, feature: str, *more):
+        each = pages.select("host", F.explode(column).alias("n")).select("host", "n.*")
+        counted = each.groupBy(*node, feature).agg(F.count("*").alias("c"), *more)
+        first = [F.first(x).alias(x) for x in counted.columns if x == "ups"]
+        return counted.groupBy(*node).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("s"), *first)
+
+    def held_by(value, pages_, belief):
+        return (value * (pages_ - 1) + belief * prior) / (pages_ - 1 + prior)
+
+    styles = sums("nodes", "style", F.first("ups").alias("ups")).withColumnRenamed("n", "pages")
+    styles = styles.select(*node, "pages", "ups", F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias("presentation"))
+    level = styles.join(sums("texts", "text"), node, "left")
+    level = level.select(
+        *node, "pages", "ups", "presentation", "n",
+        F.when(F.col("n").isNotNull(), F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("n") * F.log("pages"))).otherwise(1.0)).alias("content"),
+    )
+    around = F.explode(F.concat(F.array("path"), "ups")).alias("path")
+    below = level.where("n is not null").select("host", around, "n", "content").groupBy(*node).agg((F.sum(F.col("n") * F.col("content")) / F.sum("n")).alias("mean"))
+    raw = mix * F.col("mean") + F.when(F.col("mean") > 0, (1 - mix) * F.col("presentation")).otherwise(0.0)
+    tree = level.join(below, node).withColumn("composite", held_by(raw, F.col("pages"), F.lit(1.0)))
+    above = tree.select("host", F.col("path").alias("up"), F.col("composite").alias("branch"))
+    text = tree.where("n is not null").select(*node, "pages", "content", F.get("ups", F.lit(0)).alias("up"))
+    text = text.join(above, ["host", "up"], "left")
+    text = text.select(*node, held_by(F.col("content"), F.col("pages"), F.coalesce("branch", F.lit(1.0))).alias("importance"))
+    return tree.join(text, node, "left").select(*node, "pages", "presentation", "content", "composite", "importance")
 
 
 def different(rows: DataFrame) -> DataFrame:
@@ -342,16 +447,12 @@ def different(rows: DataFrame) -> DataFrame:
     return rows.join(again, "row", "left_anti")
 
 
-def main_text(pages: DataFrame, low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, low: float = LOW) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages."""
     rows = staged(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
-    weak = composite(style_tree(different(rows))).where((F.col("importance") < low) & (F.col("pages") >= min_pages)).select("host", "path")
-    # Pages that mark their article need nothing of the tree and move nothing.
-    marked = F.exists("blocks", lambda b: b["article"])
-    loose = rows.where(~marked)
-    used = loose.select("row", "host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["path"]))).alias("path"))
+    weak = staged(style_tree(different(rows)).where(F.col("importance") < low).select("host", "path"), "weak")
+    used = rows.select("row", "host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: b["loose"]), lambda b: b["path"]))).alias("path"))
     gone = used.join(weak, ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("weak"))
-    loose = loose.join(gone, "row", "left").withColumn("weak", F.coalesce("weak", F.array().cast("array<long>")))
-    loose = loose.withColumn("blocks", F.filter("blocks", lambda b: ~F.array_contains(F.col("weak"), b["path"])))
-    full = rows.where(marked).select("page_id", "url", "blocks").unionByName(loose.select("page_id", "url", "blocks"))
-    return full.select("page_id", "url", F.concat_ws("\n", F.transform("blocks", lambda b: b["text"])).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    full = rows.select("row", "page_id", "url", "blocks").join(gone, "row", "left")
+    kept = F.when(F.col("weak").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~(b["loose"] & F.array_contains(F.col("weak"), b["path"]))))
+    return full.select("page_id", "url", F.concat_ws("\n", F.transform(kept, lambda b: b["text"])).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
