@@ -141,7 +141,7 @@ def redacted_name(name: Column, extension: Column, suffix: str = "-redacted") ->
 CDN_URL = "https?://(?:[a-zA-Z0-9-]+\\.)*(?:" + "|".join(h.replace(".", "\\.") for h in schema.CDN_HOSTS) + ")"
 
 
-def scrub(c: Column, to: str = "/never-fetches-a-cdn") -> Column:
+def scrub(c: Column, to: str = "/blocked-content-network") -> Column:
     return F.regexp_replace(c, CDN_URL, to)
 
 

@@ -82,18 +82,12 @@ def summary(boxes: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.sum("unsure").alias("unsure"),
     )
     unsure = F.col("unsure")
-    guesses = F.when(
-        unsure > 0,
-        F.concat(
-            unsure.cast("string"), F.lit(" of "), F.when(F.col("n") > unsure, "these ").otherwise("them "), F.when(unsure > 1, "are guesses").otherwise("is a guess"),
-            F.lit(". Check the dashed "), F.when(unsure > 1, "boxes").otherwise("box"), F.lit("."),
-        ),
-    )
-    text = F.concat_ws(" ", F.concat(F.lit("Found "), T.listed(F.col("said")), F.lit(".")), guesses, F.lit("Check everything else yourself."))
+    guesses = F.when(unsure > 0, F.concat(F.lit("Unsure about "), unsure.cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(".")))
+    text = F.concat_ws(" ", F.concat(F.lit("Found "), T.listed(F.col("said")), F.lit(".")), guesses, F.lit("Please look over the whole page."))
     return page.select(*PAGE, text.alias("summary"))
 
 
-NOTHING_FOUND = "Nothing found automatically. Mark anything sensitive yourself."
+NOTHING_FOUND = "No identifiers were found. Please look over the page and mark what should be hidden."
 
 
 def drawable(boxes: DataFrame) -> DataFrame:

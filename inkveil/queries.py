@@ -233,8 +233,7 @@ _SAID = "CASE WHEN label = upper(label) THEN label ELSE lower(label) END"
         "firsts AS (SELECT doc_id, label, min(struct_pack(p := priority, s := seq)) AS at_, count(*) AS n, count(*) FILTER (source = 'suggested') AS u FROM boxes GROUP BY doc_id, label)",
         f"pages_ AS (SELECT doc_id, list({_SAID} ORDER BY at_) AS said, sum(n) AS n, sum(u) AS u FROM firsts GROUP BY doc_id)",
         select="SELECT doc_id, 'Found ' || CASE WHEN len(said) > 1 THEN array_to_string(said[1:len(said) - 1], ', ') || ' and ' || said[len(said)] ELSE said[1] END || '. ' || "
-        "CASE WHEN u > 0 THEN CAST(u AS VARCHAR) || ' of ' || CASE WHEN n > u THEN 'these ' ELSE 'them ' END || CASE WHEN u > 1 THEN 'are guesses' ELSE 'is a guess' END || "
-        "'. Check the dashed ' || CASE WHEN u > 1 THEN 'boxes' ELSE 'box' END || '. ' ELSE '' END || 'Check everything else yourself.' AS summary FROM pages_",
+        "CASE WHEN u > 0 THEN 'Unsure about ' || CAST(u AS VARCHAR) || ' of ' || CAST(n AS VARCHAR) || '. ' ELSE '' END || 'Please look over the whole page.' AS summary FROM pages_",
     )
 )
 def page_summary(spark, sf_dir):
@@ -663,8 +662,8 @@ def stamp_positions(spark, sf_dir):
 
 @query(
     "WITH f AS (SELECT o_orderkey, (['image/jpeg','image/png','image/gif','application/pdf'])[CAST(o_orderkey % 4 AS INTEGER) + 1] AS mime, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE CAST(o_custkey * 40009 % 60000000 AS BIGINT) END AS size FROM orders) "
-    "SELECT o_orderkey, CASE WHEN mime NOT IN ('image/jpeg','image/png','image/webp','application/pdf') THEN 'That file type isn''t supported. Use a JPG, PNG, WEBP or PDF.' "
-    "WHEN size > 26214400 THEN 'That file is ' || CAST(CAST(floor(size / 1048576 + 0.5) AS BIGINT) AS VARCHAR) || ' MB. The limit is 25 MB.' WHEN size = 0 THEN 'That file is empty.' END AS reason FROM f"
+    "SELECT o_orderkey, CASE WHEN mime NOT IN ('image/jpeg','image/png','image/webp','application/pdf') THEN 'Only JPG, PNG, WEBP and PDF files can be read.' "
+    "WHEN size > 26214400 THEN 'A file of ' || CAST(CAST(floor(size / 1048576 + 0.5) AS BIGINT) AS VARCHAR) || ' MB is too large: 25 MB at most.' WHEN size = 0 THEN 'There is nothing in that file.' END AS reason FROM f"
 )
 def file_checks(spark, sf_dir):
     """Why files are turned away."""
@@ -725,7 +724,7 @@ _SITE = "html || ' https://unpkg.com/a' || CASE WHEN page_id % 3 = 0 THEN '.js h
 
 
 @query(
-    f"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_SITE}, '{S.CDN}'))), ',') AS found, md5(regexp_replace({_SITE}, '{S.CDN}', '/never-fetches-a-cdn', 'g')) AS scrubbed_md5 FROM pages"
+    f"SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all({_SITE}, '{S.CDN}'))), ',') AS found, md5(regexp_replace({_SITE}, '{S.CDN}', '/blocked-content-network', 'g')) AS scrubbed_md5 FROM pages"
 )
 def cdn_scan(spark, sf_dir):
     """Addresses of content networks in page texts, and the texts without them."""

@@ -68,7 +68,7 @@ def test_review_seed_counts_and_summary(spark):
     assert tuple(P.page_counts(b).first())[2:] == (2, 2)
     assert P.seed(b, b.withColumn("page_no", F.lit(1))).count() == 4 and P.seed(b, b).count() == 2
     said = P.summary(b.withColumn("source", F.when(F.col("label") == "Name", "suggested").otherwise("auto"))).first()["summary"]
-    assert said == "Found PAN and name. 1 of these is a guess. Check the dashed box. Check everything else yourself."
+    assert said == "Found PAN and name. Unsure about 1 of 2. Please look over the whole page."
     assert P.drawable(b.withColumn("w", F.lit(-7.0))).count() == 0
 
 
@@ -105,7 +105,8 @@ def test_code_geometry(spark):
     bars = np.full((200, 300), 255, np.uint8)
     bars[50:56, 20:200:12] = 0
     assert raster.locate_code(bars) is None
-    assert raster.squareness(((0, 0, 5), (100, 1, 5), (200, 0, 5))) is None
+    assert raster.bounds_from([(0, 0, 5), (100, 1, 5), (200, 0, 5)]) is None and raster.bounds_from([(0, 0, 5), (100, 1, 5)]) is None
+    assert raster.bounds_from([(0, 0, 5), (100, 0, 5), (0, 100, 5), (90, 40, 5)]) == (-17.5, -17.5, 135.0, 135.0)
     grid = np.full((40, 40), 255, np.uint8)
     grid[10:30, 10:30] = 0
     dark = raster.binarise(grid)
@@ -147,7 +148,7 @@ def test_image_source(spark, tmp_path):
     (tmp_path / "b.gif").write_bytes(b"GIF")
     good, bad = files.read_files(spark, str(tmp_path))
     assert [r["mime"] for r in good.collect()] == ["image/png"]
-    assert [r["reject_reason"] for r in bad.collect()] == ["That file type isn't supported. Use a JPG, PNG, WEBP or PDF."]
+    assert [r["reject_reason"] for r in bad.collect()] == ["Only JPG, PNG, WEBP and PDF files can be read."]
     (r,) = files.read_images(spark, str(tmp_path / "a.png")).collect()
     assert (r["full_w"], r["full_h"], r["work_w"], r["scale_to_full"], r["source_name"]) == (50, 30, 50, 1.0, "a.png")
 
@@ -155,7 +156,7 @@ def test_image_source(spark, tmp_path):
 def test_file_reasons(spark):
     df = spark.createDataFrame([("image/gif", 10), ("image/png", 26_214_401), ("image/png", 0), ("application/pdf", 10), (None, 1)], "m string, n long")
     got = [r[0] for r in df.select(files.reject_reason(F.col("m"), F.col("n"))).collect()]
-    assert "supported" in got[0] and "limit is 25 MB" in got[1] and "empty" in got[2] and got[3] is None and "supported" in got[4]
+    assert got[0].startswith("Only JPG") and got[1] == "A file of 25 MB is too large: 25 MB at most." and "nothing" in got[2] and got[3] is None and got[4] == got[0]
 
 
 def test_pdf():
