@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_scratch: list[list[str]] = []
+_own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,27 +23,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a single machine) a temporary folder is made and
-    remembered in the session.
+    Only where that is unset and everything runs in one process (tests) a temporary folder is
+    made, one for each application; on a cluster it has to be set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="inkveil-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="inkveil-shared-")
+        path = _own_dirs[app]
     return path.rstrip("/")
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
+    """A new name in the shared folder; within ``scratch`` it is deleted at the end (lasting: of the one around)."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if len(_scratch) > lasting:
+        _scratch[-1 - lasting].append(path)
+    return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what was staged within, so results have to be written before it ends.
+
+    Without it staged folders stay, as the frames that operators return read them.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def staged(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage and computes df once.
 
     A lost executor costs only its unfinished tasks, as the files outlive it.
     """
     spark = df.sparkSession
-    path = shared_path(spark, label)
+    path = shared_path(spark, label, lasting)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -83,7 +110,3 @@ def pieces_of(batches, rows: int = 0, size: int = 16 << 20, column: str = "text"
             total += int(n)
         if b.num_rows > start:
             yield b.slice(start)
-
-
-def plain_strings(col) -> list[str]:
-    return col.to_pylist()

@@ -32,7 +32,6 @@ STATISTICS = (
     "log_bytes", "log_words", "word_length", "upper", "capital_words", "digits", "marks", "stops", "doubled_marks", "bars",
     "shouts", "brackets", "space", "lines", "high", "distinct_words", "commonest_word", "repeated_word", "mark_ended", "bytes_a_line",
 )
-_PREFIX = "_stat_"
 _CLASS = np.zeros(256, np.int64)  # 0 other, then as below
 for _k, _set in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*+-/:;<=>@\\^_`~\"'()[]{}", b".,", b"|", b"!?", b" \t\r\x0b\x0c", b"\n"), 1):
     _CLASS[list(_set)] = _k
@@ -63,21 +62,37 @@ def statistics(text: bytes) -> tuple[float, ...]:
     )
 
 
+def prefix_for(docs: DataFrame) -> str:
+    """What the statistics' columns begin with: ``_stat_``, with more underscores where docs has such columns."""
+    prefix = "_stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def own_columns(docs: DataFrame, *but: str) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c.lower() not in but]
+
+
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one double column ``_stat_*`` for each statistic."""
+    """docs with one double column for each statistic, named ``prefix_for(docs)`` and the statistic."""
+    prefix = prefix_for(docs)
     small_batches(docs.sparkSession)
     schema = StructType(list(docs.schema.fields))
     for name in STATISTICS:
-        schema = schema.add(_PREFIX + name, "double")
+        schema = schema.add(prefix + name, "double")
+
+    at = docs.columns.index(text)
 
     def run(batches):
         for b in pieces_of(batches, size=4 << 20, column=text):
-            rows = np.array([statistics((t or "").encode()) for t in b.column(b.schema.get_field_index(text)).to_pylist()], np.float64)
+            rows = np.array([statistics((t or "").encode()) for t in b.column(at).to_pylist()], np.float64)
             rows = rows.reshape(-1, len(STATISTICS))
             arrays = list(b.columns) + [pa.array(rows[:, i].copy()) for i in range(rows.shape[1])]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, *(_PREFIX + s for s in STATISTICS)])
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    # Plain names on the way in: Python stages take no names with dots.
+    return docs.toDF(*[text if i == at else f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)
 
 
 def _grow(x: np.ndarray, cuts: list[np.ndarray], binned: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: int):
@@ -197,7 +212,7 @@ class RuleEnsemble:
             z += w * _holds(x, rule)
         return 1 / (1 + np.exp(-z))
 
-    def column(self, prefix: str = _PREFIX) -> Column:
+    def column(self, prefix: str = "_stat_") -> Column:
         """The ensemble as one Spark expression over the statistics columns."""
         z = F.lit(self.bias)
         for rule, w in zip(self.rules, self.weights):
@@ -231,14 +246,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
 
 def score(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with held_out, score and predicted."""
-    rows = with_statistics(docs)
-    out = rows.withColumn("score", model.column())
-    return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+    """docs with held_out, score and predicted; columns of these names give way to them."""
+    value = model.column(prefix_for(docs))
+    return with_statistics(docs).select(
+        *own_columns(docs, "held_out", "score", "predicted"),
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
-        "score",
-        F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
+        value.alias("score"),
+        F.when(value >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
     )
 
 
@@ -249,4 +263,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier does not reject, with their columns."""
     model = fit(docs, labels)
-    return with_statistics(docs).where(model.column() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_statistics(docs).where(model.column(prefix_for(docs)) >= threshold).select(*own_columns(docs))

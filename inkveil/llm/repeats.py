@@ -146,16 +146,12 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     name = f"inkveil_chunks_{uuid.uuid4().hex}"
-    (
-        docs.mapInArrow(run, "chunk long, rows binary")
-        .write.bucketBy(partitions(spark), "chunk")
-        .option("path", shared_path(spark, "chunks"))
-        .option("compression", "uncompressed")
-        .saveAsTable(name)
-    )
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # only its name: the files are the shared folder's, and table's plan knows them
-    return table
+    writer = docs.mapInArrow(run, "chunk long, rows binary").write.bucketBy(partitions(spark), "chunk")
+    try:
+        writer.option("path", shared_path(spark, "chunks")).option("compression", "uncompressed").saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # only its name: the files are the shared folder's, and the table's plan knows them
 
 
 def partitions(spark) -> int:

@@ -122,7 +122,8 @@ def keep_first_passages(docs: DataFrame, width: int = WORDS) -> DataFrame:
     and n_chars (if there) counted anew.  Untouched rows stay as they are; rows of which
     nothing is left go."""
     names = docs.columns
-    shaped = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    # Plain names for what only passes through: Python stages take no names with dots.
+    shaped = docs.withColumn("doc_id", F.col("doc_id").cast("long")).toDF(*[c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(names)])
 
     def finish(rows, texts, marks):
         new, stay = rows.column("text").to_pylist(), np.ones(len(texts), bool)
@@ -142,4 +143,4 @@ def keep_first_passages(docs: DataFrame, width: int = WORDS) -> DataFrame:
         kept = rows.filter(pa.array(stay)).combine_chunks()
         return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], kept.schema)
 
-    return trees.repeats(shaped, _word_unit(width), finish, shaped.schema).select(*names)
+    return trees.repeats(shaped, _word_unit(width), finish, shaped.schema).toDF(*names)

@@ -1,13 +1,12 @@
 """Brute-force versions for the pipeline's test."""
 
 import public_tokenizers as P
-from test_simhash import brute_components, brute_fingerprint  # noqa: F401
+from test_shingles import brute_firsts  # noqa: F401
 from test_substrings import brute_words  # noqa: F401
 from test_tokens import check_packing  # noqa: F401
 from tokenizers import Tokenizer
 
 _tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-_tokenizer.encode_special_tokens = True
 
 
 def ids_of(text):

@@ -100,7 +100,6 @@ def check_packing(rows, ids):
 
 def test_packing(make, texts):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
     rows = packing.pack(make(texts)).collect()
     assert {r["doc_id"] for r in rows} == set(ids)
