@@ -37,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def shared_path(spark: SparkSession, label: str, lasting: bool = False) -> str:
-    """A new name in the shared folder; within ``scratch`` it is deleted at the end (lasting: of the one around)."""
+def shared_path(spark: SparkSession, label: str, lasting: int = 0) -> str:
+    """A new name in the shared folder; within ``scratch`` it is deleted at the end (lasting: of so many levels further out)."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if len(_scratch) > lasting:
         _scratch[-1 - lasting].append(path)
@@ -60,7 +60,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def staged(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+def staged(df: DataFrame, label: str, lasting: int = 0) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage and computes df once.
 
     A lost executor costs only its unfinished tasks, as the files outlive it.

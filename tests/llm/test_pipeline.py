@@ -73,7 +73,7 @@ def test_scratch_leaves_only_what_lasts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
     with common.scratch(spark):
         with common.scratch(spark):
-            kept = common.staged(common.staged(spark.range(5), "inner"), "outer", lasting=True)
+            kept = common.staged(common.staged(spark.range(5), "inner"), "outer", lasting=1)
         assert kept.count() == 5 and [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["outer"]
     assert not list(tmp_path.iterdir())
 
