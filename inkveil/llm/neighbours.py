@@ -1,72 +1,86 @@
 """Approximate nearest neighbours by a hierarchical k-means tree (operator 2).
 
-Fit: spherical k-means, level by level, on at most ``SAMPLE`` vectors (those of the smallest
-hashes of vec_id), down to leaves of about ``LEAF`` of them.  The tree has at most
-2 * SAMPLE / LEAF nodes or so, whatever the corpus, and goes to the tasks as a closure.
-
-Index: every vector descends to one leaf.  Leaves are cut into blocks of about ``BLOCK``
-vectors by a hash of vec_id, so a leaf with a third of all vectors is many blocks.
-
-Search: a query takes leaves best bin first: a priority queue over the tree's nodes, by
-cosine to their centres.  How many leaves it visits is calibrated: sample vectors look for
-their true neighbours within the sample, and visits are widened until ``RECALL`` of them are
-reached.  A query goes on beyond that while it has met fewer than k candidates.  Blocks and
-queries meet by leaf; each block returns its best k for each query, by exact cosines in
-double precision on the original vectors, and the best k of these are the answer.
-
-Vectors that are null, zero, or have null or non-finite components take no part, nor do
-those of another length than most.  Rows that repeat a vec_id are candidates of their own,
-but no row finds one of its own vec_id.  Ties go to the smaller vec_id.  An empty table
-gives an empty result; further columns are not read.
+Grow: all vectors of one length begin in one leaf.  A leaf of more than ``CAP`` vectors is
+split by a subtree: spherical k-means, level by level, on at most about ``SAMPLE`` of its
+vectors, fitted in one task.  All its vectors descend, and the leaves that are still too large
+are split again, so leaves keep their size and their number grows with the corpus.  A leaf
+that k-means can't split (copies of few directions) stays as it is.  The subtrees are a table.
+
+Of equal vectors the k + 1 smallest vec_ids are indexed, each k times at most: ties go to
+smaller ids, so no further ones can be among anyone's k nearest.  A vector that a third of all
+rows share is a handful of entries.
+
+Search: a query takes leaves best bin first.  In each subtree a priority queue over its nodes,
+by cosine to their centres, gives them in order; over all subtrees the best ones stay, level by
+level.  How many leaves are visited is calibrated: for at most ``CALIBRATE`` of the queries the
+true neighbours are found by a scan of all vectors, and visits are widened until ``RECALL``
+of these lie in visited leaves, if need be up to all leaves.  A query goes on beyond that while
+the leaves that it visits hold no more than k vectors.  Blocks of a leaf's vectors and parts of
+its askers meet by (leaf, block, part), both of bounded size whatever leaf is popular; each
+meeting gives a query's best k by exact cosines in double precision on the original vectors
+(scaled by a power of two, which changes no digit), and the best k of these are the answer.
+
+Vectors that are null, zero, or have null or non-finite components take no part.  Vectors of
+different lengths are never compared.  Rows that repeat a vec_id are candidates of their own,
+but no row finds one of its own vec_id; equal rows ask once.  Ties go to the smaller vec_id.
+An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import batch, staged
 
-SAMPLE, LEAF, FANOUT, RECALL, BLOCK, CALIBRATE = 16_384, 48, 8, 0.98, 4096, 400
+CAP, SAMPLE, LEAF, FANOUT, RECALL, BLOCK, PART, DEAL, CALIBRATE = 1024, 8192, 48, 8, 0.98, 4096, 2048, 50_000, 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (floats as they are, else array<double>) of the rows that take part."""
     v = F.col("embedding") if dict(vectors.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-        .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-        .where(ok & F.exists("v", lambda x: x != 0))
-    )
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    return rows.where(ok & F.exists("v", lambda x: x != 0))
+
+
+def distinct_enough(rows: DataFrame, k: int) -> DataFrame:
+    """rows without those that k + 1 smaller ids with the same vector, or k equal rows, come before."""
+    equal = Window.partitionBy("v", "vec_id").orderBy("vec_id")
+    alike = Window.partitionBy("v").orderBy("vec_id")
+    rows = rows.withColumn("_n", F.row_number().over(equal)).where(F.col("_n") <= k)
+    return rows.withColumn("_n", F.dense_rank().over(alike)).where(F.col("_n") <= k + 1).drop("_n")
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that products neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 class Tree:
-    """Nodes in arrays: centre, first child and number of children; leaves are numbered."""
+    """Nodes in arrays: centre, and children; leaves are numbered."""
 
     def __init__(self, x: np.ndarray, fanout: int = FANOUT, leaf: int = LEAF, seed: int = 7):
-        self.dim = x.shape[1]
         rng = np.random.default_rng(seed)
-        centres, children, self.leaf_of = [np.zeros(self.dim)], [[]], {}
-        self.members: list[np.ndarray] = []
+        centres, children, self.leaf_of, self.leaves = [np.zeros(x.shape[1])], [[]], {}, 0
         todo = [(0, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
             parts = self._parts(x, rows, fanout, rng) if len(rows) > leaf else []
             if len(parts) < 2:
-                self.leaf_of[node] = len(self.members)
-                self.members.append(rows)
+                self.leaf_of[node] = self.leaves
+                self.leaves += 1
                 continue
             for centre, part in parts:
                 children[node].append(len(centres))
@@ -75,7 +89,6 @@ class Tree:
                 children.append([])
         self.centres = np.array(centres)
         self.children = [np.array(c, np.int64) for c in children]
-        self.leaves = len(self.members)
 
     @staticmethod
     def _parts(x, rows, fanout, rng):
@@ -106,134 +119,216 @@ class Tree:
         return out
 
     def visits(self, q: np.ndarray):
-        """Leaves best bin first."""
+        """(leaf, cosine to its centre), best bin first."""
         queue = [(-2.0, 0)]
         while queue:
-            _, node = heapq.heappop(queue)
+            score, node = heapq.heappop(queue)
             kids = self.children[node]
             if len(kids):
                 for s, kid in zip((self.centres[kids] @ q).tolist(), kids.tolist()):
                     heapq.heappush(queue, (-s, kid))
             else:
-                yield self.leaf_of[node]
-
-    def calibrate(self, x: np.ndarray, k: int, recall: float, queries: int = CALIBRATE) -> int:
-        """Leaves to visit so that this share of true neighbours within the sample is met."""
-        if self.leaves == 1:
+                yield self.leaf_of[node], -score
+
+
+def _child(leaf: int, n: int) -> int:
+    return xxhash.xxh3_64_intdigest(f"{leaf}/{n}".encode()) - (1 << 63)
+
+
+def _matrix(col) -> np.ndarray:
+    """The vectors of a column, all of one length."""
+    flat = np.asarray((col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).flatten().to_numpy(zero_copy_only=False), np.float64)
+    return flat.reshape(len(col), -1)
+
+
+def _shares(n: str, most: int) -> Column:
+    """In how many parts n rows go, of ``most`` or so each."""
+    return F.ceil(F.col(n) / most).cast("int")
+
+
+def _each(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame, by: str, most: int) -> DataFrame:
+    """rows with ``part``: those of a leaf go to as many parts as its n asks for, by a hash of ``by``."""
+    return rows.join(sizes.select("leaf", "n"), "leaf").withColumn("part", F.pmod(F.xxhash64(by), _shares("n", most)).cast("int")).drop("n")
+
+
+class Index:
+    """Vectors (row, vec_id, v, leaf), and the subtrees (leaf, tree) of each level."""
+
+    def __init__(self, rows: DataFrame, cap: int = CAP, sample: int = SAMPLE):
+        self.kind = dict(rows.dtypes)["v"]
+        self.numbers = pa.list_(pa.float32() if self.kind == "array<float>" else pa.float64())
+        vectors = staged(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v"), "vectors")
+        self.vectors = vectors.withColumn("leaf", F.size("v").cast("long")).withColumn("open", F.lit(True))
+        self.levels: list[DataFrame] = []
+        while True:
+            large = staged(self.vectors.where("open").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > cap), "large")
+            if not large.limit(1).count():
+                break
+            self._split(large, sample)
+        self.sizes = staged(self.vectors.groupBy("leaf").agg(F.count("*").alias("n")), "sizes")
+
+    def _split(self, large: DataFrame, sample: int) -> None:
+        trees_schema = pa.schema([("leaf", pa.int64()), ("tree", pa.binary())])
+        numbers = self.numbers
+        out = pa.schema([("row", pa.int64()), ("vec_id", pa.int64()), ("v", numbers), ("leaf", pa.int64()), ("open", pa.bool_())])
+
+        def fit(key, group):
+            group = group.sort_by("row")
+            tree = Tree(unit(_matrix(group.column("v"))))
+            return pa.table({"leaf": [key[0].as_py()], "tree": [pickle.dumps(tree)]}, schema=trees_schema)
+
+        def descend(key, group, trees):
+            if not group.num_rows:
+                return out.empty_table()
+            leaf, to, again = key[0].as_py(), np.full(group.num_rows, key[0].as_py()), False
+            tree = pickle.loads(trees.column("tree")[0].as_py()) if trees.num_rows else None
+            if tree is not None and tree.leaves > 1:
+                ids = np.array([_child(leaf, n) for n in range(tree.leaves)], np.int64)
+                to, again = ids[tree.descend(unit(_matrix(group.column("v"))))], True
+            return pa.table([*(group.column(c) for c in ("row", "vec_id", "v")), pa.array(to), pa.array(np.full(len(to), again))], schema=out)
+
+        known = self.vectors.join(large, "leaf")
+        chosen = known.where(F.pmod(F.xxhash64("row", F.lit(1)), _shares("n", sample)) == 0).select("leaf", "row", "v")
+        trees = staged(chosen.groupBy("leaf").applyInArrow(fit, "leaf long, tree binary"), "trees")
+        self.levels.append(trees)
+        rows = _dealt(self.vectors, large, "row", DEAL).select("leaf", "part", "row", "vec_id", "v")
+        # A leaf without a subtree (its sample came out empty) stays whole, as one that can't be split.
+        repeated = trees.join(large, "leaf").select("leaf", "tree", _each(_shares("n", DEAL)).alias("part"))
+        moved = rows.groupBy("leaf", "part").cogroup(repeated.groupBy("leaf", "part")).applyInArrow(descend, f"row long, vec_id long, v {self.kind}, leaf long, open boolean")
+        stay = self.vectors.join(large.select("leaf"), "leaf", "left_anti").select("row", "vec_id", "v", "leaf", "open")
+        self.vectors = staged(moved.unionByName(stay), "leaves")
+
+    def bins(self, asked: DataFrame, most: int) -> DataFrame:
+        """ask, q, leaf, place: the best ``most`` leaves of each row of asked (ask, q), best first."""
+        front = asked.select("ask", "q", F.size("q").cast("long").alias("leaf"), F.lit(0.0).alias("score"))
+        out = pa.schema([("ask", pa.int64()), ("q", self.numbers), ("leaf", pa.int64()), ("score", pa.float64())])
+
+        def expand(key, group, trees):
+            if not group.num_rows:
+                return out.empty_table()
+            if not trees.num_rows:
+                return group.select(out.names).cast(out)
+            tree, leaf = pickle.loads(trees.column("tree")[0].as_py()), key[0].as_py()
+            rows, leaves, scores = [], [], []
+            for i, q in enumerate(unit(_matrix(group.column("q")))):
+                for (n, score), _ in zip(tree.visits(q), range(most)):
+                    rows.append(i)
+                    leaves.append(_child(leaf, n) if tree.leaves > 1 else leaf)
+                    scores.append(score)
+            at = pa.array(rows, pa.int64())
+            return pa.table([group.column("ask").take(at), group.column("q").take(at), pa.array(leaves, pa.int64()), pa.array(scores, pa.float64())], schema=out)
+
+        best = Window.partitionBy("ask").orderBy(F.desc("score"), "leaf")
+        for trees in self.levels:
+            front = staged(front, "front")
+            many = staged(front.groupBy("leaf").agg(F.count("*").alias("n")), "many")
+            repeated = trees.join(many, "leaf").select("leaf", "tree", _each(_shares("n", PART)).alias("part"))
+            grown = _dealt(front, many, "ask", PART).groupBy("leaf", "part").cogroup(repeated.groupBy("leaf", "part")).applyInArrow(expand, f"ask long, q {self.kind}, leaf long, score double")
+            front = grown.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
+        # Leaves that no vector came to, and roots that have none, hold no answer.
+        return front.join(self.sizes.select("leaf"), "leaf").select("ask", "q", "leaf", F.row_number().over(best).alias("place"))
+
+    def scan(self, asked: list, k: int) -> DataFrame:
+        """ask, leaf: where the true k nearest of a few rows of asked (ask, query_id, q) are, by a scan of all vectors."""
+        schema = pa.schema([("ask", pa.int64()), ("score", pa.float64()), ("vec_id", pa.int64()), ("leaf", pa.int64())])
+        by_length: dict[int, tuple] = {}
+        for n in {len(r["q"]) for r in asked}:
+            own = [r for r in asked if len(r["q"]) == n]
+            by_length[n] = ([r["ask"] for r in own], np.array([r["query_id"] for r in own]), unit(np.array([r["q"] for r in own], np.float64)))
+
+        def run(batches):
+            best: dict[int, list] = {}
+            for b in batches:
+                lengths = np.diff(b.column("v").offsets.to_numpy())
+                for n in np.unique(lengths).tolist():
+                    if n not in by_length:
+                        continue
+                    part = b.filter(pa.array(lengths == n))
+                    asks, own, q = by_length[n]
+                    ids, leaves = part.column("vec_id").to_numpy(), part.column("leaf").to_numpy()
+                    score = q @ unit(_matrix(part.column("v"))).T
+                    score[own[:, None] == ids] = -3
+                    for i, ask in enumerate(asks):
+                        top = np.argpartition(-score[i], min(k, len(ids)) - 1)[:k]
+                        rows = best.get(ask, []) + [(s, v, f) for s, v, f in zip(score[i][top].tolist(), ids[top].tolist(), leaves[top].tolist()) if s > -3]
+                        best[ask] = sorted(rows, key=lambda r: (-r[0], r[1]))[:k]
+            rows = [(ask, *r) for ask, found in best.items() for r in found]
+            yield batch({f.name: [r[i] for r in rows] for i, f in enumerate(schema)}, schema)
+
+        found = self.vectors.select("vec_id", "v", "leaf").mapInArrow(run, "ask long, score double, vec_id long, leaf long")
+        order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("ask", "leaf")
+
+    def calibrate(self, asked: DataFrame, k: int, recall: float, queries: int = CALIBRATE) -> int:
+        """Leaves to visit so that this share of the true neighbours is met."""
+        if not self.levels:
             return 1
-        leaf = np.empty(len(x), np.int64)
-        for n, rows in enumerate(self.members):
-            leaf[rows] = n
-        own = np.linspace(0, len(x) - 1, min(queries, len(x))).astype(int)
-        cosine = x[own] @ x.T
-        cosine[np.arange(len(own)), own] = -2
-        k = min(k, len(x) - 1)
-        true = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        needed = []
-        for row, near in zip(own, true):
-            place = {n: i for i, n in enumerate(self.visits(x[row]))}
-            needed += [place[n] + 1 for n in leaf[near].tolist()]
-        needed.sort()
-        return needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]
-
-
-def _matrix(col, dim: int) -> np.ndarray:
-    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
+        chosen = asked.orderBy(F.xxhash64("ask"), "ask").limit(queries)
+        rows = chosen.collect()  # a fixed number
+        true = staged(self.scan(rows, k), "true")
+        leaves, most = self.sizes.count(), 64
+        few = asked.sparkSession.createDataFrame(rows, chosen.schema)
+        while True:
+            met = true.join(self.bins(few, most).select("ask", "leaf", "place"), ["ask", "leaf"], "left").select("place").collect()
+            places = sorted(math.inf if r["place"] is None else r["place"] for r in met)
+            needed = places[max(0, math.ceil(recall * len(places)) - 1)] if places else 1
+            if needed < math.inf or most >= leaves:
+                return int(min(needed, leaves))
+            most *= 2
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = RECALL, cap: int = CAP, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries its k nearest other vectors.
 
     Both tables have vec_id and embedding.
     """
-    spark = vectors.sparkSession
-    everything = staged(usable(vectors), "vectors")
-    kind = dict(everything.dtypes)["v"]
-    numbers = pa.list_(pa.float32() if kind == "array<float>" else pa.float64())
-    fitted = everything.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not fitted:
-        return empty
-    x = unit(np.array([r["v"] for r in fitted], np.float64))
-    dim = x.shape[1]
-    tree = Tree(x)
-    wide = tree.calibrate(x, k, recall)
-    tree.members = []
-
-    def descend(batches):
-        out = pa.schema([("vec_id", pa.int64()), ("leaf", pa.int64()), ("v", numbers)])
-        for b in batches:
-            if b.num_rows:
-                leaf = tree.descend(unit(_matrix(b.column("v"), dim)))
-                yield batch({"vec_id": b.column("vec_id"), "leaf": leaf, "v": b.column("v")}, out)
-
-    indexed = staged(everything.mapInArrow(descend, f"vec_id long, leaf long, v {kind}"), "indexed")
-    # One row for each leaf, so no more than the tree has.
-    held = np.zeros(tree.leaves, np.int64)
-    for r in indexed.groupBy("leaf").count().collect():
-        held[r["leaf"]] = r["count"]
-    salts = F.array(*[F.lit(int(-(-n // BLOCK) or 1)) for n in held])
-    salt = F.pmod(F.xxhash64("vec_id"), F.get(salts, F.col("leaf").cast("int")))
-    blocks = indexed.groupBy("leaf", salt.alias("salt")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("rows"))
-
-    def route(batches):
-        out = pa.schema([("query_id", pa.int64()), ("leaf", pa.int64()), ("q", numbers)])
-        for b in batches:
-            if not b.num_rows:
-                continue
-            raw = _matrix(b.column("q"), dim)
-            rows, leaves = [], []
-            for i, q in enumerate(unit(raw)):
-                met = 0
-                for n, leaf in enumerate(tree.visits(q)):
-                    if n >= wide and met > k:
-                        break
-                    if held[leaf]:
-                        rows.append(i)
-                        leaves.append(leaf)
-                        met += int(held[leaf])
-            at = pa.array(rows, pa.int64())
-            yield batch({"query_id": b.column("query_id").take(at), "leaf": leaves, "q": b.column("q").take(at)}, out)
-
-    asked = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("v").cast(kind).alias("q"))
-    routed = asked.mapInArrow(route, f"query_id long, leaf long, q {kind}")
-    askers = routed.groupBy("leaf", F.pmod(F.xxhash64("query_id"), F.lit(8)).alias("part")).agg(
-        F.collect_list(F.struct("query_id", "q")).alias("asks")
-    )
-
-    def meet(batches):
-        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        for whole in batches:
-            for i in range(whole.num_rows):
-                b = whole.slice(i, 1)
-                rows, asks = b.column("rows").flatten(), b.column("asks").flatten()
-                ids, v = rows.field("vec_id").to_numpy(), _matrix(rows.field("v"), dim)
-                qids, q = asks.field("query_id").to_numpy(), _matrix(asks.field("q"), dim)
-                size = np.sqrt((v * v).sum(axis=1))
-                got: tuple[list, list, list] = ([], [], [])
-                for at in range(0, len(qids), 256):
-                    rough = unit(q[at : at + 256]) @ unit(v).T
-                    for j, row in enumerate(rough):
-                        qid, one = qids[at + j], q[at + j]
-                        row[ids == qid] = -2
-                        near = np.arange(len(row))
-                        if len(row) > k:
-                            near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9)
-                        near = near[ids[near] != qid]
-                        score = (v[near] * one).sum(axis=1) / (size[near] * math.sqrt((one * one).sum()))
-                        best = np.lexsort((ids[near], -score))[:k]
-                        got[0].extend([qid] * len(best))
-                        got[1].extend(ids[near][best].tolist())
-                        got[2].extend(score[best].tolist())
-                yield batch({"query_id": got[0], "vec_id": got[1], "score": got[2]}, out)
-
-    found = blocks.join(askers, "leaf").select("rows", "asks").mapInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    index = Index(distinct_enough(usable(vectors), k), cap, sample)
+    numbers = index.numbers
+    asked = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("v").cast(index.kind).alias("q")).distinct()
+    asked = staged(asked.select(F.monotonically_increasing_id().alias("ask"), "query_id", "q"), "asked")
+    wide = index.calibrate(asked, k, recall)
+    # Each leaf holds a vector at least, so k + 2 more leaves hold k others.
+    bins = index.bins(asked.select("ask", "q"), wide + k + 2).join(index.sizes, "leaf")
+    before = Window.partitionBy("ask").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    routed = bins.withColumn("met", F.coalesce(F.sum("n").over(before), F.lit(0))).where((F.col("place") <= wide) | (F.col("met") <= k))
+    routed = staged(routed.select("ask", "leaf"), "routed")
+    sizes = staged(routed.groupBy("leaf").agg(F.count("*").alias("m")).join(index.sizes, "leaf"), "met")
+    blocks, parts = _shares("n", BLOCK), _shares("m", PART)
+    held = index.vectors.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"), _each(parts).alias("part"), "vec_id", "v")
+    asks = routed.join(sizes, "leaf").select("ask", "leaf", F.pmod(F.xxhash64("ask"), parts).cast("int").alias("part"), _each(blocks).alias("block"))
+    asks = asks.join(asked, "ask").select("leaf", "block", "part", "ask", "query_id", "q")
+    out = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def meet(key, rows, own):
+        if not rows.num_rows or not own.num_rows:
+            return out.empty_table()
+        ids, v = rows.column("vec_id").to_numpy(), scaled(_matrix(rows.column("v")))
+        asks_, qids, q = own.column("ask").to_numpy(), own.column("query_id").to_numpy(), scaled(_matrix(own.column("q")))
+        size = np.sqrt((v * v).sum(axis=1))
+        plain = v / size[:, None]
+        got: list[tuple] = []
+        for at in range(0, len(qids), 256):
+            rough = unit(q[at : at + 256]) @ plain.T
+            for j, row in enumerate(rough):
+                qid, one = qids[at + j], q[at + j]
+                row[ids == qid] = -2
+                near = np.arange(len(row))
+                if len(row) > k:
+                    near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9)
+                near = near[ids[near] != qid]
+                score = (v[near] * one).sum(axis=1) / (size[near] * math.sqrt((one * one).sum()))
+                best = np.lexsort((ids[near], -score))[:k]
+                got.append((np.full(len(best), asks_[at + j]), np.full(len(best), qid), ids[near][best], score[best]))
+        return pa.table([np.concatenate(x) for x in zip(*got)], schema=out)
+
+    met = held.groupBy("leaf", "block", "part").cogroup(asks.groupBy("leaf", "block", "part"))
+    found = met.applyInArrow(meet, "ask long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def every_fiftieth(vectors: DataFrame, k: int = 5) -> DataFrame:

@@ -57,7 +57,46 @@ def test_tree_visits_every_leaf_once():
     x = neighbours.unit(np.random.default_rng(0).normal(size=(600, 5)))
     tree = neighbours.Tree(x)
     order = list(tree.visits(x[0]))
-    assert sorted(order) == list(range(tree.leaves)) and order[0] in range(tree.leaves)
-    assert 1 <= tree.calibrate(x, 5, 0.9) <= tree.leaves
-    same = neighbours.Tree(np.tile(x[:1], (300, 1)))
-    assert same.leaves >= 1
+    assert sorted(n for n, _ in order) == list(range(tree.leaves))
+    assert neighbours.Tree(np.tile(x[:1], (300, 1))).leaves == 1
+
+
+def answers(df):
+    by = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        by.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return by
+
+
+def test_leaves_are_split_again(spark, rows):
+    own = table(spark, rows)
+    index = neighbours.Index(neighbours.distinct_enough(neighbours.usable(own), 5), cap=100, sample=400)
+    assert len(index.levels) >= 2
+    counts = {r["leaf"]: r["n"] for r in index.sizes.collect()}
+    assert sum(counts.values()) == 1206 + 1 and max(counts.values()) <= 100  # 300 copies are six entries
+    got, want = answers(neighbours.search(own, own.where("vec_id % 50 = 0"), cap=100, sample=400)), brute(rows, 5)
+    assert set(got) == set(want)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
+
+
+def test_half_of_all_in_one_leaf(spark):
+    rng = np.random.default_rng(4)
+    close = np.r_[np.ones(8)] + 1e-7 * rng.normal(size=(900, 8))
+    rows = list(enumerate(np.concatenate([close, rng.normal(size=(900, 8))]).tolist()))
+    got, want = answers(neighbours.search(table(spark, rows), table(spark, rows).where("vec_id % 50 = 0"), cap=200, sample=300)), brute(rows, 5)
+    assert set(got) == set(want) and all(len(x) == 5 for x in got.values())
+    assert sum(abs(got[q][4][1] - want[q][4][1]) < 1e-9 for q in want) >= 0.9 * len(want)
+
+
+def test_large_and_small_numbers(spark):
+    df = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1e-200, 1e-200]), (50, [0.0, 5e-320]), (3, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.5])], "vec_id long, embedding array<double>")
+    got = answers(neighbours.every_fiftieth(df))
+    assert [i for i, _ in got[0]] == [1, 2, 50] and [i for i, _ in got[50]] == [2, 1, 0]
+    assert np.allclose([s for _, s in got[0]], [1 / np.hypot(1, 0.1), 1 / np.sqrt(2), 0])
+    assert [i for i, _ in got[100]] == [3]  # lengths never meet
+
+
+def test_repeated_rows(spark):
+    df = table(spark, [(0, [1, 0])] * 9 + [(7, [1, 0])] * 9 + [(8, [1, 0]), (50, [0, 1])])
+    got = answers(neighbours.every_fiftieth(df))
+    assert [i for i, _ in got[0]] == [7] * 5 and [i for i, _ in got[50]] == [0] * 5
