@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import batch, staged
 
-CAP, SAMPLE, LEAF, FANOUT, RECALL, BLOCK, PART, DEAL, CALIBRATE = 1024, 8192, 48, 8, 0.98, 4096, 2048, 50_000, 256
+CAP, SAMPLE, LEAF, FANOUT, RECALL, BLOCK, PART, DEAL, CALIBRATE = 1024, 8192, 32, 16, 0.96, 4096, 2048, 50_000, 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -203,34 +203,38 @@ class Index:
         self.vectors = staged(moved.unionByName(stay), "leaves")
 
     def bins(self, asked: DataFrame, most: int) -> DataFrame:
-        """ask, q, leaf, place: the best ``most`` leaves of each row of asked (ask, q), best first."""
-        front = asked.select("ask", "q", F.size("q").cast("long").alias("leaf"), F.lit(0.0).alias("score"))
-        out = pa.schema([("ask", pa.int64()), ("q", self.numbers), ("leaf", pa.int64()), ("score", pa.float64())])
+        """ask, leaf, place: leaves for each row of asked (ask, q), nearest centre first.
+
+        From each subtree come the ``most`` leaves that a priority queue over its nodes gives first.
+        """
+        front = asked.select("ask", F.size("q").cast("long").alias("leaf"), F.lit(0.0).alias("score"))
+        out = pa.schema([("ask", pa.int64()), ("leaf", pa.int64()), ("score", pa.float64())])
 
         def expand(key, group, trees):
-            if not group.num_rows:
+            if not group.num_rows or not trees.num_rows:
                 return out.empty_table()
-            if not trees.num_rows:
-                return group.select(out.names).cast(out)
             tree, leaf = pickle.loads(trees.column("tree")[0].as_py()), key[0].as_py()
-            rows, leaves, scores = [], [], []
-            for i, q in enumerate(unit(_matrix(group.column("q")))):
+            ids = np.array([_child(leaf, n) for n in range(tree.leaves)], np.int64) if tree.leaves > 1 else np.array([leaf])
+            asks, leaves, scores = [], [], []
+            for ask, q in zip(group.column("ask").to_pylist(), unit(_matrix(group.column("q")))):
                 for (n, score), _ in zip(tree.visits(q), range(most)):
-                    rows.append(i)
-                    leaves.append(_child(leaf, n) if tree.leaves > 1 else leaf)
+                    asks.append(ask)
+                    leaves.append(ids[n])
                     scores.append(score)
-            at = pa.array(rows, pa.int64())
-            return pa.table([group.column("ask").take(at), group.column("q").take(at), pa.array(leaves, pa.int64()), pa.array(scores, pa.float64())], schema=out)
+            return pa.table([pa.array(asks, pa.int64()), pa.array(leaves, pa.int64()), pa.array(scores, pa.float64())], schema=out)
 
         best = Window.partitionBy("ask").orderBy(F.desc("score"), "leaf")
         for trees in self.levels:
             front = staged(front, "front")
-            many = staged(front.groupBy("leaf").agg(F.count("*").alias("n")), "many")
+            inner = front.join(trees.select("leaf"), "leaf")
+            many = staged(inner.groupBy("leaf").agg(F.count("*").alias("n")), "many")
             repeated = trees.join(many, "leaf").select("leaf", "tree", _each(_shares("n", PART)).alias("part"))
-            grown = _dealt(front, many, "ask", PART).groupBy("leaf", "part").cogroup(repeated.groupBy("leaf", "part")).applyInArrow(expand, f"ask long, q {self.kind}, leaf long, score double")
-            front = grown.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
+            dealt = _dealt(inner, many, "ask", PART).join(asked.select("ask", "q"), "ask").select("leaf", "part", "ask", "q")
+            grown = dealt.groupBy("leaf", "part").cogroup(repeated.groupBy("leaf", "part")).applyInArrow(expand, "ask long, leaf long, score double")
+            front = front.join(trees.select("leaf"), "leaf", "left_anti").select("ask", "leaf", "score").unionByName(grown)
+            front = front.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most).drop("place")
         # Leaves that no vector came to, and roots that have none, hold no answer.
-        return front.join(self.sizes.select("leaf"), "leaf").select("ask", "q", "leaf", F.row_number().over(best).alias("place"))
+        return front.join(self.sizes.select("leaf"), "leaf").select("ask", "leaf", F.row_number().over(best).alias("place"))
 
     def scan(self, asked: list, k: int) -> DataFrame:
         """ask, leaf: where the true k nearest of a few rows of asked (ask, query_id, q) are, by a scan of all vectors."""
@@ -263,21 +267,22 @@ class Index:
         order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("ask", "leaf")
 
-    def calibrate(self, asked: DataFrame, k: int, recall: float, queries: int = CALIBRATE) -> int:
-        """Leaves to visit so that this share of the true neighbours is met."""
+    def calibrate(self, asked: DataFrame, k: int, recall: float, queries: int = CALIBRATE) -> tuple[int, int]:
+        """(leaves to visit, leaves to take from each queue) so that this share of the true neighbours is met."""
+        most = max(64, k + 2)
         if not self.levels:
-            return 1
+            return 1, most
         chosen = asked.orderBy(F.xxhash64("ask"), "ask").limit(queries)
         rows = chosen.collect()  # a fixed number
         true = staged(self.scan(rows, k), "true")
-        leaves, most = self.sizes.count(), 64
+        leaves = self.sizes.count()
         few = asked.sparkSession.createDataFrame(rows, chosen.schema)
         while True:
             met = true.join(self.bins(few, most).select("ask", "leaf", "place"), ["ask", "leaf"], "left").select("place").collect()
             places = sorted(math.inf if r["place"] is None else r["place"] for r in met)
             needed = places[max(0, math.ceil(recall * len(places)) - 1)] if places else 1
             if needed < math.inf or most >= leaves:
-                return int(min(needed, leaves))
+                return int(min(needed, leaves)), most
             most *= 2
 
 
@@ -290,9 +295,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     numbers = index.numbers
     asked = usable(queries).select(F.col("vec_id").alias("query_id"), F.col("v").cast(index.kind).alias("q")).distinct()
     asked = staged(asked.select(F.monotonically_increasing_id().alias("ask"), "query_id", "q"), "asked")
-    wide = index.calibrate(asked, k, recall)
-    # Each leaf holds a vector at least, so k + 2 more leaves hold k others.
-    bins = index.bins(asked.select("ask", "q"), wide + k + 2).join(index.sizes, "leaf")
+    wide, most = index.calibrate(asked, k, recall)
+    # Each leaf holds a vector at least, so k + 2 leaves hold k others, if there are so many.
+    bins = index.bins(asked.select("ask", "q"), most).join(index.sizes, "leaf")
     before = Window.partitionBy("ask").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     routed = bins.withColumn("met", F.coalesce(F.sum("n").over(before), F.lit(0))).where((F.col("place") <= wide) | (F.col("met") <= k))
     routed = staged(routed.select("ask", "leaf"), "routed")
