@@ -15,10 +15,11 @@ by cosine to their centres, gives them in order; over all subtrees the best ones
 level.  How many leaves are visited is calibrated: for at most ``CALIBRATE`` of the queries the
 true neighbours are found by a scan of all vectors, and visits are widened until ``RECALL``
 of these lie in visited leaves, if need be up to all leaves.  A query goes on beyond that while
-the leaves that it visits hold no more than k vectors.  Blocks of a leaf's vectors and parts of
-its askers meet by (leaf, block, part), both of bounded size whatever leaf is popular; each
-meeting gives a query's best k by exact cosines in double precision on the original vectors
-(scaled by a power of two, which changes no digit), and the best k of these are the answer.
+the leaves that it visits hold no more than k vectors.  Leaves, a large one in blocks, lie on
+shelves of some ``BLOCK`` vectors; a shelf and parts of its askers meet, both of bounded size
+whatever leaf is popular.  There a query's vectors are those of its own leaves; each meeting
+gives its best k by exact cosines in double precision on the original vectors (scaled by a
+power of two, which changes no digit), and the best k of these are the answer.
 
 Vectors that are null, zero, or have null or non-finite components take no part.  Vectors of
 different lengths are never compared.  Rows that repeat a vec_id are candidates of their own,
@@ -283,7 +284,7 @@ class Index:
             needed = places[max(0, math.ceil(recall * len(places)) - 1)] if places else 1
             if needed < math.inf or most >= leaves:
                 return int(min(needed, leaves)), most
-            most *= 2
+            most += most // 2
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = RECALL, cap: int = CAP, sample: int = SAMPLE) -> DataFrame:
@@ -300,37 +301,54 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = R
     bins = index.bins(asked.select("ask", "q"), most).join(index.sizes, "leaf")
     before = Window.partitionBy("ask").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     routed = bins.withColumn("met", F.coalesce(F.sum("n").over(before), F.lit(0))).where((F.col("place") <= wide) | (F.col("met") <= k))
-    routed = staged(routed.select("ask", "leaf"), "routed")
-    sizes = staged(routed.groupBy("leaf").agg(F.count("*").alias("m")).join(index.sizes, "leaf"), "met")
-    blocks, parts = _shares("n", BLOCK), _shares("m", PART)
-    held = index.vectors.join(sizes, "leaf").select("leaf", F.pmod(F.xxhash64("row"), blocks).cast("int").alias("block"), _each(parts).alias("part"), "vec_id", "v")
-    asks = routed.join(sizes, "leaf").select("ask", "leaf", F.pmod(F.xxhash64("ask"), parts).cast("int").alias("part"), _each(blocks).alias("block"))
-    asks = asks.join(asked, "ask").select("leaf", "block", "part", "ask", "query_id", "q")
+    routed = staged(routed.select("ask", "leaf", _each(_shares("n", BLOCK)).alias("block")), "routed")
+    # Blocks of leaves share shelves of about BLOCK vectors, so that a query gets k answers a shelf, not a leaf.
+    total = index.sizes.agg(F.sum("n")).first()[0] or 1
+    shelf = F.pmod(F.xxhash64("leaf", "block"), F.lit(-(-total // BLOCK)))
+    asks = routed.groupBy("ask", shelf.alias("shelf")).agg(F.collect_list("leaf").alias("leaves"))
+    asks = staged(asks, "asks")
+    parts = _shares("m", PART)
+    many = staged(asks.groupBy("shelf").agg(F.count("*").alias("m")), "askers")
+    held = index.vectors.join(index.sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("row"), _shares("n", BLOCK)).cast("int"))
+    held = held.select("leaf", shelf.alias("shelf"), "vec_id", "v").join(many, "shelf").select("shelf", _each(parts).alias("part"), "leaf", "vec_id", "v")
+    asks = asks.join(many, "shelf").select("shelf", F.pmod(F.xxhash64("ask"), parts).cast("int").alias("part"), "ask", "leaves")
+    asks = asks.join(asked, "ask").select("shelf", "part", "ask", "query_id", "q", "leaves")
     out = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(key, rows, own):
         if not rows.num_rows or not own.num_rows:
             return out.empty_table()
-        ids, v = rows.column("vec_id").to_numpy(), scaled(_matrix(rows.column("v")))
-        asks_, qids, q = own.column("ask").to_numpy(), own.column("query_id").to_numpy(), scaled(_matrix(own.column("q")))
-        size = np.sqrt((v * v).sum(axis=1))
-        plain = v / size[:, None]
-        got: list[tuple] = []
-        for at in range(0, len(qids), 256):
-            rough = unit(q[at : at + 256]) @ plain.T
-            for j, row in enumerate(rough):
-                qid, one = qids[at + j], q[at + j]
-                row[ids == qid] = -2
-                near = np.arange(len(row))
-                if len(row) > k:
-                    near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9)
-                near = near[ids[near] != qid]
-                score = (v[near] * one).sum(axis=1) / (size[near] * math.sqrt((one * one).sum()))
-                best = np.lexsort((ids[near], -score))[:k]
-                got.append((np.full(len(best), asks_[at + j]), np.full(len(best), qid), ids[near][best], score[best]))
+        rows = rows.sort_by("leaf")
+        leaf = rows.column("leaf").to_numpy()
+        begin = np.flatnonzero(np.diff(leaf, prepend=~leaf[:1]))
+        ranges = {n: (b, e) for n, b, e in zip(leaf[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(leaf)])}
+        # A shelf may hold vectors of several lengths; those of a leaf have one.
+        sizes = np.diff(rows.column("v").combine_chunks().offsets.to_numpy())
+        ids, spaces, place = rows.column("vec_id").to_numpy(), {}, np.zeros(len(leaf), np.int64)
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            v = scaled(_matrix(rows.column("v").take(pa.array(at))))
+            size = np.sqrt((v * v).sum(axis=1))
+            spaces[n], place[at] = (v, size, v / size[:, None]), np.arange(len(at))
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for ask, qid, q, leaves in zip(*(own.column(c).to_pylist() for c in ("ask", "query_id", "q", "leaves"))):
+            near = np.concatenate([np.arange(*ranges.get(n, (0, 0))) for n in leaves])
+            near = near[ids[near] != qid]
+            if not len(near):
+                continue
+            v, size, plain = spaces[len(q)]
+            one = scaled(np.array([q], np.float64))[0]
+            length = math.sqrt((one * one).sum())
+            rough = plain[place[near]] @ (one / length)
+            if len(near) > k:
+                near = near[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+            at = place[near]
+            score = (v[at] * one).sum(axis=1) / (size[at] * length)
+            best = np.lexsort((ids[near], -score))[:k]
+            got.append((np.full(len(best), ask), np.full(len(best), qid), ids[near][best], score[best]))
         return pa.table([np.concatenate(x) for x in zip(*got)], schema=out)
 
-    met = held.groupBy("leaf", "block", "part").cogroup(asks.groupBy("leaf", "block", "part"))
+    met = held.groupBy("shelf", "part").cogroup(asks.groupBy("shelf", "part"))
     found = met.applyInArrow(meet, "ask long, query_id long, vec_id long, score double")
     order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -85,7 +85,8 @@ def test_half_of_all_in_one_leaf(spark):
     rows = list(enumerate(np.concatenate([close, rng.normal(size=(900, 8))]).tolist()))
     got, want = answers(neighbours.search(table(spark, rows), table(spark, rows).where("vec_id % 50 = 0"), cap=200, sample=300)), brute(rows, 5)
     assert set(got) == set(want) and all(len(x) == 5 for x in got.values())
-    assert sum(abs(got[q][4][1] - want[q][4][1]) < 1e-9 for q in want) >= 0.9 * len(want)
+    # Half of them are as near to each other as rounding tells apart, so what counts is the score.
+    assert sum(s >= want[q][4][1] - 1e-9 for q in want for _, s in got[q]) >= 0.9 * 5 * len(want)
 
 
 def test_large_and_small_numbers(spark):
