@@ -1,25 +1,31 @@
 """Licence scan (operator 5), in DataFrame functions only.
 
-A paragraph is a line of a text.  A sparse multinomial logistic regression over word 1- to
-3-grams, trained on notices of licence families, invented licences and ordinary sentences,
-gives each paragraph a probability for every family, for ``unknown`` (a licence, but none of
-these) and for ``none``.  Its probabilities are calibrated by a temperature on held-out
-variants, and a family whose calibrated probability is under a threshold, chosen there for
-few false families, counts as ``unknown`` too.  A predicted family is confirmed by comparing
-the paragraph with the family's notices: the share of a notice's 2-grams that it holds.
+A paragraph is a run of lines without an empty one between them; it also ends where a line
+ends a sentence (with one of ``. ! ? : ;``), so a notice wrapped over lines is one paragraph and
+two notices on neighbouring lines are two.  Marks of comments at the head of a line are passed over.
+
+A sparse multinomial logistic regression over word 1- to 3-grams, trained on notices of
+licence families, invented licences and ordinary sentences, gives each paragraph a probability
+for every family, for ``unknown`` (a licence, but none of these) and for ``none``.  Its
+probabilities are calibrated by a temperature on held-out variants, and a family whose
+calibrated probability is under a threshold, chosen there for few false families, counts as
+``unknown`` too.  A predicted family is confirmed by comparing the paragraph with the family's
+notices: the largest share of a notice's 2-grams that it holds.
 
 Training runs in the driver on a fixed set of some thousand sentences made from the notices
 below; it reads no table.  The weights that lasso leaves become constants of the scan's
 column expression.  A paragraph without any word of the pattern ``look`` makes of the weights
 cannot be anything but ``none``, so it costs one pattern match.
 
-Null texts count as empty.  Every row gives one row, repeated ones too; an empty table gives
-an empty result; further columns are not read.  Equal texts get equal results.
+Null texts count as empty, and very long ones are scanned whole.  Of classes that are equally
+likely the first in ``CLASSES`` counts.  Every row gives one row, repeated ones too; an empty
+table gives an empty result; further columns are not read.  Equal texts get equal results.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,72 +34,119 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import keyed_texts
 
-# Notices by which licence families are commonly named or granted.
-NOTICES = {
+# Of each licence family its names, its SPDX identifiers, and sentences of its notices.
+FAMILIES = {
     "AGPL": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
-        "Licensed under the GNU Affero General Public License, version 3.",
+        ("GNU Affero General Public License", "GNU Affero General Public License, version 3", "GNU AGPL", "AGPLv3"),
+        ("AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL-1.0-only", "AGPL-3.0"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",),
     ),
     "Apache": (
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
-        "SPDX-License-Identifier: Apache-2.0",
+        ("Apache License", "Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license"),
+        ("Apache-2.0", "Apache-1.1", "Apache-1.0"),
+        (
+            'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+            "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+            'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+        ),
     ),
+    "Artistic": (("Artistic License", "Artistic License 2.0", "Perl Artistic License"), ("Artistic-2.0", "Artistic-1.0"), ()),
     "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "Released under the BSD License.",
-        "Licensed under the 3-Clause BSD License.",
+        ("BSD License", "BSD-style license", "3-Clause BSD License", "2-Clause BSD License", "New BSD License", "Simplified BSD License"),
+        ("BSD-3-Clause", "BSD-2-Clause", "BSD-4-Clause", "0BSD"),
+        (
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+            "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+            'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+        ),
     ),
+    "Boost": (("Boost Software License", "Boost Software License, Version 1.0"), ("BSL-1.0",), ()),
     "CC-BY": (
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "Licensed under CC BY 4.0.",
+        ("Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 4.0", "CC BY 3.0", "CC BY"),
+        ("CC-BY-4.0", "CC-BY-3.0"),
+        (),
     ),
     "CC-BY-NC": (
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-        "Licensed under CC BY-NC 4.0.",
+        ("Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial License", "CC BY-NC 4.0", "CC BY-NC"),
+        ("CC-BY-NC-4.0", "CC-BY-NC-3.0"),
+        (),
     ),
     "CC-BY-SA": (
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "Licensed under CC BY-SA 4.0.",
+        ("Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike License", "CC BY-SA 4.0", "CC BY-SA"),
+        ("CC-BY-SA-4.0", "CC-BY-SA-3.0"),
+        (),
     ),
+    "EPL": (("Eclipse Public License", "Eclipse Public License, version 2.0", "Eclipse Public License - v 1.0"), ("EPL-2.0", "EPL-1.0"), ()),
+    "EUPL": (("European Union Public Licence", "European Union Public Licence, version 1.2", "EUPL"), ("EUPL-1.2", "EUPL-1.1"), ()),
     "GPL": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+        ("GNU General Public License", "GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL", "GPLv3", "GPLv2"),
+        ("GPL-3.0-or-later", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-2.0-only", "GPL-3.0"),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",),
     ),
     "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-        "Released under the ISC License.",
+        ("ISC License", "ISC licence"),
+        ("ISC",),
+        (
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+            'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+        ),
     ),
     "LGPL": (
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
-        "Licensed under the GNU Lesser General Public License, version 3.",
+        ("GNU Lesser General Public License", "GNU Lesser General Public License, version 3", "GNU Lesser General Public License, version 2.1", "GNU Library General Public License", "GNU LGPL", "LGPLv3"),
+        ("LGPL-3.0-or-later", "LGPL-3.0-only", "LGPL-2.1-or-later", "LGPL-2.1-only", "LGPL-2.0-only"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",),
     ),
     "MIT": (
-        "Released under the MIT License.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-        "SPDX-License-Identifier: MIT",
+        ("MIT License", "MIT licence", "MIT/Expat License"),
+        ("MIT", "MIT-0"),
+        (
+            'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+            'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+        ),
     ),
     "MPL": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License, version 2.0.",
+        ("Mozilla Public License", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"),
+        ("MPL-2.0", "MPL-1.1"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     ),
     "Unlicense": (
-        "This is free and unencumbered software released into the public domain.",
-        "Dedicated to the public domain under CC0 1.0 Universal.",
+        ("Unlicense", "CC0 1.0 Universal", "Creative Commons Zero license"),
+        ("Unlicense", "CC0-1.0"),
+        ("This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0 Universal."),
+    ),
+    "WTFPL": (("WTFPL",), ("WTFPL",), ()),
+    "Zlib": (
+        ("zlib License", "zlib/libpng License"),
+        ("Zlib",),
+        ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",),
     ),
 }
+NAMED = (
+    "Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This work is licensed under the {}.", "License: {}", "Licence: {}",
+    "This project is licensed under the terms of the {}.", "Licensed under {}.", "Use of this source code is governed by the {} that can be found in the LICENSE file.",
+    "It is available under the {}; see the file COPYING for details.", "This file is part of a work covered by the {}.",
+)
+IDENTIFIED = ("SPDX-License-Identifier: {}", "License: {}", "license = {}", "Licensed under {}.", "{}")
+#: Ways of naming a licence that training never sees: the first for calibration, the others for tests.
+CALIBRATION = ("Offered to all under the {}.", "The text of the {} applies to this code.", "All of it falls under {}.")
+UNSEEN = ("Made available under the terms of the {}.", "The code is published under the {}.", "You can use it under the conditions of the {}.", "Shared under {}.", "Provided to you under the {} only.")
 INVENTED = (
     "Licensed under the {} Community License, version {}.",
     "This work is licensed under the {} License.",
     "Released under the {} Source Agreement {}.",
+    "Distributed under the {} Public License, version {}.",
     "SPDX-License-Identifier: LicenseRef-{}",
+    "License: {} Commercial License",
     "You may use this file only under the terms of the {} Public Use License.",
     "All use is subject to the {} end user licence agreement.",
+    "This project is licensed under the terms of the {} {} License.",
 )
 ORDINARY = (
     "The {} of the {} was {} to be read by any person in the {}.",
     "She renewed her driving license at the {} office on {}.",
+    "He lost his fishing licence under the {} bridge.",
     "Permission to enter the {} was granted free of {} for the {}.",
     "A general meeting of the public {} took place under the {}.",
     "The source of the {} is subject to change without notice, version {}.",
@@ -103,9 +156,18 @@ ORDINARY = (
     "{} {} {} {} {} {} {}.",
     "This software is used for any purpose by the {} and {}.",
     "The commons and the {} library were free and open under {} terms.",
+    "The new boost to the {} was published in version {} of the {} software.",
+    "A solar eclipse over the {} drew the public to the {}, a creative {} in general.",
+    "The european union of {} granted the {} a public {}.",
+    "The artistic {} of the {} was distributed to all {} and released in {}.",
 )
 NONE, UNKNOWN = "none", "unknown"
-CLASSES = (NONE, UNKNOWN, *sorted(NOTICES))
+CLASSES = (NONE, UNKNOWN, *sorted(FAMILIES))
+#: Words that alone, or only with each other, say nothing of licences.
+PLAIN = frozenset(
+    "a all an and any are as at be been but by can either following for from get has have he his if in including into is it its kind may met must no not of off on only or "
+    "other out over part particular person provided she so such that the their them there these they this to under use used was were will with without you your available work file files".split()
+)
 WORD = "[a-z0-9]+"
 CONFIRM = 0.5
 
@@ -118,26 +180,59 @@ def grams(found: list[str]) -> list[str]:
     return [" ".join(found[i : i + n]) for n in (1, 2, 3) for i in range(len(found) - n + 1)]
 
 
-def _sentences(rng: np.random.Generator, each: int) -> tuple[list[list[str]], np.ndarray]:
-    """Variants: words lost, notices cut short or set among other words."""
+def telling(gram: str) -> bool:
+    """Has the n-gram a word that is no plain one and no number?"""
+    return any(w not in PLAIN and not w.isdigit() for w in gram.split())
+
+
+def notices(family: str) -> tuple[str, ...]:
+    """What paragraphs of the family are compared with: its names of two words or more, its identifiers where they stand, its sentences."""
+    names, ids, sentences = FAMILIES[family]
+    return (*(n for n in names if len(words(n)) > 1), *(f"{at} {i}" for i in ids for at in ("identifier:", "license:")), *(n for n in (*names, *ids) if len(words(n)) == 1 and len(n) > 3), *(i for i in ids if len(words(i)) > 1), *sentences)
+
+
+def patterns(family: str) -> list[str]:
+    names, ids, sentences = FAMILIES[family]
+    return [*(t.format(n) for n in names for t in NAMED), *(t.format(i) for i in ids for t in IDENTIFIED if t != "{}" or len(words(i)) > 1), *sentences * 6]
+
+
+def _sentences(rng: np.random.Generator, each: int, named: tuple[str, ...] = ()) -> tuple[list[list[str]], np.ndarray]:
+    """Variants: words lost, notices cut short or set among other words.  named: families are named in these ways only."""
     invent = ["".join(rng.choice(list("bcdfglmnprst")) + rng.choice(list("aeiou")) for _ in range(rng.integers(1, 5))) for _ in range(400)]
+    holders: dict[str, set] = {}
+    for n in FAMILIES:
+        for w in {w for x in notices(n) for w in words(x) if telling(w)}:
+            holders.setdefault(w, set()).add(n)
+    common, licensed = sorted(PLAIN), sorted({w for w, own in holders.items() if len(own) > 1} | {w for t in INVENTED for w in words(t) if telling(w)})
 
     def filler(n: int) -> list[str]:
-        return [str(w) for w in rng.choice(invent, n)]
+        return [str(w) for w in rng.choice(invent if rng.random() < 0.5 else common, n)]
 
     def fill(pattern: str) -> list[str]:
-        return words(pattern.format(*filler(pattern.count("{}"))))
+        return words(pattern.format(*[str(w) for w in rng.choice(invent, pattern.count("{}"))]))
+
+    def stray() -> list[str]:
+        """Ordinary words with one or two of a licence's among them."""
+        out = filler(rng.integers(6, 20))
+        for w in rng.choice(licensed, rng.integers(1, 3)):
+            out.insert(int(rng.integers(0, len(out))), str(w))
+        return out
 
     rows, labels = [], []
     for label, name in enumerate(CLASSES):
-        patterns = ORDINARY if name == NONE else INVENTED if name == UNKNOWN else NOTICES[name]
-        for k in range(each * (4 if name in (NONE, UNKNOWN) else 1)):
-            found = fill(patterns[k % len(patterns)])
-            if k >= len(patterns):
-                lost = 0.06 if len(found) > 7 else 0.0
-                found = [w for w in found if rng.random() >= lost] or found
-                if len(found) > 14 and rng.random() < 0.5:
-                    found = found[: max(8, int(len(found) * rng.uniform(0.6, 1)))]
+        own = ORDINARY if name == NONE else INVENTED if name == UNKNOWN else patterns(name)
+        if named and name in FAMILIES:
+            own = [t.format(n) for n in (*FAMILIES[name][0], *FAMILIES[name][1]) for t in named]
+        for k in range(each * (10 if name == NONE else 4 if name == UNKNOWN else 1)):
+            if name == NONE and k % 2:
+                found = stray()
+            else:
+                found = fill(own[k % len(own)]) if name in (NONE, UNKNOWN) else words(own[k % len(own)])
+                if k >= len(own):
+                    lost = 0.06 if len(found) > 9 else 0.0
+                    found = [w for w in found if rng.random() >= lost] or found
+                    if len(found) > 16 and rng.random() < 0.5:
+                        found = found[: max(10, int(len(found) * rng.uniform(0.6, 1)))]
                 if rng.random() < 0.6:
                     found = filler(rng.integers(0, 9)) + found + filler(rng.integers(0, 9))
             rows.append(found)
@@ -167,43 +262,49 @@ class Model:
 
 
 @lru_cache(maxsize=1)
-def trained(seed: int = 11, each: int = 90, penalty: float = 1e-3, rounds: int = 300) -> Model:
-    rng = np.random.default_rng(seed)
-    rows, y = _sentences(rng, each)
-    vocabulary = sorted({g for name in NOTICES for t in NOTICES[name] for g in grams(words(t))} | {g for t in (*INVENTED, *ORDINARY) for g in grams([w for w in words(t.replace("{}", " "))])})
+def trained(seed: int = 11, each: int = 150, penalty: float = 1e-4, rounds: int = 200) -> Model:
+    rows, y = _sentences(np.random.default_rng(seed), each)
+    texts = [t for name in FAMILIES for t in patterns(name)] + [part for t in (*INVENTED, *ORDINARY) for part in t.split("{}")]
+    vocabulary = {g for t in texts for g in grams(words(t)) if telling(g)}
+    seen = Counter(g for r in rows for g in set(grams(r)) & vocabulary)
+    vocabulary = sorted(g for g, n in seen.items() if n >= 4)
     place = {g: i for i, g in enumerate(vocabulary)}
 
     def matrix(sentences):
-        x = np.zeros((len(sentences), len(vocabulary)))
+        x = np.zeros((len(sentences), len(vocabulary)), np.float32)
         for i, s in enumerate(sentences):
             x[i, [place[g] for g in grams(s) if g in place]] = 1
         return x
 
-    x, target = matrix(rows), np.eye(len(CLASSES))[y]
-    w, b = np.zeros((x.shape[1], len(CLASSES))), np.zeros(len(CLASSES))
+    x, target = matrix(rows), np.eye(len(CLASSES), dtype=np.float32)[y]
+    w, b = np.zeros((x.shape[1], len(CLASSES)), np.float32), np.zeros(len(CLASSES), np.float32)
     wz, bz, t = w, b, 1.0
-    v = np.ones(x.shape[1])
+    v = np.ones(x.shape[1], np.float32)
     for _ in range(20):
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v)
-    rate = 2.0 / (np.linalg.norm(x @ v) ** 2 / len(x) + 1)
+    rate = np.float32(2.0 / (np.linalg.norm(x @ v) ** 2 / len(x) + 1))
     for _ in range(rounds):
-        g = (_softmax(x @ wz + bz) - target) / len(x)
+        g = (_softmax(x @ wz + bz) - target) / np.float32(len(x))
         new = wz - rate * (x.T @ g)
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * np.float32(penalty), 0)
         new_b = bz - rate * g.sum(axis=0)
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        wz, bz, w, b, t = new + (t - 1) / t_new * (new - w), new_b + (t - 1) / t_new * (new_b - b), new, new_b, t_new
-    # Calibration on sentences that were not trained on.
-    held, truth = _sentences(np.random.default_rng(seed + 1), 40)
-    z = matrix(held) @ w + b
+        step = np.float32((t - 1) / t_new)
+        wz, bz, w, b, t = new + step * (new - w), new_b + step * (new_b - b), new, new_b, t_new
+    # Calibration on ways of naming licences that were not trained on.
+    held, truth = _sentences(np.random.default_rng(seed + 1), 40, CALIBRATION)
+    z = (matrix(held) @ w + b).astype(np.float64)
     temperatures = np.geomspace(0.2, 5, 40)
     loss = [-np.log(_softmax(z / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in temperatures]
     temperature = float(temperatures[int(np.argmin(loss))])
     p = _softmax(z / temperature)
     best = p.argmax(axis=1)
-    wrong = p.max(axis=1)[(best > 1) & (best != truth)]
-    threshold = float(min(0.9, max(0.5, np.quantile(wrong, 0.95) if len(wrong) else 0.5)))
+    # The least threshold from 0.5 on by which at most one in a hundred of the families named is wrong.
+    top, family = p.max(axis=1), best > 1
+    threshold = next((t for t in np.arange(0.5, 0.95, 0.01) if (best != truth)[family & (top >= t)].mean() <= 0.01), 0.95)
+    threshold = float(threshold)
+    w, b = w.astype(np.float64), b.astype(np.float64)
     used = np.flatnonzero(np.abs(w).max(axis=1) > 1e-3)
     return Model(tuple(vocabulary[i] for i in used), np.round(w[used], 6), np.round(b, 6), round(temperature, 6), round(threshold, 6))
 
@@ -224,7 +325,8 @@ def look(model: Model) -> str:
     most: dict[str, float] = {}
     for f, g in zip(model.features, gain.max(axis=1)):
         for w in f.split():
-            most[w] = max(most.get(w, 0.0), g)
+            if telling(w):
+                most[w] = max(most.get(w, 0.0), g)
     chosen: set[str] = set()
     for w in [*sorted(most, key=lambda w: (-most[w], w)), ""]:
         left = [i for i, f in enumerate(model.features) if chosen.isdisjoint(f.split())]
@@ -269,9 +371,9 @@ def classify(paragraph: Column, model: Model) -> Column:
     def similar(g: Column, family: Column) -> Column:
         """The largest share of a notice's 2-grams that the paragraph holds."""
         out = F.lit(0.0)
-        for name, notices in NOTICES.items():
+        for name in FAMILIES:
             shares = []
-            for notice in notices:
+            for notice in notices(name):
                 w = words(notice)
                 own = sorted({" ".join(w[i : i + 2]) for i in range(len(w) - 1)} or set(w))
                 shares.append(F.size(F.array_intersect(g, F.array(*map(F.lit, own)))) / F.lit(float(len(own))))
@@ -298,12 +400,19 @@ def classify(paragraph: Column, model: Model) -> Column:
     return let(_grams(found), judged)
 
 
+#: A line's end inside a sentence, with the marks of a comment at the head of the next line.
+WRAPPED = r"(?<=[^\s.!?:;])[ \t]*\r?\n[ \t]*(?:(?:#+|//+|\*+|;+|--+|%+)[ \t]*)?(?=[^\s#/*;%-])"
+
+
+def paragraphs(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, WRAPPED, " "), "\n", -1)
+
+
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, found: array of (paragraph, family, probability, similarity, confirmed) of each text."""
     model = model or trained()
     pattern = look(model)
-    lines = F.split("text", "\n", -1)
-    numbered = F.transform(lines, lambda p, i: F.struct(i.alias("paragraph"), p.alias("line")))
+    numbered = F.transform(paragraphs(F.col("text")), lambda p, i: F.struct(i.alias("paragraph"), p.alias("line")))
     looked = F.filter(numbered, lambda s: s["line"].rlike(pattern))
     rows = keyed_texts(docs).select("doc_id", F.when(F.col("text").rlike(pattern), looked).otherwise(F.array().cast("array<struct<paragraph:int,line:string>>")).alias("looked"))
     judged = F.transform(
