@@ -1,62 +1,55 @@
 """Prefix-partitioned suffix trees over words (operator 4).
 
-The suffixes are those of ``width`` words that pass the cover of ``repeats``; a suffix is its
-text, the words joined by a space, so nothing here rests on a fingerprint.  Suffixes go to
-groups by variable-length prefixes: a group is the range of texts from one prefix to the
-next, and prefixes are as long as it takes to tell the groups' bounds apart.  The bounds come
-from a bounded sample of windows and only set how even the groups are: equal texts are
-always in one group, whatever the bounds.
-
-A group's tree is built from its suffixes in order, as they stream by: neighbours in that
-order share a node at depth ``width`` iff their texts are equal, and no deeper node and no
-shallower one matters to which words go.  Such an internal node with leaves in two documents is a
-repeat; neighbouring repeats of a document make the maximal ones.  As leaves come sorted by
-document within a node, its first leaf is the one that stays, and all a task holds is one
-batch and the last leaf.  So a passage that a third of all documents hold is a long node that
-streams by, not a group in memory; sorting spills to disk.
-
-A chunk sends each different suffix once a segment, with the smallest document that has it.
+The windows to be told apart are those of ``width`` words that pass the cover of ``repeats``.
+Each has one anchor, its leftmost smallest k-gram of words, so equal windows have equal anchors
+at equal places, and the suffixes that are sorted into trees are those that begin at anchors: a
+sparse suffix tree, whose nodes at the depth of a k-gram are the anchors.  Suffixes go to groups
+by variable-length prefixes: a group is the range of texts from one prefix to the next, and
+prefixes are as long as it takes to tell the groups' bounds apart.  The bounds come from a
+bounded sample of windows and only set how even the groups are: equal texts are always in one
+group, whatever the bounds.  All is text, the words joined by a space; nothing here rests on a
+fingerprint.
+
+A group's suffixes stream by in order, one anchor's subtree at a time.  A window that begins o
+words before its anchor is a node of that subtree at depth width - o whose leaves also agree on
+the o words before it.  Such an internal node with leaves in two documents is a repeat, and its
+smallest document keeps it; neighbouring repeats of a document make the maximal ones.  An anchor
+whose subtree passes ``HELD`` bytes is not held: its windows go on one by one, sorted by text and
+document, and stream by with only the last leaf in memory.  So a passage that a third of all
+documents hold is never a group in memory; sorting spills to disk.
+
+A chunk sends each different neighbourhood of an anchor once, with the smallest document that
+has it.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .common import staged
 from .repeats import CHUNK, NO_ID, Chunk, Store, Unit, by_row, unpack_rows
+from .suffixes import anchored
 
 #: Chunks that are sampled, about, and windows of each, to choose the groups' bounds.
 SAMPLED, EACH = 24, 400
-#: Leaves whose answers are packed together.
-PACK = 1 << 18
-
-_LEAVES = pa.schema([("part", pa.int32()), ("suffix", pa.binary()), ("doc", pa.int64()), ("chunk", pa.int64()), ("at", pa.int32())])
-_LEAVES_DDL = "part int, suffix binary, doc long, chunk long, at int"
+#: Leaves whose answers are packed together, and bytes of one anchor's subtree in memory.
+PACK, HELD = 1 << 18, 16 << 20
+
+_SENT = pa.schema([("part", pa.int32()), ("anchor", pa.binary()), ("before", pa.int32()), ("text", pa.binary()), ("doc", pa.int64()), ("chunk", pa.int64()), ("at", pa.int32())])
+_SENT_DDL = "part int, anchor binary, before int, text binary, doc long, chunk long, at int"
+# Windows of a chunk (their places among those of its neighbourhoods) that a smaller document has; or one that is still to be sorted in.
+_JUDGED = pa.schema([("chunk", pa.int64()), ("found", pa.binary()), ("suffix", pa.binary()), ("doc", pa.int64()), ("at", pa.int32())])
+_JUDGED_DDL = "chunk long, found binary, suffix binary, doc long, at int"
 _FOUND = pa.schema([("chunk", pa.int64()), ("found", pa.binary())])
 
 
-class Suffixes:
-    """Suffixes of the texts of a chunk, asked for text after text."""
-
-    def __init__(self, texts: list[bytes], width: int):
-        self.texts, self.width, self.row = texts, width, -1
-
-    def of(self, row: int, starts: np.ndarray) -> list[bytes]:
-        """The ``width`` words from each start on, joined by a space."""
-        if row != self.row:
-            words = self.texts[row].split()
-            self.row, self.whole, self.begin = row, b" ".join(words), np.zeros(len(words) + 1, np.int64)
-            np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=self.begin[1:])
-        whole = self.whole
-        return [whole[a:b] for a, b in zip(self.begin[starts].tolist(), (self.begin[starts + self.width] - 1).tolist())]
-
-
 def prefixes(sample: list[bytes], groups: int) -> list[bytes]:
     """Ascending lower bounds of groups 1, 2, ...: the shortest prefixes that part evenly spaced samples from those before them."""
     sample, out = sorted(set(sample)), []
@@ -94,45 +87,139 @@ def bounds(store: Store, width: int) -> list[bytes]:
     return prefixes([bytes(r["prefix"]) for r in rows], store.parts)
 
 
-@dataclass
-class Leaves:
-    """The different suffixes that pass of a segment of a chunk: their text and smallest
-    document; and for each of its windows row, start, document and which suffix it is."""
-
-    text: pa.Array
-    least: np.ndarray
-    row: np.ndarray
-    start: np.ndarray
-    own: np.ndarray
-    which: np.ndarray
-
-
-def leaves_of(chunk: Chunk, samples) -> Iterator[Leaves]:
-    suffixes = Suffixes(chunk.texts, chunk.unit.width)
-    for seg, at in chunk.passing(samples):
-        piece = np.searchsorted(seg.start, at, side="right") - 1
-        row, start = seg.doc[piece], at - seg.start[piece] + seg.first[piece]
-        texts: list[bytes] = []
-        cut = np.flatnonzero(np.diff(row, prepend=row[0] - 1))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(row)]):
-            texts += suffixes.of(int(row[a]), start[a:b])
-        coded = pa.array(texts, pa.large_binary()).dictionary_encode()
-        own, which = chunk.ids[row], coded.indices.to_numpy().astype(np.int64)
-        least = np.full(len(coded.dictionary), NO_ID)
-        np.minimum.at(least, which, own)
-        yield Leaves(coded.dictionary, least, row, start, own, which)
-
-
-def grown(leaves: DataFrame) -> DataFrame:
-    """chunk, found: the suffixes (their places in the chunk) whose node has a leaf of a smaller document."""
-
-    def packed(chunks: list, places: list) -> pa.RecordBatch:
-        chunk, at = np.concatenate(chunks), np.concatenate(places).astype(np.int32)
-        by = np.lexsort((at, chunk))
-        chunk, at = chunk[by], at[by]
-        cut = np.flatnonzero(np.diff(chunk, prepend=chunk[:1] - 1))
-        found = [at[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)])]
-        return pa.RecordBatch.from_arrays([pa.array(chunk[cut], pa.int64()), pa.array(found, pa.binary())], schema=_FOUND)
+class Neighbourhoods:
+    """The different texts around anchors of a chunk's windows that pass, their smallest
+    documents, and where the chunk has them.  ``at`` is the place of a text's first window."""
+
+    def __init__(self, chunk: Chunk, samples):
+        unit, ids, known = chunk.unit, chunk.ids.tolist(), {}
+        self.row, self.start, self.which, self.least, size, last_doc = [], [], [], [], [], -1
+        for seg, at in chunk.passing(samples):
+            begins, docs, shifts = seg.start.tolist(), seg.doc.tolist(), (seg.first - seg.start).tolist()
+            for first, last, q, _ in anchored(seg, at, unit):
+                piece = bisect_right(begins, first) - 1
+                doc, a = docs[piece], first + shifts[piece]
+                if doc != last_doc:
+                    words = chunk.texts[doc].split()
+                    whole, last_doc = b" ".join(words), doc
+                    place = [0, *accumulate([len(w) + 1 for w in words])]
+                n, b, own = last - first + 1, q - first, ids[doc]
+                key = (b, whole[place[a] : place[a + n - 1 + unit.width] - 1])
+                w = known.get(key)
+                if w is None:
+                    w = known[key] = len(known)
+                    size.append(n)
+                    self.least.append(own)
+                elif own < self.least[w]:
+                    self.least[w] = own
+                self.row.append(doc)
+                self.start.append(a)
+                self.which.append(w)
+        self.known, self.gram, self.own = list(known), unit.gram, chunk.ids
+        self.size = np.array(size, np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def send(self, number: int, first: list[bytes], rows: int = 5000) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(self.known), rows):
+            part = self.known[i : i + rows]
+            anchors = [b" ".join(text.split(b" ", b + self.gram)[b : b + self.gram]) for b, text in part]
+            n = len(part)
+            columns = [
+                [bisect_right(first, x) for x in anchors], anchors, [b for b, _ in part], [text for _, text in part],
+                self.least[i : i + n], np.full(n, number), self.at[i : i + n].astype(np.int32),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SENT)], schema=_SENT)
+
+    def hits(self, found) -> tuple[np.ndarray, np.ndarray]:
+        """Row and start of each window that a smaller document has."""
+        hit = np.zeros(int(self.size.sum()), bool)
+        for x in found or ():
+            hit[np.frombuffer(x, np.int32)] = True
+        row, start, which = (np.array(x, np.int64) for x in (self.row, self.start, self.which))
+        n = self.size[which]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        later = np.repeat(self.own[row] > np.array(self.least, np.int64)[which], n)
+        keep = later | hit[np.repeat(self.at[which], n) + step]
+        return np.repeat(row, n)[keep], (np.repeat(start, n) + step)[keep]
+
+
+def subtree(rows: list[tuple], width: int) -> Iterator[tuple[int, int]]:
+    """(chunk, place) of each window of an anchor's neighbourhoods (text, doc, chunk, at) that one of a smaller document has."""
+    least: dict[bytes, int] = {}
+    own = []
+    for text, doc, chunk, at in rows:
+        place = [0, *accumulate([len(w) + 1 for w in text.split(b" ")])]
+        windows = [text[a : b - 1] for a, b in zip(place, place[width:])]
+        own.append((windows, doc, chunk, at))
+        for w in windows:
+            if doc < least.get(w, NO_ID):
+                least[w] = doc
+    for windows, doc, chunk, at in own:
+        for i, w in enumerate(windows):
+            if least.get(w, NO_ID) < doc:
+                yield chunk, at + i
+
+
+def _packed(chunk: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Places by chunk."""
+    by = np.lexsort((at, chunk))
+    chunk, at = chunk[by], at[by].astype(np.int32)
+    cut = np.flatnonzero(np.diff(chunk, prepend=chunk[:1] - 1))
+    return chunk[cut], [at[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)])]
+
+
+def grown(sent: DataFrame, width: int) -> DataFrame:
+    """chunk, found: the places of windows that a smaller document has."""
+    held = HELD
+
+    def answers(hits: list[tuple[int, int]]) -> pa.RecordBatch:
+        chunk, found = _packed(*np.array(hits, np.int64).T)
+        none = [None] * len(found)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((chunk, found, none, none, none), _JUDGED)], schema=_JUDGED)
+
+    def apart(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for text, doc, chunk, at in rows:
+            place = [0, *accumulate([len(w) + 1 for w in text.split(b" ")])]
+            windows = [text[a : b - 1] for a, b in zip(place, place[width:])]
+            n = len(windows)
+            columns = ([chunk] * n, [None] * n, windows, [doc] * n, range(at, at + n))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _JUDGED)], schema=_JUDGED)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        now, size, crowded, last, hits = [], 0, False, None, []
+        for b in batches:
+            for anchor, *row in zip(*(b.column(c).to_pylist() for c in ("anchor", "text", "doc", "chunk", "at"))):
+                if anchor != last:
+                    if len(now) > 1:
+                        hits += subtree(now, width)
+                        if len(hits) > PACK:
+                            yield answers(hits)
+                            hits = []
+                    now, size, crowded, last = [], 0, False, anchor
+                if crowded:
+                    yield from apart([row])
+                    continue
+                now.append(row)
+                size += len(row[0])
+                if size > held:
+                    yield from apart(now)
+                    now, crowded = [], True
+        if len(now) > 1:
+            hits += subtree(now, width)
+        if hits:
+            yield answers(hits)
+
+    ordered = sent.repartition("part").sortWithinPartitions("anchor")
+    judged = staged(ordered.select("anchor", "text", "doc", "chunk", "at").mapInArrow(run, _JUDGED_DDL), "judged")
+    found = judged.where("suffix is null").select("chunk", "found")
+    left = judged.where("suffix is not null")
+    if not left.limit(1).count():
+        return found
+    return found.unionByName(streamed(left.select("suffix", "doc", "chunk", "at")))
+
+
+def streamed(leaves: DataFrame) -> DataFrame:
+    """chunk, found: of windows one by one (suffix, doc, chunk, at) the places of those whose text has a leaf of a smaller document."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         last, first, chunks, places, held = None, 0, [], [], 0
@@ -155,13 +242,12 @@ def grown(leaves: DataFrame) -> DataFrame:
                 held += len(hit)
             last, first = text[n - 1].as_py(), int(node[-1])
             if held >= PACK:
-                yield packed(chunks, places)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(_packed(np.concatenate(chunks), np.concatenate(places)), _FOUND)], schema=_FOUND)
                 chunks, places, held = [], [], 0
         if held:
-            yield packed(chunks, places)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(_packed(np.concatenate(chunks), np.concatenate(places)), _FOUND)], schema=_FOUND)
 
-    ordered = leaves.repartition("part").sortWithinPartitions("suffix", "doc")
-    return ordered.select("suffix", "doc", "chunk", "at").mapInArrow(run, "chunk long, found binary")
+    return leaves.repartition("suffix").sortWithinPartitions("suffix", "doc").mapInArrow(run, "chunk long, found binary")
 
 
 def repeats(docs: DataFrame, unit: Unit, finish: Callable, schema: str, chunk: int = CHUNK) -> DataFrame:
@@ -173,32 +259,14 @@ def repeats(docs: DataFrame, unit: Unit, finish: Callable, schema: str, chunk: i
     def send(batches):
         for b in batches:
             for number, data, samples in zip(b.column("chunk").to_pylist(), b.column("rows"), b.column("samples").to_pylist()):
-                base = 0
-                for own in leaves_of(Chunk(data.as_py(), unit, True), samples):
-                    for at in range(0, len(own.text), 10_000):
-                        text = own.text.slice(at, 10_000)
-                        n = len(text)
-                        part = pa.array([bisect_right(first, t) for t in text.to_pylist()], pa.int32())
-                        place = np.arange(base + at, base + at + n, dtype=np.int32)
-                        columns = [part, text.cast(pa.binary()), pa.array(own.least[at : at + n]), pa.array(np.full(n, number, np.int64)), pa.array(place)]
-                        yield pa.RecordBatch.from_arrays(columns, schema=_LEAVES)
-                    base += len(own.text)
+                yield from Neighbourhoods(Chunk(data.as_py(), unit, True), samples).send(number, first)
 
     def judge(batches):
         for b in batches:
             for data, samples, found in zip(b.column("rows"), b.column("samples").to_pylist(), b.column("found").to_pylist()):
-                c, base = Chunk(data.as_py(), unit, True), 0
-                seen = np.sort(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in found or ())]))
-                row, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for own in leaves_of(c, samples):
-                    n = len(own.text)
-                    later = np.zeros(n, bool)
-                    later[seen[slice(*np.searchsorted(seen, [base, base + n]))] - base] = True
-                    hit = later[own.which] | (own.own > own.least[own.which])
-                    row.append(own.row[hit])
-                    start.append(own.start[hit])
-                    base += n
-                yield finish(c.rows, c.texts, by_row(np.concatenate(row), np.concatenate(start), len(c.texts)))
-
-    back = grown(store.joined.mapInArrow(send, _LEAVES_DDL)).groupBy("chunk").agg(F.collect_list("found").alias("found"))
+                c = Chunk(data.as_py(), unit, True)
+                row, start = Neighbourhoods(c, samples).hits(found)
+                yield finish(c.rows, c.texts, by_row(row, start, len(c.texts)))
+
+    back = grown(store.joined.mapInArrow(send, _SENT_DDL), unit.width).groupBy("chunk").agg(F.collect_list("found").alias("found"))
     return store.answered(back, "found").mapInArrow(judge, schema)

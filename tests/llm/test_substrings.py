@@ -71,8 +71,10 @@ def test_pieces_of_a_long_document(make, texts, monkeypatch):
     assert max(len(s.codes) for s in pieces) <= 2 * 1000 + 12
 
 
-def test_many_chunks(spark, make, texts, monkeypatch):
-    # Tiny chunks: passages meet across chunks, not within them.
+@pytest.mark.parametrize("held", [1, 500, 16 << 20])
+def test_many_chunks(spark, make, texts, monkeypatch, held):
+    # Tiny chunks: passages meet across chunks, not within them.  Little held: crowded anchors.
+    monkeypatch.setattr(trees, "HELD", held)
     def count(rows, _, marks):
         import pyarrow as pa
 
