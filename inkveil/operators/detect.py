@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema
 from ..functions import geometry as G, text as T
-from .layout import PAGE, lines, numeric_runs
+from .layout import PAGE, lines, lines_from_text, numeric_runs
 
 BOX = (*PAGE, "priority", "seq", "x", "y", "w", "h", "label", "source")
 _LONG = "array<struct<start:int,stop:int>>"
@@ -33,6 +33,40 @@ def on_pages(words: DataFrame, pages: DataFrame) -> DataFrame:
     return lines(words.join(pages.select(*PAGE, "width", "height"), list(PAGE)))
 
 
+def telling(page: Column) -> Column:
+    """Of an array of lines (row, line_no, line) those that a detector can find something in.
+
+    That is lines with a digit, with four characters in a row that can be read as a PAN's
+    digits, or with a label, and the six lines below a label.  Detectors find in them what
+    they find in all lines.
+    """
+    labels = {*schema.NAME_LABELS, *schema.ADDRESS_LABELS, *(x for those in schema.NUMBER_LABELS.values() for x in those)}
+    digits = f"[0-9{T.CONFUSED}]"
+    readable = f"[^ ]{{5}}{digits}(?:[^A-Za-z0-9| ]*{digits}){{3}}[^ ]"
+
+    def told(s: Column) -> Column:
+        anchors = F.split(F.regexp_replace(F.lower(s["line"]), "[^a-z\\u0900-\\u097F/ ]+", ""), " ")
+        label = F.arrays_overlap(anchors, F.array(*map(F.lit, sorted(labels))))
+        return F.struct(s.alias("line"), label.alias("label"), (label | s["line"].rlike("[0-9]") | s["line"].rlike(readable)).alias("own"))
+
+    def near(all_: Column) -> Column:
+        def above(i: Column) -> Column:
+            return F.slice(all_, F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6)))
+
+        kept = F.filter(all_, lambda s, i: s["own"] | F.exists(above(i), lambda t: t["label"]))
+        return F.transform(kept, lambda s: s["line"])
+
+    return let(F.transform(page, told), near)
+
+
+def on_texts(texts: DataFrame) -> DataFrame:
+    """What on_pages gives, for pages of plain text, but only the lines that can matter.
+
+    texts: doc_id, page_no, text, width, height.  Other lines go before anything is shuffled.
+    """
+    return lines_from_text(texts, telling)
+
+
 def _boxes(df: DataFrame, kind: str, seq: Column, r: G.Rect, label: Column, source: Column, ratio: float = 0.18) -> DataFrame:
     placed = G.clamp_rect(G.pad(r, ratio), F.col("width"), F.col("height"))
     return df.select(*PAGE, F.lit(schema.PRIORITY[kind]).alias("priority"), seq.cast("long").alias("seq"), *G.named(placed), label.alias("label"), source.alias("source"))
@@ -208,9 +242,19 @@ def detect(lined: DataFrame, extra: DataFrame | None = None, strict: bool = Fals
     return reduce(DataFrame.unionByName, found)
 
 
+def _apart(boxes: DataFrame, start: str, extent: str, name: str, *within: str) -> DataFrame:
+    """boxes with a number that differs where a gap parts them along an axis: such boxes never overlap."""
+    order = Window.partitionBy(*PAGE, *within).orderBy(start)
+    reached = F.max(F.col(start) + F.col(extent)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = boxes.withColumn(name, F.when(F.col(start) >= reached, 1).otherwise(0))
+    return new.withColumn(name, F.sum(name).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def suppress(boxes: DataFrame, share: float = 0.6, safe: bool = False) -> DataFrame:
     """Keeps a box unless one kept before it on its page covers more than ``share`` of it.
 
+    Boxes are compared within heaps that gaps part, so a page of many boxes costs what its
+    heaps do.
     safe: a box whose label must be blocked out never gives way to one of another label that
     a policy may reveal.
     """
@@ -228,6 +272,6 @@ def suppress(boxes: DataFrame, share: float = 0.6, safe: bool = False) -> DataFr
         F.array_sort("all"), F.array().cast(kept_type),
         lambda kept, b: F.when(F.exists(kept, lambda k: gives_way(k, b)), kept).otherwise(F.concat(kept, F.array(b))),
     )
-    page = boxes.groupBy(*PAGE).agg(F.collect_list(box).alias("all"))
+    page = _apart(_apart(boxes, "y", "h", "_band"), "x", "w", "_heap", "_band").groupBy(*PAGE, "_band", "_heap").agg(F.collect_list(box).alias("all"))
     out = page.select(*PAGE, F.explode(fold).alias("b"))
     return out.select(*PAGE, F.xxhash64(*PAGE, "b.priority", "b.seq").alias("box_id"), "b.*", F.lit("block").alias("style"), F.lit(True).alias("enabled"))

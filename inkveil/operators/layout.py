@@ -13,25 +13,41 @@ from ..functions import geometry as G, text as T
 PAGE = ("doc_id", "page_no")
 
 
-def words_from_text(texts: DataFrame, unit: int = 18, gap: int = 15, left: int = 50, top: int = 40, pitch: int = 60, height: int = 40) -> DataFrame:
-    """A words table set from plain text: one page a row, one row of words a line.
+def lines_from_text(texts: DataFrame, keep=None, unit: int = 18, gap: int = 15, left: int = 50, top: int = 40, pitch: int = 60, height: int = 40) -> DataFrame:
+    """lines(words) of pages set from plain text, whose rows are their lines: no window over the page's words.
 
-    texts has doc_id, page_no and text.  Words are what spaces part; empty ones are dropped.
+    texts has doc_id, page_no and text, and width and height if these are wanted along.  Words
+    are what spaces part; empty ones are dropped.  keep: from an array of lines (row, line_no,
+    line) to those whose words are wanted, so that no other word leaves the scan.  Null texts
+    have no words.
     """
-    lines = texts.select(*PAGE, F.posexplode(F.split("text", "\n", -1)).alias("row", "line"))
-    rows = lines.select(*PAGE, "row", F.posexplode(F.filter(F.split("line", " ", -1), lambda w: w != "")).alias("at", "text"))
-    before = Window.partitionBy(*PAGE, "row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    if pitch * 2 < height:
+        raise ValueError("rows of text that overlap by more than half are not lines")
+    more = [c for c in ("width", "height") if c in texts.columns]
+    split = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("row"), line.alias("line")))
+    held = F.filter(split, lambda s: F.translate(s["line"], " ", "") != "")
+    numbered = F.transform(held, lambda s, i: F.struct(s["row"].alias("row"), i.alias("line_no"), s["line"].alias("line")))
+    each = texts.select(*PAGE, *more, F.inline(numbered if keep is None else keep(numbered))).repartition(*PAGE)
+    rows = each.select(*PAGE, *more, "row", "line_no", F.posexplode(F.filter(F.split("line", " ", -1), lambda w: w != "")).alias("pos", "text"))
+    before = Window.partitionBy(*PAGE, "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     chars = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
-    return rows.repartition(*PAGE).select(
+    return rows.select(
         *PAGE,
-        (F.col("row").cast("long") * 1_000_000 + F.col("at")).alias("word_idx"),
+        (F.col("row").cast("long") * 1_000_000 + F.col("pos")).alias("word_idx"),
         "text",
         F.lit(90.0).alias("confidence"),
-        (F.lit(left) + chars * unit + F.col("at") * gap).cast("double").alias("x"),
+        (F.lit(left) + chars * unit + F.col("pos") * gap).cast("double").alias("x"),
         (F.lit(top) + F.col("row") * pitch).cast("double").alias("y"),
         (F.length("text") * unit).cast("double").alias("w"),
         F.lit(float(height)).alias("h"),
-    )
+        *([F.col("width"), F.col("height")] if more else []),
+        "line_no", "pos",
+    )
+
+
+def words_from_text(texts: DataFrame, **metrics: int) -> DataFrame:
+    """A words table set from plain text: one page a row, one row of words a line."""
+    return lines_from_text(texts.select(*PAGE, "text"), **metrics).drop("line_no", "pos")
 
 
 def read_words(recognised: DataFrame) -> DataFrame:

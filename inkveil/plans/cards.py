@@ -22,8 +22,7 @@ def card_texts(spark: SparkSession, sf_dir: str, phone_base: int = 9_000_000_000
     k = F.col("c_custkey").cast("long")
     stem = F.concat((k % 8 + 2).cast("string"), F.lpad((k * 7919 % 10_000_000_000).cast("string"), 10, "0"))
     check = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: T.verhoeff(F.concat(stem, d.cast("string")))), 1)
-    digit = F.when(k % 3 == 0, (check + 1) % 10).otherwise(check)
-    number = F.concat(stem, digit.cast("string"))
+    number = F.col("number")
     two = lambda v: F.lpad(v.cast("string"), 2, "0")
     rows = [
         F.concat(F.lit("Name: "), F.translate(F.expr("substr(c_name, 10)"), "0123456789", "ABCDEFGHIJ")),
@@ -34,7 +33,8 @@ def card_texts(spark: SparkSession, sf_dir: str, phone_base: int = 9_000_000_000
         F.concat(F.lit("Pune "), (k % 99_999 + 400_000).cast("string")),
         F.concat(letters(k, 3), F.lit("P"), letters(k, 1), F.lpad((k % 10_000).cast("string"), 4, "0"), letters(k, 1)),
     ]
-    joined = c.join(n, c["c_nationkey"] == n["n_nationkey"])
+    joined = c.join(n, c["c_nationkey"] == n["n_nationkey"]).withColumn("check", check)
+    joined = joined.withColumn("number", F.concat(stem, F.when(k % 3 == 0, (F.col("check") + 1) % 10).otherwise(F.col("check")).cast("string")))
     return joined.select(k.alias("doc_id"), F.lit(0).alias("page_no"), F.concat_ws("\n", *rows).alias("text"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
 
 
@@ -44,8 +44,15 @@ def card_words(spark: SparkSession, sf_dir: str, phone_base: int = 9_000_000_000
     return words_from_text(texts), texts.select("doc_id", "page_no", "width", "height")
 
 
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, page_no, text, width, height: all documents as pages, wide and high enough for their texts."""
+    size = F.lit(100_000_000)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        "doc_id", F.lit(0).alias("page_no"), F.coalesce("text", F.lit("")).alias("text"), size.alias("width"), size.alias("height")
+    )
+
+
 def document_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All documents as pages, wide and high enough for their texts."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(0).alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
-    pages = docs.select("doc_id", "page_no", F.lit(100_000_000).alias("width"), F.lit(100_000_000).alias("height"))
-    return words_from_text(docs), pages
+    """The documents' words and their pages."""
+    texts = document_texts(spark, sf_dir)
+    return words_from_text(texts), texts.select("doc_id", "page_no", "width", "height")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from .functions import text as T
@@ -40,23 +39,12 @@ def _found(boxes: DataFrame) -> DataFrame:
     )
 
 
-_kept: list[DataFrame] = []
-
-
-def _shared(lined: DataFrame) -> DataFrame:
-    """Lines that several detectors read are kept (in memory, else on disk), the last two of them."""
-    _kept.append(lined.persist(StorageLevel.MEMORY_AND_DISK))
-    while len(_kept) > 2:
-        _kept.pop(0).unpersist()
-    return lined
-
-
 def _cards(spark, sf_dir, **more):
-    return D.on_pages(*C.card_words(spark, sf_dir, **more))
+    return D.on_texts(C.card_texts(spark, sf_dir, **more))
 
 
 def _documents(spark, sf_dir):
-    return D.on_pages(*C.document_words(spark, sf_dir))
+    return D.on_texts(C.document_texts(spark, sf_dir))
 
 
 # --- text -------------------------------------------------------------------------------
@@ -179,7 +167,7 @@ def addresses(spark, sf_dir):
 
 
 def card_boxes(spark, sf_dir, phone_base=8_000_000_000):
-    return D.suppress(D.detect(_shared(_cards(spark, sf_dir, phone_base=phone_base))))
+    return D.suppress(D.detect(_cards(spark, sf_dir, phone_base=phone_base)))
 
 
 @query(S.detector(S.cards(8_000_000_000), "boxes", *S.ALL))
@@ -190,7 +178,7 @@ def boxes_all(spark, sf_dir):
 
 @query(S.detector(S.DOCUMENTS, "boxes", *S.ALL))
 def document_boxes(spark, sf_dir):
-    return _found(D.suppress(D.detect(_shared(_documents(spark, sf_dir)))))
+    return _found(D.suppress(D.detect(_documents(spark, sf_dir))))
 
 
 # --- boxes and people -------------------------------------------------------------------
@@ -256,8 +244,8 @@ def hidden_counts(spark, sf_dir):
 )
 def review_gate(spark, sf_dir):
     """Documents that were read, show nothing and were not dismissed (P9).  A third counts as unread, a seventh as dismissed."""
-    words, pages = C.document_words(spark, sf_dir)
-    boxes = D.suppress(D.detect(_shared(D.on_pages(words, pages))))
+    pages = C.document_texts(spark, sf_dir).drop("text")
+    boxes = D.suppress(D.detect(_documents(spark, sf_dir)))
     status = pages.withColumn("ocr_status", F.when(F.col("doc_id") % 3 == 0, "unavailable").otherwise("ready"))
     return P.blocked(status, boxes, pages.where(F.col("doc_id") % 7 == 0)).select("doc_id")
 
@@ -271,8 +259,8 @@ def review_gate(spark, sf_dir):
 )
 def marked_pages(spark, sf_dir):
     """How many pages have a box, documents taken as the pages of twenty files."""
-    words, pages = C.document_words(spark, sf_dir)
-    boxes = D.suppress(D.detect(_shared(D.on_pages(words, pages))))
+    pages = C.document_texts(spark, sf_dir).drop("text")
+    boxes = D.suppress(D.detect(_documents(spark, sf_dir)))
 
     def filed(df):
         return df.withColumn("page_no", F.col("doc_id").cast("int")).withColumn("doc_id", F.col("doc_id") % 20)
@@ -296,23 +284,17 @@ def regions(spark, sf_dir):
 def _edits(boxes: DataFrame) -> DataFrame:
     """Six edits of every box: moved, sized, relabelled, restyled, switched off; every fifth deleted."""
     none = [F.lit(None).cast("double").alias(c) for c in "xywh"]
-    steps = [("move", "", 30.0, -12.5, None, None, None), ("resize", "nw", 5.0, 700.0, None, None, None), ("restyle", "", 0.0, 0.0, None, "blur", None),
-             ("relabel", "", 0.0, 0.0, "Address", None, None), ("toggle", "", 0.0, 0.0, None, None, False)]
-    parts = [
-        boxes.select(
-            "doc_id", "page_no", "box_id", F.lit(i).cast("long").alias("seq"), F.lit(k).alias("kind"), F.lit(hd).alias("handle"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"),
-            F.lit(lb).cast("string").alias("label"), F.lit(st).cast("string").alias("style"), F.lit(en).cast("boolean").alias("enabled"), *none,
-        )
-        for i, (k, hd, dx, dy, lb, st, en) in enumerate(steps)
-    ]
-    gone = boxes.where(F.col("seq") % 5 == 0).select(
-        "doc_id", "page_no", "box_id", F.lit(9).cast("long").alias("seq"), F.lit("delete").alias("kind"), F.lit("").alias("handle"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"),
-        F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("style"), F.lit(None).cast("boolean").alias("enabled"), *none,
+
+    def step(seq, kind, handle="", dx=0.0, dy=0.0, label=None, style=None, enabled=None):
+        texts = [F.lit(label).cast("string").alias("label"), F.lit(style).cast("string").alias("style"), F.lit(enabled).cast("boolean").alias("enabled")]
+        return F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), F.lit(handle).alias("handle"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), *texts)
+
+    steps = F.array(
+        step(0, "move", dx=30.0, dy=-12.5), step(1, "resize", "nw", 5.0, 700.0), step(2, "restyle", style="blur"), step(3, "relabel", label="Address"),
+        step(4, "toggle", enabled=False), step(9, "delete"),
     )
-    out = gone
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    wanted = F.filter(steps, lambda s: (s["kind"] != "delete") | (F.col("seq") % 5 == 0))
+    return boxes.select("doc_id", "page_no", "box_id", F.inline(wanted)).select("*", *none)
 
 
 def _moved() -> str:
@@ -327,7 +309,7 @@ def _moved() -> str:
 @query(S.chain(*_BOXES, select=f"SELECT doc_id, {_moved()}, 'Address' AS label, CASE WHEN label IN ({S.quoted(schema.BLOCK_ONLY)}) THEN 'block' ELSE 'blur' END AS style, false AS enabled FROM boxes WHERE seq % 5 <> 0 ORDER BY 1"))
 def edited_boxes(spark, sf_dir):
     """Boxes after an ordered fold of edits."""
-    boxes = _shared(card_boxes(spark, sf_dir))
+    boxes = card_boxes(spark, sf_dir)
     pages = C.card_texts(spark, sf_dir, 8_000_000_000).select("doc_id", "page_no", "width", "height")
     out = P.apply_edits(boxes, _edits(boxes), pages)
     return out.select("doc_id", *[F.round(c, 6).alias(c) for c in "xywh"], "label", "style", "enabled")

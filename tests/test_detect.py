@@ -141,3 +141,32 @@ def test_recognised_words(spark):
 @pytest.mark.parametrize("text", ["2345 6789 0124 9999", "1 2 3 4 5 6 7 8 9 0 1 2 3"])
 def test_long_runs(spark, text):
     assert D.id_numbers(lined(spark, [one(text)])).count() <= 1
+
+
+def test_lines_from_text_finds_what_lines_finds(spark):
+    """Pages of plain text, of which only telling lines are read, against all their words by windows."""
+    texts = [
+        "nothing here\n\nName: Asha\nRao 12\nof no use\nAddress: 4 Lane\nb\nc\nd\ne\nf\ng 411001\nlast", "Na-me\n \nAsha Rao", "blank\n\nABCPQ5678K\nABCPEOOOOK x",
+        "Ｓ/o s/o\n1\n2\n3\n4\n5\n6\n411001", "2345 6789 0124 " * 40 + "\nyear 1999 dob 1999", "", "ABC.PE-OO:OO'K", "mob\n98765 43210\nroll\n\n\n77777", None,
+    ]
+    df = spark.createDataFrame([(i, 0, t, 900, 900) for i, t in enumerate(texts)], "doc_id long, page_no int, text string, width int, height int")
+    by_words = D.detect(D.on_pages(L.words_from_text(df), df))
+    by_lines = D.detect(D.on_texts(df))
+    assert sorted(by_lines.collect()) == sorted(by_words.collect())
+    assert {r["label"] for r in by_lines.collect()} >= {"Aadhaar number", "PAN", "Name", "Address", "Phone number", "Roll number", "Date of birth"}
+
+
+def test_suppression_in_heaps(spark):
+    """Boxes in one heap, in others and touching, against one fold over the whole page."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(0, 0, rng.randint(1, 6), i, rng.randint(0, 60) * 5.0, rng.randint(0, 60) * 5.0, rng.randint(2, 12) * 5.0, rng.randint(2, 8) * 5.0, "Name", "auto") for i in range(400)]
+    got = {(r["priority"], r["seq"]) for r in D.suppress(spark.createDataFrame(rows, "doc_id long, page_no int, priority int, seq long, x double, y double, w double, h double, label string, source string")).collect()}
+    kept = []
+    for r in sorted(rows, key=lambda r: r[2:]):
+        x, y, w, h = r[4:8]
+        over = [max(0, min(k[4] + k[6], x + w) - max(k[4], x)) * max(0, min(k[5] + k[7], y + h) - max(k[5], y)) / (w * h) for k in kept]
+        if not any(o > 0.6 for o in over):
+            kept.append(r)
+    assert got == {(r[2], r[3]) for r in kept}
