@@ -25,7 +25,7 @@ def lines_from_text(texts: DataFrame, keep=None, unit: int = 18, gap: int = 15,
         raise ValueError("rows of text that overlap by more than half are not lines")
     more = [c for c in ("width", "height") if c in texts.columns]
     split = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("row"), line.alias("line")))
-    held = F.filter(split, lambda s: F.translate(s["line"], " ", "") != "")
+    held = F.filter(split, lambda s: s["line"].rlike("[^ ]"))
     numbered = F.transform(held, lambda s, i: F.struct(s["row"].alias("row"), i.alias("line_no"), s["line"].alias("line")))
     each = texts.select(*PAGE, *more, F.inline(numbered if keep is None else keep(numbered))).repartition(*PAGE)
     rows = each.select(*PAGE, *more, "row", "line_no", F.posexplode(F.filter(F.split("line", " ", -1), lambda w: w != "")).alias("pos", "text"))

@@ -147,7 +147,7 @@ def test_lines_from_text_finds_what_lines_finds(spark):
     """Pages of plain text, of which only telling lines are read, against all their words by windows."""
     texts = [
         "nothing here\n\nName: Asha\nRao 12\nof no use\nAddress: 4 Lane\nb\nc\nd\ne\nf\ng 411001\nlast", "Na-me\n \nAsha Rao", "blank\n\nABCPQ5678K\nABCPEOOOOK x",
-        "Ｓ/o s/o\n1\n2\n3\n4\n5\n6\n411001", "2345 6789 0124 " * 40 + "\nyear 1999 dob 1999", "", "ABC.PE-OO:OO'K", "mob\n98765 43210\nroll\n\n\n77777", None,
+        "Ｓ/o s/o\n1\n2\n3\n4\n5\n6\n411001", "2345 6789 0124 " * 40 + "\nyear 1999 dob 1999", "", "\u212A\nmar\u212As NAME\nAsha Rao", "D.\u0130.O\nC\u0130D/o s\u0130 2\nS/O x\ny", "ABC.PE-OO:OO'K", "mob\n98765 43210\nroll\n\n\n77777", None,
     ]
     df = spark.createDataFrame([(i, 0, t, 900, 900) for i, t in enumerate(texts)], "doc_id long, page_no int, text string, width int, height int")
     by_words = D.detect(D.on_pages(L.words_from_text(df), df))
