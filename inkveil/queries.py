@@ -697,9 +697,9 @@ def offdevice_stream(spark, sf_dir):
     schema_ = table(spark, sf_dir, "pages").schema
     stream = spark.readStream.schema(schema_).parquet(f"{sf_dir}/pages.parquet*")
     live = stream.select(F.timestamp_seconds(F.col("page_id") * 60).alias("ts"), "url", (F.col("page_id") % 4 * 1000).alias("transfer_size"))
-    name = f"off_device_{uuid.uuid4().hex}"
-    MO.watch(live, OWN, name, f"{base}/{name}").awaitTermination()
-    return spark.table(name).select("off_device", F.array_join("hosts", ",").alias("hosts"))
+    place = f"{base}/off_device_{uuid.uuid4().hex}"
+    MO.watch(live, OWN, f"{place}/hosts", f"{place}/checkpoint").awaitTermination()
+    return MO.totals(spark, f"{place}/hosts").select("off_device", F.array_join("hosts", ",").alias("hosts"))
 
 
 _SITE = "html || ' https://unpkg.com/a' || CASE WHEN page_id % 3 = 0 THEN '.js http://x.y.cdn.jsdelivr.net/b https://unpkg.com' ELSE '' END"

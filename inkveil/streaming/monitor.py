@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+_COUNTS = "host string, requests long, bytes long"
 # The default ports of the schemes.
 _ORIGIN = "^(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::([0-9]*))?(?:[/?#].*)?\\z"
 
@@ -25,28 +26,42 @@ def host(url: Column) -> Column:
     return F.regexp_replace(origin(url), "^https?://", "")
 
 
-def off_device(requests: DataFrame, own: str) -> DataFrame:
-    """off_device, hosts of a batch or a stream of requests (ts, url, transfer_size); hosts sorted.
-
-    The state is one counter and the set of hosts, which are few however many requests.
-    """
-    out = requests.where(is_off_device(F.col("url"), F.col("transfer_size"), own))
-    return out.agg(F.count("*").alias("off_device"), F.sort_array(F.collect_set(host(F.col("url")))).alias("hosts"))
-
-
 def per_host(requests: DataFrame, own: str) -> DataFrame:
+    """host, requests, bytes of a batch or a stream of requests (ts, url, transfer_size) that left the device."""
     out = requests.where(is_off_device(F.col("url"), F.col("transfer_size"), own))
     return out.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("requests"), F.sum("transfer_size").alias("bytes"))
 
 
-def watch(requests: DataFrame, own: str, name: str, checkpoint: str, per: str | None = None):
-    """Starts the running total (per: in windows of that length, with as long a watermark) over all there is, then stops.
+def _report(hosts: DataFrame) -> DataFrame:
+    return hosts.agg(F.coalesce(F.sum("requests"), F.lit(0)).alias("off_device"), F.sort_array(F.collect_list("host")).alias("hosts"))
 
-    Buffered requests count as live ones do.  Results are in the in-memory table ``name``.
+
+def off_device(requests: DataFrame, own: str) -> DataFrame:
+    """off_device, hosts of a batch of requests: one row, hosts sorted.  per_host is the same without the list."""
+    return _report(per_host(requests, own))
+
+
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """What off_device gives, of all that ``watch`` has seen so far: the highest, thus the last count of each host."""
+    return _report(spark.read.schema(_COUNTS).parquet(path).groupBy("host").agg(F.max("requests").alias("requests")))
+
+
+def watch(requests: DataFrame, own: str, path: str, checkpoint: str, per: str | None = None):
+    """Starts the running count over all there is, then stops.  Buffered requests count as live ones do.
+
+    The state is a count by host; each batch adds the hosts whose counts it changed to the
+    Parquet table at ``path``, in a folder of its own that a retry overwrites.
+    per: instead counts in windows of that length, with as long a watermark, are appended there.
     """
     if per is None:
-        total, mode = off_device(requests, own), "complete"
+        requests.sparkSession.createDataFrame([], _COUNTS).write.mode("ignore").parquet(f"{path}/batch=-1")
+
+        def add(changed: DataFrame, batch: int) -> None:
+            changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+        writer = per_host(requests, own).writeStream.outputMode("update").foreachBatch(add)
     else:
         late = requests.withWatermark("ts", per).where(is_off_device(F.col("url"), F.col("transfer_size"), own))
-        total, mode = late.groupBy(F.window("ts", per).alias("window")).agg(F.count("*").alias("off_device")), "append"
-    return total.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        total = late.groupBy(F.window("ts", per).alias("window")).agg(F.count("*").alias("off_device"))
+        writer = total.writeStream.outputMode("append").format("parquet").option("path", path)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -197,9 +197,32 @@ def test_traffic_stream(spark, tmp_path):
     df = spark.createDataFrame([(u, n) for u, n in REQUESTS], "url string, transfer_size long").withColumn("ts", F.to_timestamp(F.lit("2026-01-01")))
     df.write.parquet(source)
     stream = spark.readStream.schema(df.schema).parquet(source)
-    monitor.watch(stream, "https://own.example", "watched", str(tmp_path / "c")).awaitTermination()
-    assert spark.table("watched").first()["off_device"] == 2
-    monitor.watch(stream, "https://own.example", "windowed", str(tmp_path / "d"), per="1 hour").awaitTermination()
+    seen, hourly = str(tmp_path / "seen"), str(tmp_path / "hourly")
+    monitor.watch(stream, "https://own.example", seen, str(tmp_path / "c")).awaitTermination()
+    assert tuple(monitor.totals(spark, seen).first()) == (2, ["other.example", "own.example"])
+    df.write.mode("append").parquet(source)
+    monitor.watch(stream, "https://own.example", seen, str(tmp_path / "c")).awaitTermination()
+    assert tuple(monitor.totals(spark, seen).first()) == (4, ["other.example", "own.example"])
+    later = df.withColumn("ts", F.to_timestamp(F.lit("2026-01-02")))
+    later.write.mode("append").parquet(source)
+    monitor.watch(stream, "https://own.example", hourly, str(tmp_path / "d"), per="1 hour").awaitTermination()
+    assert [r["off_device"] for r in spark.read.parquet(hourly).collect()] == [4]
+
+
+def test_traffic_stream_without_requests(spark, tmp_path):
+    source = str(tmp_path / "in")
+    df = spark.createDataFrame([], "url string, transfer_size long, ts timestamp")
+    df.write.parquet(source)
+    monitor.watch(spark.readStream.schema(df.schema).parquet(source), "https://own.example", str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    assert tuple(monitor.totals(spark, str(tmp_path / "o")).first()) == (0, [])
+
+
+def test_dark_ratio_of_one_large_page(spark):
+    from inkveil.operators import histogram
+
+    pixels = spark.range(40_000).select(F.lit(1).alias("page"), (F.col("id") % 200).alias("px"), F.floor(F.col("id") / 200).alias("py"), (F.col("id") % 2).alias("dark"))
+    rects = spark.createDataFrame([(1, -3.0, 10.5, 24.0, 4.0), (2, 0.0, 0.0, 5.0, 5.0)], "page int, x double, y double, w double, h double")
+    assert sorted(map(tuple, histogram.dark_ratio(pixels, rects, "page").collect())) == [(1, 10 / 21), (2, 0.0)]
 
 
 def test_page_and_edit_streams(spark, tmp_path):
