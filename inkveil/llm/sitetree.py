@@ -453,6 +453,9 @@ def main_text(pages: DataFrame, low: float = LOW) -> DataFrame:
     weak = staged(style_tree(different(rows)).where(F.col("importance") < low).select("host", "path"), "weak")
     used = rows.select("row", "host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: b["loose"]), lambda b: b["path"]))).alias("path"))
     gone = used.join(weak, ["host", "path"]).groupBy("row").agg(F.collect_set("path").alias("weak"))
-    full = rows.select("row", "page_id", "url", "blocks").join(gone, "row", "left")
+    # Only pages with a block that the tree may remove meet its verdicts; the others' texts are not shuffled.
+    open_ = F.exists("blocks", lambda b: b["loose"])
+    page = rows.select("row", "page_id", "url", "blocks")
+    full = page.where(open_).join(gone, "row", "left").unionByName(page.where(~open_).withColumn("weak", F.lit(None).cast("array<long>")))
     kept = F.when(F.col("weak").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~(b["loose"] & F.array_contains(F.col("weak"), b["path"]))))
     return full.select("page_id", "url", F.concat_ws("\n", F.transform(kept, lambda b: b["text"])).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
