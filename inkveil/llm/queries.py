@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, media, neighbours, packing, quality, simhash, sitetree, substrings, tokenize
+from . import licences, media, merkle, mixing, neighbours, oracles, packing, quality, repair, simhash, sitetree, substrings, tokenize
 from .common import table
 
 
@@ -46,15 +46,30 @@ def op10_quality(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_repair(spark, sf_dir):
+    return repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle(spark, sf_dir):
+    return merkle.tampered(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark, sf_dir):
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_neighbours, op3_flac, op4_substring_dedup, op5_licences, op6_site_tree,
-        op7_byte_bpe, op8_simhash, op9_packing, op10_quality,
+        op7_byte_bpe, op8_simhash, op9_packing, op10_quality, op11_repair, op12_merkle, op13_mixing,
     )
 }
-#: Of these only operator 4 can be said in SQL.  The others are held against brute force in tests.
+#: Operators 4 and 11 to 13 can be said in SQL.  The others are held against brute force in tests.
 ORACLES: dict[str, str] = {
+    "op11_repair": oracles.REPAIR,
+    "op12_merkle": oracles.MERKLE,
+    "op13_mixing": oracles.MIXING,
     "op4_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 12, 0))) AS i FROM d),
