@@ -31,27 +31,40 @@ def is_pdf(mime: Column) -> Column:
     return mime == "application/pdf"
 
 
-def read_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) files of a folder; rejected ones have a reject_reason and no content.
 
-    Spark's reader passes over files of no bytes, so these are in neither.
+    Spark's reader makes no task for files of no bytes.  Its list of files has them, so what is
+    listed and not read is of no bytes.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.withColumn("mime", mime_of(F.col("path"))).withColumn("reject_reason", reject_reason(F.col("mime"), F.col("length")))
-    return files.where("reject_reason is null").drop("reject_reason"), files.where("reject_reason is not null").drop("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    sized = files.select("path", "modificationTime", "length", "content")
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "url string")  # the driver's list of what to read, escaped
+    path = F.url_decode(F.replace("url", F.lit("+"), F.lit("%2B")))
+    listed = listed.select(F.regexp_replace(path, "^([a-z0-9]+):///", "$1:/").alias("path"))
+    nothing = listed.join(sized.select("path"), "path", "left_anti").select(
+        "path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")
+    )
+    files = sized.unionByName(nothing).withColumn("mime", mime_of(F.col("path"))).withColumn("reject_reason", reject_reason(F.col("mime"), F.col("length")))
+    return sized.withColumn("mime", mime_of(F.col("path"))).where(reject_reason(F.col("mime"), F.col("length")).isNull()), files.where("reject_reason is not null").drop("content")
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a folder of JPEG and PNG images: one page a document, RGB(A) pixels, working size and scale.
+    """Pages of a folder of JPEG and PNG images: one page a document, upright pixels, working size and scale.
 
-    PDF pages, WEBP and EXIF orientation need decoders that are not bundled; supply such
-    pages as a table of the same columns.
+    Spark decodes; photographs that note another orientation are turned (``exif``).  What
+    can't be decoded is left out, WEBP too, which needs a decoder that is not bundled.
     """
+    from . import exif
+
     image = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
+    image = image.select("origin", "width", "height", F.col("nChannels").alias("channels"), "data")
+    turns = exif.turned(spark, path)
+    image = exif.set_upright(image, turns, turns.limit(exif.BROADCAST + 1).count() <= exif.BROADCAST)
     w, h = F.col("width"), F.col("height")
     work_w, work_h, scale = G.work_size(w, h)
     return image.select(
         F.xxhash64("origin").alias("doc_id"), F.lit(0).alias("page_no"), w.alias("full_w"), h.alias("full_h"), work_w.alias("work_w"), work_h.alias("work_h"),
         scale.alias("scale_to_full"), F.regexp_extract("origin", "([^/]*)\\z", 1).alias("source_name"), mime_of(F.col("origin")).alias("source_type"),
-        F.col("nChannels").alias("channels"), F.col("data").alias("pixels_bgr"),
+        "channels", F.col("data").alias("pixels_bgr"),
     )
