@@ -10,13 +10,14 @@ bounded sample of windows and only set how even the groups are: equal texts are
 group, whatever the bounds.  All is text, the words joined by a space; nothing here rests on a
 fingerprint.
 
-A group's suffixes stream by in order, one anchor's subtree at a time.  A window that begins o
-words before its anchor is a node of that subtree at depth width - o whose leaves also agree on
-the o words before it.  Such an internal node with leaves in two documents is a repeat, and its
-smallest document keeps it; neighbouring repeats of a document make the maximal ones.  An anchor
-whose subtree passes ``HELD`` bytes is not held: its windows go on one by one, sorted by text and
-document, and stream by with only the last leaf in memory.  So a passage that a third of all
-documents hold is never a group in memory; sorting spills to disk.
+A group's suffixes stream by in order of their anchors, one anchor's subtree at a time.  Its
+leaves are the suffixes that begin at windows, sorted; what neighbours have in common gives its
+inner nodes, from a stack.  A node of ``width`` words or more under one of less is where all
+leaves below begin with one window; with leaves in two documents it is a repeat, and its
+smallest document keeps it.  Neighbouring repeats of a document make the maximal ones.  An anchor
+whose subtree passes ``HELD`` bytes is not held: its windows go on one by one, their smallest
+documents are found by aggregation, and they meet these in a join that Spark can split.  So a
+passage that a third of all documents hold is never a group in memory.
 
 A chunk sends each different neighbourhood of an anchor once, with the smallest document that
 has it.
@@ -30,7 +31,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import staged
@@ -40,7 +40,7 @@ from .suffixes import anchored
 #: Chunks that are sampled, about, and windows of each, to choose the groups' bounds.
 SAMPLED, EACH = 24, 400
 #: Leaves whose answers are packed together, and bytes of one anchor's subtree in memory.
-PACK, HELD = 1 << 18, 16 << 20
+PACK, HELD = 1 << 18, 4 << 20
 
 _SENT = pa.schema([("part", pa.int32()), ("anchor", pa.binary()), ("before", pa.int32()), ("text", pa.binary()), ("doc", pa.int64()), ("chunk", pa.int64()), ("at", pa.int32())])
 _SENT_DDL = "part int, anchor binary, before int, text binary, doc long, chunk long, at int"
@@ -143,21 +143,49 @@ class Neighbourhoods:
         return np.repeat(row, n)[keep], (np.repeat(start, n) + step)[keep]
 
 
+def nodes(common: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(depth, first leaf, last leaf, depth of the node above) of the inner nodes of a suffix tree.
+
+    The leaves are suffixes in order; common[i] is what leaves i and i + 1 have in common.  A
+    node opens where leaves begin to agree on more and closes where they agree on less.
+    """
+    stack = [(0, 0)]
+    for leaf, shared in enumerate([*common, 0]):
+        first = leaf
+        while stack[-1][0] > shared:
+            depth, first = stack.pop()
+            yield depth, first, leaf, max(shared, stack[-1][0])
+        if stack[-1][0] < shared:
+            stack.append((shared, first))
+
+
+def words_in_common(a: bytes, b: bytes) -> int:
+    """Of two suffixes, each word of which ends with a space."""
+    n = min(len(a), len(b))
+    apart = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return a.count(b" ", 0, n - (apart.bit_length() + 7) // 8)
+
+
 def subtree(rows: list[tuple], width: int) -> Iterator[tuple[int, int]]:
-    """(chunk, place) of each window of an anchor's neighbourhoods (text, doc, chunk, at) that one of a smaller document has."""
-    least: dict[bytes, int] = {}
-    own = []
+    """(chunk, place) of each window of an anchor's neighbourhoods (text, doc, chunk, at) that one of a smaller document has.
+
+    Builds the tree of the suffixes that begin at the windows.  A node of ``width`` words or more
+    under one of less is the first at which all leaves share a window.
+    """
+    leaves = []
     for text, doc, chunk, at in rows:
-        place = [0, *accumulate([len(w) + 1 for w in text.split(b" ")])]
-        windows = [text[a : b - 1] for a, b in zip(place, place[width:])]
-        own.append((windows, doc, chunk, at))
-        for w in windows:
-            if doc < least.get(w, NO_ID):
-                least[w] = doc
-    for windows, doc, chunk, at in own:
-        for i, w in enumerate(windows):
-            if least.get(w, NO_ID) < doc:
-                yield chunk, at + i
+        text += b" "
+        place = [0, *accumulate([len(w) + 1 for w in text[:-1].split(b" ")])]
+        leaves += [(text[p:], doc, chunk, at + i) for i, p in enumerate(place[: len(place) - width])]
+    leaves.sort()
+    common = [words_in_common(x[0], y[0]) for x, y in zip(leaves, leaves[1:])]
+    for depth, first, last, above in nodes(common):
+        if depth >= width > above:
+            own = leaves[first : last + 1]
+            least = min(x[1] for x in own)
+            for _, doc, chunk, at in own:
+                if doc > least:
+                    yield chunk, at
 
 
 def _packed(chunk: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
@@ -215,39 +243,24 @@ def grown(sent: DataFrame, width: int) -> DataFrame:
     left = judged.where("suffix is not null")
     if not left.limit(1).count():
         return found
-    return found.unionByName(streamed(left.select("suffix", "doc", "chunk", "at")))
+    return found.unionByName(counted(left.select("suffix", "doc", "chunk", "at")))
 
 
-def streamed(leaves: DataFrame) -> DataFrame:
-    """chunk, found: of windows one by one (suffix, doc, chunk, at) the places of those whose text has a leaf of a smaller document."""
+def counted(leaves: DataFrame) -> DataFrame:
+    """chunk, found: of windows one by one (suffix, doc, chunk, at) the places of those whose text a smaller document has.
+
+    A text's smallest document is found before anything is shuffled, once in each task; where a
+    text is that of very many windows, Spark splits it in the join.
+    """
+    least = leaves.groupBy("suffix").agg(F.min("doc").alias("least"))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        last, first, chunks, places, held = None, 0, [], [], 0
         for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            text, doc = b.column("suffix"), b.column("doc").to_numpy()
-            new = np.ones(n, bool)
-            new[0] = text[0].as_py() != last
-            if n > 1:
-                new[1:] = pc.not_equal(text.slice(1), text.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            # The document of each leaf's node: that of its first leaf.
-            begin = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            node = np.where(begin < 0, first, doc[begin])
-            hit = np.flatnonzero(doc > node)
-            if len(hit):
-                chunks.append(b.column("chunk").to_numpy()[hit])
-                places.append(b.column("at").to_numpy()[hit])
-                held += len(hit)
-            last, first = text[n - 1].as_py(), int(node[-1])
-            if held >= PACK:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(_packed(np.concatenate(chunks), np.concatenate(places)), _FOUND)], schema=_FOUND)
-                chunks, places, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(_packed(np.concatenate(chunks), np.concatenate(places)), _FOUND)], schema=_FOUND)
-
-    return leaves.repartition("suffix").sortWithinPartitions("suffix", "doc").mapInArrow(run, "chunk long, found binary")
+            if b.num_rows:
+                found = _packed(b.column("chunk").to_numpy(), b.column("at").to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, _FOUND)], schema=_FOUND)
+
+    return leaves.join(least, "suffix").where("doc > least").select("chunk", "at").mapInArrow(run, "chunk long, found binary")
 
 
 def repeats(docs: DataFrame, unit: Unit, finish: Callable, schema: str, chunk: int = CHUNK) -> DataFrame:
