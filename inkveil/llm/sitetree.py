@@ -19,11 +19,12 @@ Nodes of low importance are removed from every page of the host.
 
 The tree judges where style is silent.  Tags and roles that name what is no part of an
 article (navigation, forms, scripts, ...) go on any page, and so do branches with such a
-class or id, unless the page's only article is in them.  Where a page marks its article
+class or id, unless the page's only article is in them, or names that merely hold such a word
+(notice-board) would leave nothing of the page.  Where a page marks its article
 (article, main or role=main) only that part is taken.  Inside it what has no style of its own
 stays however often it is repeated, as articles may quote the same lines; a name removes only
-what holds blocks, not a paragraph or list item, and only if it is made of such words alone;
-anything else is the tree's to judge.
+what holds blocks, not a paragraph or list item (but for names of comments and adverts), and
+only if it is made of such words alone; anything else is the tree's to judge.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by a line feed in page order.  Null html counts as empty; null urls are
@@ -87,10 +88,15 @@ _ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s
 AROUND = frozenset("no non not has have with without wrap wrapper wrapping container layout".split())
 # Words that go with such a name without making it another.
 PARTS = frozenset("list area box block section slot unit link links button buttons bar post posts icon icons thread item items panel".split())
-NONE, ARTICLE, OUT, NAMED, HEADING, WHOLE = 0, 1, 2, 3, 4, 5
-# Elements that hold a piece of text, which no name removes from an article.
+NONE, ARTICLE, OUT, NAMED, HEADING, WHOLE, OTHERS = 0, 1, 2, 3, 4, 5, 6
+# Of these, those that name what readers or advertisers wrote, which is no part of an article as a paragraph or list item either.
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising sponsored promo promoted comment comments disqus respond reply replies".split())
+# Elements that hold a piece of text, which no other name removes from an article.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre caption figcaption center".split())
 
+# Of these, those that a comment or an advert may be by itself; a quotation of one is the article's.
+LINES = frozenset("p li dd dt td".split())
+
 
 def _style(tag: str, attributes: str) -> tuple[str, int]:
     """The node's name in the style tree, and whether the style itself decides."""
@@ -114,8 +120,8 @@ def _style(tag: str, attributes: str) -> tuple[str, int]:
                 parts = {p.lower() for p in _WORD.findall(word)}
                 listed = STYLES & parts
                 if listed and not AROUND & parts:
-                    own = HEADING if listed == {"header"} else WHOLE if parts <= STYLES | PARTS else NAMED
-                    kind = max(kind, own, key=(NONE, HEADING, NAMED, WHOLE).index)
+                    own = HEADING if listed == {"header"} else NAMED if not parts <= STYLES | PARTS else OTHERS if parts <= FOREIGN | PARTS else WHOLE
+                    kind = max(kind, own, key=(NONE, HEADING, NAMED, WHOLE, OTHERS).index)
     return name, kind
 
 
@@ -186,10 +192,12 @@ class Scanner:
 class _Open:
     # hard: removed by its tag or role; named: by a word of its class or id; nested: an article in something named;
     # node: the style node of the nearest block around; owner: the nearest element that ends a run of text.
-    __slots__ = ("tag", "node", "owner", "article", "hard", "named", "nested", "out")
+    # doubtful: named only by a word among others.
+    __slots__ = ("tag", "node", "owner", "article", "hard", "named", "nested", "out", "doubtful")
 
-    def __init__(self, tag, node, article, hard, named, nested):
+    def __init__(self, tag, node, article, hard, named, nested, doubtful=False):
         self.tag, self.node, self.article, self.hard, self.named, self.nested = tag, node, article, hard, named, nested
+        self.doubtful = doubtful
         self.out = hard or named or nested
         self.owner = self
 
@@ -221,6 +229,7 @@ def read(page: str) -> tuple[list[tuple[int, bool, bool, str]], list[Node]]:
     """
     out: list[tuple[int, bool, bool, str]] = []
     nested: list[int] = []
+    doubtful_: list[int] = []
     nodes, places = [Node(_hash(""), -1, 0, True)], {}
     stack = [_Open("", 0, False, False, False, False)]
     owner, run, styles, opened = stack[0], [], {}, Counter()
@@ -232,6 +241,8 @@ def read(page: str) -> tuple[list[tuple[int, bool, bool, str]], list[Node]]:
             if text:
                 if owner.nested and not owner.hard and not owner.named:
                     nested.append(len(out))
+                if owner.named and owner.doubtful and not owner.hard:
+                    doubtful_.append(len(out))
                 out.append((owner.node, owner.article, owner.out, text))
 
     def pop_to(n: int) -> None:
@@ -279,9 +290,10 @@ def read(page: str) -> tuple[list[tuple[int, bool, bool, str]], list[Node]]:
             # A header inside an article may hold its headline.
             hard = parent.hard or kind == OUT or (tag == "header" and not parent.article)
             if parent.article:
-                named = parent.named or (kind == WHOLE and tag in BLOCK and tag not in PROSE)
+                named = parent.named or (kind == OTHERS and tag in LINES) or (kind in (WHOLE, OTHERS) and tag in BLOCK and tag not in PROSE)
             else:
-                named = parent.named or kind in (NAMED, HEADING, WHOLE)
+                named = parent.named or kind in (NAMED, HEADING, WHOLE, OTHERS)
+            doubtful = parent.doubtful if parent.named else kind in (NAMED, HEADING)
             below = parent.nested or (kind == ARTICLE and parent.named and not parent.article)
             if below and not parent.nested:
                 named = False
@@ -297,7 +309,7 @@ def read(page: str) -> tuple[list[tuple[int, bool, bool, str]], list[Node]]:
             if block:
                 plain = parent.article and name == tag
                 node = _deeper(nodes, places, node, name, nodes[node].loose if plain else not (inside and kind == ARTICLE))
-            own = _Open(tag, node, inside, hard, named, below)
+            own = _Open(tag, node, inside, hard, named, below, doubtful)
             if block or own.out != parent.out:
                 if own.out != parent.out:
                     flush()
@@ -325,6 +337,9 @@ def read(page: str) -> tuple[list[tuple[int, bool, bool, str]], list[Node]]:
     if nested and not any(article and not gone for _, article, gone, _ in out):
         for i in nested:
             out[i] = (out[i][0], True, False, out[i][3])
+    if all(gone for _, _, gone, _ in out):  # a name that only holds such a word does not empty a page
+        for i in doubtful_:
+            out[i] = (out[i][0], out[i][1], False, out[i][3])
     return out, nodes
 
 
