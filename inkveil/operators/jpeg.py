@@ -10,6 +10,9 @@ import heapq
 import struct
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 QUALITY = 0.92
 # Quantisation of brightness and of colour at quality 0.5, row by row.
@@ -341,3 +344,25 @@ def _scan(bits: _Bits, units: range, plan, coefs, wide: int) -> None:
                 table = rest
     for p, c in enumerate(coefs):
         c[rows[p], cols[p]] = values[p]
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """files with width, height, pixels (RGB or grey) of the JPEG in ``content``, or a reason why it can't be read."""
+    kept = files.drop("content")
+    schema = kept.withColumns({"width": F.lit(0), "height": F.lit(0), "pixels": F.lit(b""), "reason": F.lit("")}).schema
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):  # a row at a time: rasters are large
+                one, reason = b.slice(i, 1), None
+                try:
+                    x = decode(one.column("content")[0].as_py() or b"")
+                except Unreadable as e:
+                    x, reason = None, str(e)
+                out = one.select([c for c in one.schema.names if c != "content"])
+                got = (x.shape[1], x.shape[0], x.tobytes()) if x is not None else (None, None, None)
+                for name, value, kind in zip(("width", "height", "pixels", "reason"), (*got, reason), (pa.int32(), pa.int32(), pa.binary(), pa.string())):
+                    out = out.append_column(name, pa.array([value], kind))
+                yield out
+
+    return files.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in schema]))

@@ -155,6 +155,23 @@ def apply_edits(boxes: DataFrame, edits: DataFrame, pages: DataFrame) -> DataFra
     return joined.select(*keys, folded.alias("s")).where(~F.col("s.gone")).select(*keys, *[F.col(f"s.{c}").alias(c) for c in ("x", "y", "w", "h", "label", "source", "style", "enabled")])
 
 
+def sticky(pages: DataFrame, choices: DataFrame) -> DataFrame:
+    """pages with opened_with, the last preset chosen in their session up to them, and shows, the last one of all.
+
+    pages: session, at (when they were opened, anything that has an order) and others; choices:
+    session, at, preset.  A choice holds for all pages of its session, and for those opened
+    later; without one both are null.  A null session is one.  Choice and page of one time: the choice was first.
+    One pass over a session in order: as the rows before a page stream by, only the last choice is kept.
+    """
+    own = F.struct(*pages.columns)
+    both = pages.select("session", "at", F.lit(1).alias("kind"), own.alias("page"), F.lit(None).cast(choices.schema["preset"].dataType).alias("preset"))
+    both = both.unionByName(choices.select("session", "at", F.lit(0).alias("kind"), F.lit(None).cast(both.schema["page"].dataType).alias("page"), "preset"))
+    upto = Window.partitionBy("session").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = both.withColumn("opened_with", F.last("preset", ignorenulls=True).over(upto)).where("kind = 1").select("page.*", "opened_with")
+    last = choices.groupBy(F.col("session").alias("of_session")).agg(F.max_by("preset", "at").alias("shows"))
+    return opened.join(last, F.col("session").eqNullSafe(F.col("of_session")), "left").drop("of_session")
+
+
 def keep_new(boxes: DataFrame, order: list[str], share: float = 0.4) -> DataFrame:
     """Drops a rectangle that lies on one kept before it: common area over ``share`` of the smaller."""
     own = F.struct(*order, "x", "y", "w", "h")

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from .functions import text as T
 from . import schema
 from .functions import geometry as G
-from .operators import codes as CO, detect as D, faces as FA, histogram as H, layout as L, policy as P, raster as RA
-from .plans import cards as C, sql as S
+from .operators import codes as CO, detect as D, faces as FA, histogram as H, jpeg as J, layout as L, policy as P, raster as RA
+from .plans import cards as C, redact as RE, sql as S
+from .shared import shared_dir
 from .sinks import export as EX
-from .sources import files as FI, sites as SI
+from .sources import exif, files as FI, pdf, sites as SI
 from .streaming import monitor as MO
 
 QUERIES: dict[str, Callable] = {}
@@ -664,6 +665,85 @@ def pdf_files(spark, sf_dir):
     return EX.pdfs(pages).select("doc_id", F.length("pdf").alias("n_bytes"), F.sha2("pdf", 256).alias("pdf_sha256"))
 
 
+def _plain_page(level, width, height):
+    """RGB pixels of one grey level, as a column."""
+    return F.unhex(F.repeat(F.lpad(F.hex(level), 2, "0"), width * height * 3))
+
+
+def _level(pixels, at):
+    return F.conv(F.hex(F.substring(pixels, at + 1, 1)), 16, 10).cast("long")
+
+
+def _supplier_pages(spark, sf_dir):
+    """One to three grey pages for each supplier."""
+    k = F.col("s_suppkey")
+    each = table(spark, sf_dir, "supplier").select(k.cast("long").alias("doc_id"), F.explode(F.sequence(F.lit(0), (k % 3).cast("int"))).alias("page_no"))
+    sized = each.withColumn("width", F.lit(48)).withColumn("height", F.lit(24) + F.col("page_no") * 8)
+    return sized.withColumn("pixels", _plain_page(F.lit(30) + (F.col("doc_id") * 7 + F.col("page_no") * 40) % 200, 48, F.col("height")))
+
+
+@query(
+    "WITH p AS (SELECT CAST(s_suppkey AS BIGINT) AS doc_id, unnest(range(1 + s_suppkey % 3)) AS page_no FROM supplier) "
+    "SELECT doc_id, CAST(page_no AS BIGINT) AS page_no, CAST(1 + doc_id % 3 AS BIGINT) AS page_count, CAST(96 AS BIGINT) AS width, CAST(48 + 16 * page_no AS BIGINT) AS height, "
+    "CAST(30 + (doc_id * 7 + page_no * 40) % 200 AS BIGINT) AS level, CAST(NULL AS VARCHAR) AS reason FROM p WHERE doc_id % 10 <> 9 "
+    f"UNION ALL SELECT CAST(s_suppkey AS BIGINT), NULL, NULL, NULL, NULL, NULL, '{pdf.DAMAGED}' FROM supplier WHERE s_suppkey % 10 = 9"
+)
+def pdf_pages(spark, sf_dir):
+    """PDF files of JPEG pages written, some of them torn, read and drawn again."""
+    files = EX.pdfs(EX.jpegs(_supplier_pages(spark, sf_dir)))
+    torn = F.when(F.col("doc_id") % 10 == 9, F.substring("pdf", 1, 60)).otherwise(F.col("pdf"))
+    drawn = pdf.pages(files.select("doc_id", torn.alias("content")), 96)
+    middle = (F.floor(F.col("height") / 2) * F.col("width") + F.floor(F.col("width") / 2)) * 3
+    numbers = [F.col(c).cast("long").alias(c) for c in ("page_no", "page_count", "width", "height")]
+    return drawn.select("doc_id", *numbers, _level(F.col("pixels"), middle.cast("int")).alias("level"), "reason")
+
+
+@query(
+    "WITH p AS (SELECT s_suppkey AS k, unnest(range(1 + s_suppkey % 3)) AS page_no FROM supplier) "
+    "SELECT 'supplier-' || lpad(k::VARCHAR, 9, '0') || '-redacted' || CASE WHEN k % 3 > 0 THEN '-' || k::VARCHAR || '-' || page_no::VARCHAR ELSE '' END || '.jpg' AS name, "
+    "CAST(48 AS BIGINT) AS width, CAST(24 + 8 * page_no AS BIGINT) AS height, k % 2 = 0 AS hidden, CAST(30 + (k * 7 + page_no * 40) % 200 AS BIGINT) AS level FROM p"
+)
+def redacted_files(spark, sf_dir):
+    """From pages and boxes to JPEG files with names of their own, in one plan, decoded again."""
+    k = F.col("doc_id")
+    name = F.concat(F.lit("Supplier#"), F.lpad(k.cast("string"), 9, "0"), F.lit(".webp"))
+    pages = _supplier_pages(spark, sf_dir).select("*", F.lit(1.0).alias("scale_to_full"), name.alias("source_name"), F.lit("image/webp").alias("source_type"))
+    boxes = pages.select("doc_id", "page_no", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(16.0).alias("w"), F.lit(16.0).alias("h"), F.lit("block").alias("style"), (k % 2 == 0).alias("enabled"), F.lit(1).alias("priority"), F.lit(0).cast("long").alias("seq"))
+    files = J.decoded(RE.image_files(pages, boxes))
+    return files.select("name", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), (_level(F.col("pixels"), F.lit(0)) < 24).alias("hidden"), _level(F.col("pixels"), F.lit(40 * 3)).alias("level"))
+
+
+@query(
+    "WITH p AS (SELECT c_custkey AS k, CAST(c_custkey % 8 AS INTEGER) + 1 AS turn FROM customer) "
+    "SELECT CAST(k AS BIGINT) AS doc_id, CAST(CASE WHEN turn > 4 THEN 2 ELSE 4 END AS BIGINT) AS width, CAST(CASE WHEN turn > 4 THEN 4 ELSE 2 END AS BIGINT) AS height, "
+    "CAST(k % 200 + ([0, 3, 7, 4, 0, 4, 7, 3])[turn] AS BIGINT) AS first, CAST(k % 200 + ([1, 2, 6, 5, 4, 0, 3, 7])[turn] AS BIGINT) AS second FROM p"
+)
+def upright_photos(spark, sf_dir):
+    """Photographs of four by two pixels, turned as their files note."""
+    k = F.col("c_custkey")
+    pixels = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lpad(F.hex(k % 200 + i), 2, "0")), ""))
+    photos = table(spark, sf_dir, "customer").select(k.cast("string").alias("origin"), F.lit(4).alias("width"), F.lit(2).alias("height"), F.lit(1).alias("channels"), pixels.alias("data"), (k % 8 + 1).cast("int").alias("turn"))
+    turns = photos.where("turn > 1").select("origin", "turn")
+    up = exif.set_upright(photos.drop("turn"), turns, turns.limit(exif.BROADCAST + 1).count() <= exif.BROADCAST)
+    return up.select(F.col("origin").cast("long").alias("doc_id"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), _level(F.col("data"), F.lit(0)).alias("first"), _level(F.col("data"), F.lit(1)).alias("second"))
+
+
+_CHOSEN = "(['Bank KYC','Rental agreement','College admission','SIM verification','Hotel check-in'])[CAST(event_id % 5 AS INTEGER) + 1]"
+
+
+@query(
+    f"WITH c AS (SELECT user_id, ts, event_id, {_CHOSEN} AS preset FROM events WHERE event_type = 'click'), p AS (SELECT user_id, ts, event_id FROM events WHERE event_type <> 'click'), "
+    "l AS (SELECT user_id, arg_max(preset, (ts, event_id)) AS preset FROM c GROUP BY user_id) "
+    "SELECT p.event_id, (SELECT arg_max(c.preset, (c.ts, c.event_id)) FROM c WHERE c.user_id = p.user_id AND (c.ts, c.event_id) <= (p.ts, p.event_id)) AS opened_with, l.preset AS shows FROM p LEFT JOIN l ON l.user_id = p.user_id"
+)
+def sticky_presets(spark, sf_dir):
+    """The preset that each page of a session opens with and the one that it shows in the end."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("at"), "event_id", "event_type")
+    names = F.array(*(F.lit(n) for n, _ in schema.PRESETS))
+    choices = e.where("event_type = 'click'").select("session", "at", F.get(names, (F.col("event_id") % 5).cast("int")).alias("preset"))
+    return P.sticky(e.where("event_type <> 'click'").select("session", "at", "event_id"), choices).select("event_id", "opened_with", "shows")
+
+
 # --- monitoring -------------------------------------------------------------------------
 
 OWN = "https://www.example.com"
@@ -690,10 +770,9 @@ def offdevice_hosts(spark, sf_dir):
 @query(f"{_OFF} SELECT count(*) AS off_device, array_to_string(list_sort(list_distinct(list(host))), ',') AS hosts FROM f")
 def offdevice_stream(spark, sf_dir):
     """The same as a running total over a stream of the requests (V1)."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="inkveil-stream-")
+    base = shared_dir(spark)
     schema_ = table(spark, sf_dir, "pages").schema
     stream = spark.readStream.schema(schema_).parquet(f"{sf_dir}/pages.parquet*")
     live = stream.select(F.timestamp_seconds(F.col("page_id") * 60).alias("ts"), "url", (F.col("page_id") % 4 * 1000).alias("transfer_size"))

@@ -253,3 +253,14 @@ def test_sites(spark, tmp_path):
     sites.assert_clean(done)
     with pytest.raises(ValueError):
         sites.assert_clean(done.withColumn("left", F.array(F.lit("https://unpkg.com"))))
+
+
+def test_sticky_presets(spark):
+    pages = spark.createDataFrame([("a", 1, 10), ("a", 5, 11), ("a", 9, 12), ("b", 1, 13), (None, 2, 14), ("c", 4, 15)], "session string, at int, page_no int")
+    choices = spark.createDataFrame([("a", 3, "Bank KYC"), ("a", 5, "Hotel check-in"), ("a", 20, "SIM verification"), (None, 1, "Bank KYC"), ("c", 9, "Bank KYC")], "session string, at int, preset string")
+    got = {r["page_no"]: (r["opened_with"], r["shows"]) for r in P.sticky(pages, choices).collect()}
+    assert got == {
+        10: (None, "SIM verification"), 11: ("Hotel check-in", "SIM verification"), 12: ("Hotel check-in", "SIM verification"),
+        13: (None, None), 14: ("Bank KYC", "Bank KYC"), 15: (None, "Bank KYC"),
+    }
+    assert P.sticky(pages.limit(0), choices).count() == 0 and P.sticky(pages, choices.limit(0)).where("shows is not null").count() == 0
