@@ -172,20 +172,29 @@ def subtree(rows: list[tuple], width: int) -> Iterator[tuple[int, int]]:
     Builds the tree of the suffixes that begin at the windows.  A node of ``width`` words or more
     under one of less is the first at which all leaves share a window.
     """
-    leaves = []
-    for text, doc, chunk, at in rows:
+    rows_of: dict[bytes, list[tuple]] = {}  # copies of a text are one: its suffixes are in the tree once
+    for text, *row in rows:
+        rows_of.setdefault(text, []).append(row)
+    leaves, lowest = [], []
+    for own, (text, copies) in enumerate(rows_of.items()):
+        least = min(doc for doc, _, _ in copies)
         text += b" "
-        place = [0, *accumulate([len(w) + 1 for w in text[:-1].split(b" ")])]
-        leaves += [(text[p:], doc, chunk, at + i) for i, p in enumerate(place[: len(place) - width])]
-    leaves.sort()
-    common = [words_in_common(x[0], y[0]) for x, y in zip(leaves, leaves[1:])]
-    for depth, first, last, above in nodes(common):
-        if depth >= width > above:
-            own = leaves[first : last + 1]
-            least = min(x[1] for x in own)
-            for _, doc, chunk, at in own:
-                if doc > least:
-                    yield chunk, at
+        place = [0, *accumulate([len(w) + 1 for w in text[:-1].split(b" ")])][: -width]
+        leaves += [(text[p:], least, own, i) for i, p in enumerate(place)]
+        lowest.append([least] * len(place))
+    if len(rows_of) > 1:
+        leaves.sort()
+        common = [words_in_common(x[0], y[0]) for x, y in zip(leaves, leaves[1:])]
+        for depth, first, last, above in nodes(common):
+            if depth >= width > above:
+                below = leaves[first : last + 1]
+                least = min(x[1] for x in below)
+                for _, _, own, i in below:
+                    lowest[own][i] = least
+    for copies, least in zip(rows_of.values(), lowest):
+        for doc, chunk, at in copies:
+            if doc > min(least):
+                yield from ((chunk, at + i) for i, x in enumerate(least) if doc > x)
 
 
 def _packed(chunk: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
