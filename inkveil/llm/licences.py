@@ -24,7 +24,9 @@ table gives an empty result; further columns are not read.  Equal texts get equa
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -50,7 +52,11 @@ FAMILIES = {
             'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
         ),
     ),
-    "Artistic": (("Artistic License", "Artistic License 2.0", "Perl Artistic License"), ("Artistic-2.0", "Artistic-1.0"), ()),
+    "Artistic": (
+        ("Artistic License", "Artistic License 2.0", "Perl Artistic License"),
+        ("Artistic-2.0", "Artistic-1.0"),
+        ("This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.",),
+    ),
     "BSD": (
         ("BSD License", "BSD-style license", "3-Clause BSD License", "2-Clause BSD License", "New BSD License", "Simplified BSD License"),
         ("BSD-3-Clause", "BSD-2-Clause", "BSD-4-Clause", "0BSD"),
@@ -58,10 +64,18 @@ FAMILIES = {
             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
             "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
             "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
             'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
         ),
     ),
-    "Boost": (("Boost Software License", "Boost Software License, Version 1.0"), ("BSL-1.0",), ()),
+    "Boost": (
+        ("Boost Software License", "Boost Software License, Version 1.0"),
+        ("BSL-1.0",),
+        (
+            'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+            "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software.",
+        ),
+    ),
     "CC-BY": (
         ("Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 4.0", "CC BY 3.0", "CC BY"),
         ("CC-BY-4.0", "CC-BY-3.0"),
@@ -77,12 +91,23 @@ FAMILIES = {
         ("CC-BY-SA-4.0", "CC-BY-SA-3.0"),
         (),
     ),
-    "EPL": (("Eclipse Public License", "Eclipse Public License, version 2.0", "Eclipse Public License - v 1.0"), ("EPL-2.0", "EPL-1.0"), ()),
-    "EUPL": (("European Union Public Licence", "European Union Public Licence, version 1.2", "EUPL"), ("EUPL-1.2", "EUPL-1.1"), ()),
+    "EPL": (
+        ("Eclipse Public License", "Eclipse Public License, version 2.0", "Eclipse Public License - v 1.0"),
+        ("EPL-2.0", "EPL-1.0"),
+        ('THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT").',),
+    ),
+    "EUPL": (
+        ("European Union Public Licence", "European Union Public Licence, version 1.2", "EUPL"),
+        ("EUPL-1.2", "EUPL-1.1"),
+        ('This European Union Public Licence (the "EUPL") applies to the Work (as defined below) which is provided under the terms of this Licence.',),
+    ),
     "GPL": (
         ("GNU General Public License", "GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL", "GPLv3", "GPLv2"),
         ("GPL-3.0-or-later", "GPL-3.0-only", "GPL-2.0-or-later", "GPL-2.0-only", "GPL-3.0"),
-        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",),
+        (
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        ),
     ),
     "ISC": (
         ("ISC License", "ISC licence"),
@@ -109,18 +134,21 @@ FAMILIES = {
     "MPL": (
         ("Mozilla Public License", "Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0"),
         ("MPL-2.0", "MPL-1.1"),
-        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ),
     "Unlicense": (
         ("Unlicense", "CC0 1.0 Universal", "Creative Commons Zero license"),
         ("Unlicense", "CC0-1.0"),
-        ("This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0 Universal."),
+        ("This is free and unencumbered software released into the public domain.", "Dedicated to the public domain under CC0 1.0 Universal.",
+         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ),
-    "WTFPL": (("WTFPL",), ("WTFPL",), ()),
+    "WTFPL": (("WTFPL", "Do What The Fuck You Want To Public License"), ("WTFPL",), ("You just DO WHAT THE FUCK YOU WANT TO.",)),
     "Zlib": (
         ("zlib License", "zlib/libpng License"),
         ("Zlib",),
-        ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",),
+        ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+         "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+         "The origin of this software must not be misrepresented; you must not claim that you wrote the original software."),
     ),
 }
 NAMED = (
@@ -143,6 +171,15 @@ INVENTED = (
     "All use is subject to the {} end user licence agreement.",
     "This project is licensed under the terms of the {} {} License.",
 )
+# Like families, but none of them: works that must not be changed.
+NEAR = tuple(
+    t.format(n)
+    for n in (
+        "Creative Commons Attribution-NoDerivatives 4.0 International License", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License",
+        "CC BY-ND 4.0", "CC BY-NC-ND 4.0", "CC BY-ND", "CC BY-NC-ND", "CC-BY-ND-4.0", "CC-BY-NC-ND-4.0",
+    )
+    for t in ("Licensed under {}.", "This work is licensed under the {}.")
+)
 ORDINARY = (
     "The {} of the {} was {} to be read by any person in the {}.",
     "She renewed her driving license at the {} office on {}.",
@@ -160,6 +197,10 @@ ORDINARY = (
     "A solar eclipse over the {} drew the public to the {}, a creative {} in general.",
     "The european union of {} granted the {} a public {}.",
     "The artistic {} of the {} was distributed to all {} and released in {}.",
+    "The license plate of the {} was found near the MIT campus by the {}.",
+    "Her licence plate and the {} license number were public at the {} university.",
+    "The mozilla {} and the {} foundation met near the MIT library for a general {}.",
+    "Without a license from the {} no person may drive or fish on the {} campus.",
 )
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = (NONE, UNKNOWN, *sorted(FAMILIES))
@@ -193,7 +234,7 @@ def notices(family: str) -> tuple[str, ...]:
 
 def patterns(family: str) -> list[str]:
     names, ids, sentences = FAMILIES[family]
-    return [*(t.format(n) for n in names for t in NAMED), *(t.format(i) for i in ids for t in IDENTIFIED if t != "{}" or len(words(i)) > 1), *sentences * 6]
+    return [*(t.format(n) for n in names for t in NAMED), *(t.format(i) for i in ids for t in IDENTIFIED if t != "{}" or len(words(i)) > 1), *sentences * 9]
 
 
 def _sentences(rng: np.random.Generator, each: int, named: tuple[str, ...] = ()) -> tuple[list[list[str]], np.ndarray]:
@@ -203,7 +244,7 @@ def _sentences(rng: np.random.Generator, each: int, named: tuple[str, ...] = ())
     for n in FAMILIES:
         for w in {w for x in notices(n) for w in words(x) if telling(w)}:
             holders.setdefault(w, set()).add(n)
-    common, licensed = sorted(PLAIN), sorted({w for w, own in holders.items() if len(own) > 1} | {w for t in INVENTED for w in words(t) if telling(w)})
+    common, licensed = sorted(PLAIN), sorted({w for w, own in holders.items() if len(own) > 1} | {w for t in (*INVENTED, *NEAR) for w in words(t) if telling(w)})
 
     def filler(n: int) -> list[str]:
         return [str(w) for w in rng.choice(invent if rng.random() < 0.5 else common, n)]
@@ -220,7 +261,7 @@ def _sentences(rng: np.random.Generator, each: int, named: tuple[str, ...] = ())
 
     rows, labels = [], []
     for label, name in enumerate(CLASSES):
-        own = ORDINARY if name == NONE else INVENTED if name == UNKNOWN else patterns(name)
+        own = ORDINARY if name == NONE else INVENTED * 3 + NEAR if name == UNKNOWN else patterns(name)
         if named and name in FAMILIES:
             own = [t.format(n) for n in (*FAMILIES[name][0], *FAMILIES[name][1]) for t in named]
         for k in range(each * (10 if name == NONE else 4 if name == UNKNOWN else 1)):
@@ -262,9 +303,9 @@ class Model:
 
 
 @lru_cache(maxsize=1)
-def trained(seed: int = 11, each: int = 150, penalty: float = 1e-4, rounds: int = 200) -> Model:
+def trained(seed: int = 11, each: int = 220, penalty: float = 1e-4, rounds: int = 200) -> Model:
     rows, y = _sentences(np.random.default_rng(seed), each)
-    texts = [t for name in FAMILIES for t in patterns(name)] + [part for t in (*INVENTED, *ORDINARY) for part in t.split("{}")]
+    texts = [t for name in FAMILIES for t in patterns(name)] + [part for t in (*INVENTED, *NEAR, *ORDINARY) for part in t.split("{}")]
     vocabulary = {g for t in texts for g in grams(words(t)) if telling(g)}
     seen = Counter(g for r in rows for g in set(grams(r)) & vocabulary)
     vocabulary = sorted(g for g, n in seen.items() if n >= 4)
@@ -354,17 +395,39 @@ def _grams(found: Column) -> Column:
     return F.concat(found, two, three)
 
 
+def constant(value, kind: str) -> Column:
+    """A nested list as one literal, which Spark folds: thousands of single ones take seconds to plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+#: Places that features are dealt to by hash; a place holds few.
+PLACES = 4093
+
+
+def _hash(text: str) -> int:
+    """Spark's own checksum of a string: the same number in training and in columns."""
+    return zlib.crc32(text.encode()) % PLACES
+
+
 def classify(paragraph: Column, model: Model) -> Column:
     """struct(family, probability, similarity, confirmed) of a paragraph."""
     names = F.array(*map(F.lit, CLASSES))
-    known = F.array(*map(F.lit, model.features))
-    weights = F.map_from_arrays(known, F.array(*[F.array(*map(F.lit, map(float, row))) for row in model.weights]))
+    dealt: list[list[dict]] = [[] for _ in range(PLACES)]
+    for i, f in enumerate(model.features):
+        dealt[_hash(f)].append({"f": f, "i": i})
+    places = constant(dealt, "array<array<struct<f:string,i:int>>>")
+    weights = constant([list(map(float, row)) for row in model.weights], "array<array<double>>")
     bias = F.array(*map(F.lit, map(float, model.bias)))
     found = F.regexp_extract_all(F.lower(paragraph), F.lit(f"({WORD})"), F.lit(1))
 
+    def place(x: Column) -> Column:
+        """Where the weights of an n-gram are, or null."""
+        near = F.get(places, (F.crc32(x.cast("binary")) % PLACES).cast("int"))
+        return F.get(F.filter(near, lambda s: s["f"] == x), F.lit(0))["i"]
+
     def scores(g: Column) -> Column:
-        used = F.array_intersect(g, known)  # also without repeats
-        z = F.aggregate(used, bias, lambda acc, x: F.zip_with(acc, F.element_at(weights, x), lambda a, b: a + b))
+        used = F.filter(F.transform(F.array_distinct(g), place), lambda i: i.isNotNull())
+        z = F.aggregate(used, bias, lambda acc, i: F.zip_with(acc, F.get(weights, i), lambda a, b: a + b))
         e = let(z, lambda z: F.transform(z, lambda v: F.exp((v - F.array_max(z)) / F.lit(model.temperature))))
         return let(e, lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
 
@@ -429,13 +492,14 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def licence_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_licences, n_confirmed, families (sorted, by comma), first_paragraph, probability (the largest)."""
+    """doc_id, n_licences, n_confirmed, families and those of them that a notice confirms (sorted, by comma), first_paragraph, probability (the largest)."""
     found = scan(docs)
     return found.select(
         "doc_id",
         F.size("found").cast("long").alias("n_licences"),
         F.size(F.filter("found", lambda c: c["confirmed"])).cast("long").alias("n_confirmed"),
         F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("found", lambda c: c["family"])))).alias("families"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(F.filter("found", lambda c: c["confirmed"]), lambda c: c["family"])))).alias("confirmed_families"),
         F.coalesce(F.array_min(F.transform("found", lambda c: c["paragraph"])), F.lit(-1)).cast("long").alias("first_paragraph"),
         F.coalesce(F.array_max(F.transform("found", lambda c: c["probability"])), F.lit(0.0)).alias("probability"),
     )
