@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import threading
+import multiprocessing
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,28 +12,48 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import raster
 
 DEADLINE = 60.0
+_fork = multiprocessing.get_context("fork")
 READY, UNAVAILABLE = "ready", "unavailable"
 _WORD = "struct<text:string,confidence:double,x:double,y:double,w:double,h:double>"
 
 
 def with_deadline(work: Callable, seconds: float):
-    """work()'s result; TimeoutError if it takes longer.  Its own errors pass through."""
-    box: dict = {}
+    """work()'s result; TimeoutError if it takes longer.  Its own errors pass through.
+
+    The work runs in a child process, which has what this one has loaded and is ended when it is
+    overdue, so a page that hangs holds neither a processor nor memory.
+    """
+    mine, theirs = _fork.Pipe(duplex=False)
 
     def run() -> None:
         try:
-            box["result"] = work()
+            answer = (True, work())
         except BaseException as e:  # handed to the caller below
-            box["error"] = e
+            answer = (False, e)
+        try:
+            theirs.send(answer)
+        except Exception as e:  # what can't be sent
+            theirs.send((False, RuntimeError(f"{type(e).__name__}: {e}")))
 
-    thread = threading.Thread(target=run, daemon=True)
-    thread.start()
-    thread.join(seconds)
-    if thread.is_alive():
-        raise TimeoutError(f"no answer within {seconds} s")
-    if "error" in box:
-        raise box["error"]
-    return box["result"]
+    child = _fork.Process(target=run, daemon=True)
+    child.start()
+    theirs.close()
+    try:
+        if not mine.poll(seconds):
+            raise TimeoutError(f"no answer within {seconds} s")
+        good, value = mine.recv()
+    except EOFError:
+        raise RuntimeError("the recogniser died") from None
+    finally:
+        mine.close()
+        if child.is_alive():
+            child.join(0.2)
+        if child.is_alive():
+            child.kill()
+        child.join()
+    if not good:
+        raise value
+    return value
 
 
 def recognise(pages: DataFrame, load: Callable[[], Callable], deadline: float = DEADLINE) -> tuple[DataFrame, DataFrame]:

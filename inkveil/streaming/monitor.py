@@ -41,16 +41,39 @@ def off_device(requests: DataFrame, own: str) -> DataFrame:
     return _report(per_host(requests, own))
 
 
+def host_totals(spark: SparkSession, path: str) -> DataFrame:
+    """host, requests, bytes of all that ``watch`` has seen so far: the highest, thus the last counts of each host.  A row a host."""
+    return spark.read.schema(_COUNTS).parquet(path).groupBy("host").agg(F.max("requests").alias("requests"), F.max("bytes").alias("bytes"))
+
+
 def totals(spark: SparkSession, path: str) -> DataFrame:
-    """What off_device gives, of all that ``watch`` has seen so far: the highest, thus the last count of each host."""
-    return _report(spark.read.schema(_COUNTS).parquet(path).groupBy("host").agg(F.max("requests").alias("requests")))
+    """What off_device gives, of all that ``watch`` has seen so far; the list of hosts is for reports, ``host_totals`` for many hosts."""
+    return _report(host_totals(spark, path))
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def compact(spark: SparkSession, path: str, batch: int, every: int) -> None:
+    """Puts the counts of the last ``every`` batches and the table so far into one folder, a row a host.
+
+    Counts only grow and the highest one holds, so rows that stand twice do no harm: the new
+    folder is whole before the old ones go, and whatever a failure leaves is put together next time.
+    """
+    host_totals(spark, path).write.mode("overwrite").parquet(f"{path}/batch=all-{batch}")
+    for n in range(batch - every + 1, batch + 1):
+        _drop(spark, f"{path}/batch={n}")
+    _drop(spark, f"{path}/batch=all-{batch - every}")
 
 
-def watch(requests: DataFrame, own: str, path: str, checkpoint: str, per: str | None = None):
+def watch(requests: DataFrame, own: str, path: str, checkpoint: str, per: str | None = None, every: int = 32):
     """Starts the running count over all there is, then stops.  Buffered requests count as live ones do.
 
     The state is a count by host; each batch adds the hosts whose counts it changed to the
-    Parquet table at ``path``, in a folder of its own that a retry overwrites.
+    Parquet table at ``path``, in a folder of its own that a retry overwrites; every so many
+    batches these folders become one, so the table holds a row or so for each host.
     per: instead counts in windows of that length, with as long a watermark, are appended there.
     """
     if per is None:
@@ -58,6 +81,8 @@ def watch(requests: DataFrame, own: str, path: str, checkpoint: str, per: str |
 
         def add(changed: DataFrame, batch: int) -> None:
             changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+            if batch % every == every - 1:
+                compact(changed.sparkSession, path, batch, every)
 
         writer = per_host(requests, own).writeStream.outputMode("update").foreachBatch(add)
     else:

@@ -264,3 +264,20 @@ def test_sticky_presets(spark):
         13: (None, None), 14: ("Bank KYC", "Bank KYC"), 15: (None, "Bank KYC"),
     }
     assert P.sticky(pages.limit(0), choices).count() == 0 and P.sticky(pages, choices.limit(0)).where("shows is not null").count() == 0
+
+
+def test_off_device_table_stays_small(spark, tmp_path):
+    source, seen = str(tmp_path / "in"), str(tmp_path / "out")
+    want = {}
+    for i in range(11):
+        rows = [(None, f"https://h{(i * k) % 5}.example/x", 10) for k in range(1, 4)]
+        for _, url, size in rows:
+            host = url.split("/")[2]
+            n, b = want.get(host, (0, 0))
+            want[host] = (n + 1, b + size)
+        df = spark.createDataFrame(rows, "ts timestamp, url string, transfer_size long").coalesce(1)
+        df.write.mode("append").parquet(source)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    monitor.watch(stream, "https://own.example", seen, str(tmp_path / "c"), every=4).awaitTermination()
+    assert {r["host"]: (r["requests"], r["bytes"]) for r in monitor.host_totals(spark, seen).collect()} == want
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["batch=-1", "batch=10", "batch=8", "batch=9", "batch=all-7"]

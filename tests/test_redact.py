@@ -1,3 +1,4 @@
+import os
 import time
 
 import numpy as np
@@ -29,6 +30,22 @@ def test_deadline():
         recognise.with_deadline(lambda: time.sleep(2), 0.05)
     with pytest.raises(ZeroDivisionError):
         recognise.with_deadline(lambda: 1 / 0, 1)
+    assert recognise.with_deadline(lambda: [("ü", 1.0)] * 100_000, 5)[-1] == ("ü", 1.0)
+    with pytest.raises(RuntimeError):
+        recognise.with_deadline(lambda: os._exit(3), 5)
+    with pytest.raises(RuntimeError):
+        recognise.with_deadline(lambda: (x for x in "no pickle"), 5)
+
+
+def test_overdue_work_is_ended(tmp_path):
+    def late():
+        time.sleep(0.6)
+        (tmp_path / "done").touch()
+
+    with pytest.raises(TimeoutError):
+        recognise.with_deadline(late, 0.1)
+    time.sleep(1)
+    assert not (tmp_path / "done").exists()
 
 
 def pages(spark, n=3):
