@@ -728,6 +728,69 @@ def upright_photos(spark, sf_dir):
     return up.select(F.col("origin").cast("long").alias("doc_id"), F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), _level(F.col("data"), F.lit(0)).alias("first"), _level(F.col("data"), F.lit(1)).alias("second"))
 
 
+@query(
+    "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'Date of birth' AS label, CAST(1 AS BIGINT) AS n FROM customer WHERE c_custkey % 4 < 2 "
+    "UNION ALL SELECT CAST(c_custkey AS BIGINT), 'Date of birth', CAST(2 AS BIGINT) FROM customer WHERE c_custkey % 4 = 3"
+)
+def birth_years(spark, sf_dir):
+    """Bare years that count only behind a date label within three words."""
+    k = F.col("c_custkey")
+    year = (F.lit(1930) + k % 90).cast("string")
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit("Year of Birth: "), year))
+        .when(k % 4 == 1, F.concat(F.lit("Enrolled in "), year, F.lit(" at school\nDOB "), year))
+        .when(k % 4 == 2, F.concat(F.lit("Since "), year, F.lit(" Year\nbirth in the summer of "), year))
+        .otherwise(F.concat(F.lit("birth "), year, F.lit(" 01/02/"), year))
+    )
+    texts = table(spark, sf_dir, "customer").select(k.cast("long").alias("doc_id"), F.lit(0).alias("page_no"), text.alias("text"), F.lit(2000.0).alias("width"), F.lit(1200.0).alias("height"))
+    return D.dates(D.on_texts(texts)).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (CAST(l_orderkey % 256 AS BIGINT) * 77 + CAST(l_partkey % 256 AS BIGINT) * 150 + CAST(l_suppkey % 256 AS BIGINT) * 29) >> 8 AS luma FROM lineitem")
+def luma_levels(spark, sf_dir):
+    """Colours as levels of grey."""
+    r, g, b = (F.col(c) % 256 for c in ("l_orderkey", "l_partkey", "l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", G.luma(r, g, b).cast("long").alias("luma"))
+
+
+_DRAWN = "SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(o_orderkey % 300 AS DOUBLE) AS x, CAST(o_custkey % 200 AS DOUBLE) AS y, CAST(o_orderkey % 41 - 20 AS DOUBLE) AS w, CAST(o_custkey % 53 - 26 AS DOUBLE) AS h FROM orders"
+
+
+@query(f"WITH d AS ({_DRAWN}) SELECT doc_id, least(x, x + w) AS x, least(y, y + h) AS y, abs(w) AS w, abs(h) AS h FROM d WHERE abs(w) >= 8 AND abs(h) >= 8")
+def drawn_boxes(spark, sf_dir):
+    """Rectangles drawn in any direction; those of under eight pixels are slips."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    sides = {"x": o % 300, "y": c % 200, "w": o % 41 - 20, "h": c % 53 - 26}
+    drawn = table(spark, sf_dir, "orders").select(o.cast("long").alias("doc_id"), *(v.cast("double").alias(n) for n, v in sides.items()))
+    return P.drawable(drawn).select("doc_id", *"xywh")
+
+
+@query(
+    "SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(o_orderkey AS BIGINT) AS box, 'kept' AS origin FROM orders WHERE o_orderkey % 7 = 0 UNION ALL "
+    "SELECT CAST(c_custkey AS BIGINT), CAST(-1 - c_custkey AS BIGINT), 'found' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)"
+)
+def seeded_pages(spark, sf_dir):
+    """Boxes that detection finds go only to pages that have none."""
+    kept = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").cast("long").alias("doc_id"), F.lit(0).alias("page_no"), F.col("o_orderkey").cast("long").alias("box"), F.lit("kept").alias("origin"))
+    found = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit(0).alias("page_no"), (-1 - F.col("c_custkey")).cast("long").alias("box"), F.lit("found").alias("origin"))
+    return P.seed(kept, found).select("doc_id", "box", "origin")
+
+
+@query(
+    "WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]')) AS word, generate_subscripts(regexp_split_to_array(text, '[ \n]'), 1) - 1 AS i FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) "
+    f"SELECT doc_id, i AS word_idx, md5(word) AS word_md5, i * 10 / 2.0::DOUBLE AS x, 5.0::DOUBLE AS w FROM w WHERE regexp_matches(word, '[^{S._SPACE}]')"
+)
+def ocr_words(spark, sf_dir):
+    """An OCR result's blocks, paragraphs and lines flattened to words in the page's own coordinates."""
+    each = F.split(F.coalesce(F.col("text"), F.lit("")), "[ \n]", -1)
+    place = lambda i: (F.lit(10.0) * i, F.lit(10.0) * i + 10)
+    word = lambda t, i: F.struct(t.alias("text"), F.lit(90.0).alias("confidence"), place(i)[0].alias("x0"), F.lit(0.0).alias("y0"), place(i)[1].alias("x1"), F.lit(8.0).alias("y1"))
+    lines = F.transform(F.transform(each, word), lambda w: F.struct(F.array(w).alias("words")))  # a line a word, a paragraph a line
+    blocks = F.transform(lines, lambda n: F.struct(F.array(F.struct(F.array(n).alias("lines"))).alias("paragraphs")))
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_no"), F.lit(2.0).alias("scale"), blocks.alias("blocks"))
+    return L.read_words(pages).select("doc_id", "word_idx", F.md5("text").alias("word_md5"), "x", "w")
+
+
 _CHOSEN = "(['Bank KYC','Rental agreement','College admission','SIM verification','Hotel check-in'])[CAST(event_id % 5 AS INTEGER) + 1]"
 
 
