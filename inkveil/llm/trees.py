@@ -31,6 +31,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import staged
@@ -205,6 +206,16 @@ def _packed(chunk: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]
     return chunk[cut], [at[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)])]
 
 
+def met(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Of sorted neighbourhoods those whose anchor a neighbour has too, and the first and the last."""
+    n = b.num_rows
+    if n < 3:
+        return b
+    anchor = b.column("anchor")
+    same = pc.equal(anchor.slice(1), anchor.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return b.filter(pa.array(np.r_[True, same] | np.r_[same, True]))
+
+
 def grown(sent: DataFrame, width: int) -> DataFrame:
     """chunk, found: the places of windows that a smaller document has."""
     held = HELD
@@ -225,6 +236,7 @@ def grown(sent: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         now, size, crowded, last, hits = [], 0, False, None, []
         for b in batches:
+            b = met(b)
             for anchor, *row in zip(*(b.column(c).to_pylist() for c in ("anchor", "text", "doc", "chunk", "at"))):
                 if anchor != last:
                     if len(now) > 1:

@@ -76,3 +76,11 @@ def test_counted(spark):
             want.setdefault(chunk, []).append(at)
     assert {c: sorted(p) for c, p in got.items()} == {c: sorted(p) for c, p in want.items()}
     assert trees.counted(leaves.where(F.lit(False))).count() == 0
+
+
+def test_neighbourhoods_that_meet_none_are_passed_over():
+    import pyarrow as pa
+
+    for anchors, want in (("", ""), ("a", "a"), ("ab", "ab"), ("abc", "ac"), ("aabc", "aac"), ("abbc", "abbc"), ("abcdde", "adde"), ("aaaa", "aaaa")):
+        b = pa.RecordBatch.from_pydict({"anchor": [x.encode() for x in anchors]}, schema=pa.schema([("anchor", pa.binary())]))
+        assert b"".join(trees.met(b).column("anchor").to_pylist()).decode() == want
