@@ -412,6 +412,7 @@ def _hash(text: str) -> int:
 def classify(paragraph: Column, model: Model) -> Column:
     """struct(family, probability, similarity, confirmed) of a paragraph."""
     names = F.array(*map(F.lit, CLASSES))
+    known = constant(list(model.features), "array<string>")
     dealt: list[list[dict]] = [[] for _ in range(PLACES)]
     for i, f in enumerate(model.features):
         dealt[_hash(f)].append({"f": f, "i": i})
@@ -421,12 +422,12 @@ def classify(paragraph: Column, model: Model) -> Column:
     found = F.regexp_extract_all(F.lower(paragraph), F.lit(f"({WORD})"), F.lit(1))
 
     def place(x: Column) -> Column:
-        """Where the weights of an n-gram are, or null."""
+        """Where the weights of a feature are."""
         near = F.get(places, (F.crc32(x.cast("binary")) % PLACES).cast("int"))
         return F.get(F.filter(near, lambda s: s["f"] == x), F.lit(0))["i"]
 
     def scores(g: Column) -> Column:
-        used = F.filter(F.transform(F.array_distinct(g), place), lambda i: i.isNotNull())
+        used = F.transform(F.array_intersect(g, known), place)  # without repeats; few n-grams are features
         z = F.aggregate(used, bias, lambda acc, i: F.zip_with(acc, F.get(weights, i), lambda a, b: a + b))
         e = let(z, lambda z: F.transform(z, lambda v: F.exp((v - F.array_max(z)) / F.lit(model.temperature))))
         return let(e, lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)))
