@@ -685,8 +685,8 @@ def _supplier_pages(spark, sf_dir):
 @query(
     "WITH p AS (SELECT CAST(s_suppkey AS BIGINT) AS doc_id, unnest(range(1 + s_suppkey % 3)) AS page_no FROM supplier) "
     "SELECT doc_id, CAST(page_no AS BIGINT) AS page_no, CAST(1 + doc_id % 3 AS BIGINT) AS page_count, CAST(96 AS BIGINT) AS width, CAST(48 + 16 * page_no AS BIGINT) AS height, "
-    "CAST(30 + (doc_id * 7 + page_no * 40) % 200 AS BIGINT) AS level, CAST(NULL AS VARCHAR) AS reason FROM p WHERE doc_id % 10 <> 9 "
-    f"UNION ALL SELECT CAST(s_suppkey AS BIGINT), NULL, NULL, NULL, NULL, NULL, '{pdf.DAMAGED}' FROM supplier WHERE s_suppkey % 10 = 9"
+    "CAST(30 + (doc_id * 7 + page_no * 40) % 200 AS BIGINT) AS level, '' AS reason FROM p WHERE doc_id % 10 <> 9 "
+    f"UNION ALL SELECT CAST(s_suppkey AS BIGINT), -1, -1, -1, -1, -1, '{pdf.DAMAGED}' FROM supplier WHERE s_suppkey % 10 = 9"
 )
 def pdf_pages(spark, sf_dir):
     """PDF files of JPEG pages written, some of them torn, read and drawn again."""
@@ -694,8 +694,9 @@ def pdf_pages(spark, sf_dir):
     torn = F.when(F.col("doc_id") % 10 == 9, F.substring("pdf", 1, 60)).otherwise(F.col("pdf"))
     drawn = pdf.pages(files.select("doc_id", torn.alias("content")), 96)
     middle = (F.floor(F.col("height") / 2) * F.col("width") + F.floor(F.col("width") / 2)) * 3
-    numbers = [F.col(c).cast("long").alias(c) for c in ("page_no", "page_count", "width", "height")]
-    return drawn.select("doc_id", *numbers, _level(F.col("pixels"), middle.cast("int")).alias("level"), "reason")
+    level = _level(F.col("pixels"), middle.cast("int"))
+    numbers = [F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("page_no", "page_count", "width", "height")]
+    return drawn.select("doc_id", *numbers, F.coalesce(level, F.lit(-1)).alias("level"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
 @query(
@@ -797,14 +798,14 @@ _CHOSEN = "(['Bank KYC','Rental agreement','College admission','SIM verification
 @query(
     f"WITH c AS (SELECT user_id, ts, event_id, {_CHOSEN} AS preset FROM events WHERE event_type = 'click'), p AS (SELECT user_id, ts, event_id FROM events WHERE event_type <> 'click'), "
     "l AS (SELECT user_id, arg_max(preset, (ts, event_id)) AS preset FROM c GROUP BY user_id) "
-    "SELECT p.event_id, (SELECT arg_max(c.preset, (c.ts, c.event_id)) FROM c WHERE c.user_id = p.user_id AND (c.ts, c.event_id) <= (p.ts, p.event_id)) AS opened_with, l.preset AS shows FROM p LEFT JOIN l ON l.user_id = p.user_id"
+    "SELECT p.event_id, coalesce((SELECT arg_max(c.preset, (c.ts, c.event_id)) FROM c WHERE c.user_id = p.user_id AND (c.ts, c.event_id) <= (p.ts, p.event_id)), 'none') AS opened_with, coalesce(l.preset, 'none') AS shows FROM p LEFT JOIN l ON l.user_id = p.user_id"
 )
 def sticky_presets(spark, sf_dir):
     """The preset that each page of a session opens with and the one that it shows in the end."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("at"), "event_id", "event_type")
     names = F.array(*(F.lit(n) for n, _ in schema.PRESETS))
     choices = e.where("event_type = 'click'").select("session", "at", F.get(names, (F.col("event_id") % 5).cast("int")).alias("preset"))
-    return P.sticky(e.where("event_type <> 'click'").select("session", "at", "event_id"), choices).select("event_id", "opened_with", "shows")
+    return P.sticky(e.where("event_type <> 'click'").select("session", "at", "event_id"), choices).select("event_id", *(F.coalesce(c, F.lit("none")).alias(c) for c in ("opened_with", "shows")))
 
 
 # --- monitoring -------------------------------------------------------------------------
