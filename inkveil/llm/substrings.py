@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
 from . import suffixes, trees
 from .common import batch, keyed_texts
@@ -119,15 +120,16 @@ def dedup_words(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
 def keep_first_passages(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """docs with the words of later passages removed from text, the kept ones joined by a space,
-    and n_chars (if there) counted anew.  Untouched rows stay as they are; rows of which
-    nothing is left go."""
+    and n_chars (if there, as a whole number) counted anew.  Untouched rows stay as they are; rows
+    of which nothing is left go."""
     names = docs.columns
+    counted = "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, IntegralType)
     # Plain names for what only passes through: Python stages take no names with dots.
     shaped = docs.withColumn("doc_id", F.col("doc_id").cast("long")).toDF(*[c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(names)])
 
     def finish(rows, texts, marks):
         new, stay = rows.column("text").to_pylist(), np.ones(len(texts), bool)
-        sizes = rows.column("n_chars").to_pylist() if "n_chars" in names else None
+        sizes = rows.column("n_chars").to_pylist() if counted else None
         for i, (text, at) in enumerate(zip(texts, marks)):
             if len(at):
                 words = text.split()

@@ -176,3 +176,14 @@ def test_bytes_with_crowded_anchors(make, texts, monkeypatch):
     monkeypatch.setattr(suffixes, "HELD", 1)
     rows = substrings.dedup_bytes(make(texts), 25).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in rows] == brute_bytes(texts, 25)
+
+
+def test_sizes_of_another_type_pass_through(spark):
+    from inkveil.llm import substrings
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(1, passage + " one", "many", 1.5), (2, "two " + passage, None, 2.5), (3, passage, "x", 3.5)]
+    for kind in ("string", "double"):
+        table = spark.createDataFrame([(i, t, n if kind == "string" else d) for i, t, n, d in rows], f"doc_id long, text string, n_chars {kind}")
+        got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in substrings.keep_first_passages(table).collect()}
+        assert got == {1: (passage + " one", rows[0][2] if kind == "string" else 1.5), 2: ("two", None if kind == "string" else 2.5)}
