@@ -79,4 +79,4 @@ def test_scratch_leaves_only_what_lasts(spark, tmp_path, monkeypatch):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
