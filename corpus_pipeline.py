@@ -26,6 +26,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more.
 
+    SimHash fingerprints, and minimum hashes for what is too far apart for these, give the pairs to verify.
+
     The one with the smallest doc_id stays, of repeated rows one.  Null texts, empty ones and
     those of white space alone are equal.  Rows without a doc_id go if a row with one is alike.
     """

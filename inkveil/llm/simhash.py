@@ -36,6 +36,14 @@ BLOCKS = (13, 13, 13, 13, 12)
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
+def majority(hashes, n: int) -> int:
+    """The bits that over half of n hashes have, which come in arrays."""
+    ones = np.zeros(64, np.int64)
+    for h in hashes:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     found = text.lower().split()  # bytes: ASCII letters and white space only
     if not found:
@@ -45,11 +53,8 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     n = max(1, len(ends) - words + 1)
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[-n:].tolist()
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 14):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + (1 << 14)], stops[at : at + (1 << 14)])], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    parts = (zip(starts[at : at + (1 << 14)], stops[at : at + (1 << 14)]) for at in range(0, n, 1 << 14))
+    return majority((np.array([digest(joined[a:b], seed) for a, b in part], "<u8") for part in parts), n)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:

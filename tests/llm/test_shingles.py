@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline as C
-from inkveil.llm import shingles
+from pyspark.sql import functions as F
+
+from inkveil.llm import common, shingles, simhash
 
 
 def brute_set(text):
@@ -77,3 +79,24 @@ def test_ids_that_repeat_or_lack(make):
     docs = make(["one more text", "one more text", "other", None, ""], [900, 900, None, 4, 3])
     assert sorted(((r["doc_id"], r["text"]) for r in shingles.keep_first(docs).collect()), key=repr) == [(3, ""), (900, "one more text"), (None, "other")]
     assert shingles.keep_first(docs.where("false")).count() == 0
+
+
+def test_fingerprints_alone_find_near_pairs(spark, make, texts):
+    """Without minimum hashes, all similar pairs of fingerprints at most three bits apart are still linked."""
+    own = [*texts, *near_copies()]
+    docs = make(own)
+    rows = [r for r in shingles.sketches(docs).collect() if r["n"] > 0]
+    for light in (64, 4):
+        alone = shingles.sketches(docs).groupBy("key").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "bands")))
+        lone = F.transform(F.sequence(F.lit(0), F.lit(shingles.BANDS - 1)), lambda i: F.xxhash64("key", i))
+        alone = alone.withColumn("bands", F.when(F.size("bands") > 0, F.concat(lone, F.slice("bands", shingles.BANDS + 1, 99))).otherwise(F.col("bands")))
+        root = {r["node"]: r["root"] for r in simhash.components(shingles.links(docs, common.staged(alone, "alone"), light)).collect()}
+        near = 0
+        for i, a in enumerate(rows):
+            for b in rows[:i]:
+                if a["key"] != b["key"] and ((a["fp"] ^ b["fp"]) % (1 << 64)).bit_count() <= shingles.NEAR:
+                    x, y = brute_set(own[a["doc_id"]]), brute_set(own[b["doc_id"]])
+                    if 5 * len(x & y) >= 4 * len(x | y):
+                        near += 1
+                        assert root.get(a["key"], a["key"]) == root.get(b["key"], b["key"])
+        assert near > 20
