@@ -53,14 +53,23 @@ def digits_of(c: Column) -> Column:
     return F.when(c.rlike("[0-9]") & mapped.rlike("^[0-9]+\\z"), mapped)
 
 
-def verhoeff(c: Column) -> Column:
-    """Does the string of digits end in a valid check digit?"""
+def _checksum(c: Column, behind: int = 0) -> Column:
+    """Verhoeff's product of a string of digits with so many digits still to follow; null for other strings."""
     d, p = F.array(*map(F.lit, DIHEDRAL)), F.array(*map(F.lit, PERMUTED))
     safe = F.when(c.rlike("^[0-9]+\\z"), c)
     backwards = F.split(F.reverse(safe), "(?!^)(?!\\z)")
-    terms = F.transform(backwards, lambda x, i: F.get(p, (i % 8) * 10 + x.try_cast("int")))
-    check = F.aggregate(terms, F.lit(0), lambda acc, x: F.get(d, acc * 10 + x))
-    return F.coalesce(check == 0, F.lit(False))
+    terms = F.transform(backwards, lambda x, i: F.get(p, ((i + behind) % 8) * 10 + x.try_cast("int")))
+    return F.aggregate(terms, F.lit(0), lambda acc, x: F.get(d, acc * 10 + x))
+
+
+def verhoeff(c: Column) -> Column:
+    """Does the string of digits end in a valid check digit?"""
+    return F.coalesce(_checksum(c) == 0, F.lit(False))
+
+
+def check_digit(c: Column) -> Column:
+    """The digit that makes the string of digits valid when it is put behind: the inverse of their product."""
+    return F.get(F.array(*map(F.lit, (0, 4, 3, 2, 1, 5, 6, 7, 8, 9))), _checksum(c, 1))
 
 
 def looks_like_aadhaar(c: Column) -> Column:

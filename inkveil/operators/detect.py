@@ -219,17 +219,15 @@ def addresses(lined_rows: DataFrame, most: int = 6) -> DataFrame:
     marked = marked.withColumn("below", below).where(F.col("start") > 0)
     stop = F.coalesce(F.array_min(F.transform(F.filter("below", lambda r: r["pin"]), lambda r: r["line_no"])), F.array_max(F.transform("below", lambda r: r["line_no"])), F.col("line_no"))
     marked = marked.withColumn("stop", stop)
-    own = F.struct("line_no", "stop")
+    # The few lines with a label bring all that their box needs, so no page is put together a second time.
+    own = F.struct("line_no", "stop", "width", "height", "ws", "start", "below")
     page = marked.groupBy(*PAGE).agg(F.array_sort(F.collect_list(own)).alias("all"))
     kept = F.aggregate(
         "all",
-        F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("kept")),
-        lambda acc, r: F.when(
-            r["line_no"] > acc["last"], F.struct(r["stop"].alias("last"), F.concat(acc["kept"], F.array(r["line_no"])).alias("kept"))
-        ).otherwise(acc),
+        F.struct(F.lit(-1).alias("last"), F.slice("all", 1, 0).alias("kept")),
+        lambda acc, r: F.when(r["line_no"] > acc["last"], F.struct(r["stop"].alias("last"), F.concat(acc["kept"], F.array(r)).alias("kept"))).otherwise(acc),
     )["kept"]
-    page = page.select(*PAGE, F.explode(kept).alias("line_no"))
-    found = marked.join(page, [*PAGE, "line_no"], "left_semi")
+    found = page.select(*PAGE, F.inline(kept))
     head = F.transform(F.slice("ws", F.col("start"), F.size("ws")), lambda w: F.struct(w["x"].alias("x"), w["y"].alias("y"), w["w"].alias("w"), w["h"].alias("h")))
     rest = F.transform(F.filter("below", lambda r: r["line_no"] <= F.col("stop")), lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), r["w"].alias("w"), r["h"].alias("h")))
     found = found.withColumn("members", F.concat(head, rest))

@@ -13,6 +13,12 @@ from ..functions import geometry as G, text as T
 PAGE = ("doc_id", "page_no")
 
 
+def _tasks(texts: DataFrame, pages: int = 40_000) -> int:
+    """Into how many parts pages are dealt: as lines are small for the memory that their words take, sizes would give too few."""
+    few = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    return few if texts.isStreaming else max(few, texts.count() // pages)
+
+
 def lines_from_text(texts: DataFrame, keep=None, unit: int = 18, gap: int = 15, left: int = 50, top: int = 40, pitch: int = 60, height: int = 40) -> DataFrame:
     """lines(words) of pages set from plain text, whose rows are their lines: no window over the page's words.
 
@@ -27,9 +33,13 @@ def lines_from_text(texts: DataFrame, keep=None, unit: int = 18, gap: int = 15,
     split = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("row"), line.alias("line")))
     held = F.filter(split, lambda s: s["line"].rlike("[^ ]"))
     numbered = F.transform(held, lambda s, i: F.struct(s["row"].alias("row"), i.alias("line_no"), s["line"].alias("line")))
-    each = texts.select(*PAGE, *more, F.inline(numbered if keep is None else keep(numbered))).repartition(*PAGE)
+    # page_no goes through the generator: a constant one would be folded out of later keys but not of
+    # this exchange, which would then serve none of them, and every step would shuffle the words anew.
+    told = F.transform(numbered if keep is None else keep(numbered), lambda s: F.struct(F.col("page_no").alias("page_no"), s["row"].alias("row"), s["line_no"].alias("line_no"), s["line"].alias("line")))
+    each = texts.select("doc_id", *more, F.inline(told)).repartition(_tasks(texts), *PAGE)
     rows = each.select(*PAGE, *more, "row", "line_no", F.posexplode(F.filter(F.split("line", " ", -1), lambda w: w != "")).alias("pos", "text"))
-    before = Window.partitionBy(*PAGE, "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    # By line_no, as in the windows of detectors, which then find the words in order.
+    before = Window.partitionBy(*PAGE, "line_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     chars = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))
     return rows.select(
         *PAGE,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators.layout import words_from_text
+from ..shared import dealt
 
 WIDTH, HEIGHT = 1000, 600
 
@@ -16,12 +17,15 @@ def letters(k: Column, n: int) -> Column:
 
 
 def card_texts(spark: SparkSession, sf_dir: str, phone_base: int = 9_000_000_000) -> DataFrame:
-    """doc_id, page_no, text, width, height: one card a customer."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey")
+    """doc_id, page_no, text, width, height: one card a customer.
+
+    Customers are dealt to all tasks first, as their file is small for the work that a card is.
+    """
+    c = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey"), "c_custkey")
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     k = F.col("c_custkey").cast("long")
     stem = F.concat((k % 8 + 2).cast("string"), F.lpad((k * 7919 % 10_000_000_000).cast("string"), 10, "0"))
-    check = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: T.verhoeff(F.concat(stem, d.cast("string")))), 1)
+    check = T.check_digit(stem)
     number = F.col("number")
     two = lambda v: F.lpad(v.cast("string"), 2, "0")
     rows = [

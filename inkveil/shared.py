@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -21,3 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="inkveil-shared-")
         path = _own[app]
     return path.rstrip("/")
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows of a file that is small for the work that each row is, dealt to all cores by key."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores, *keys)

@@ -170,3 +170,27 @@ def test_suppression_in_heaps(spark):
         if not any(o > 0.6 for o in over):
             kept.append(r)
     assert got == {(r[2], r[3]) for r in kept}
+
+
+def test_pages_of_one_number_are_shuffled_once(spark, small):
+    """A constant page_no does not make detectors shuffle the words again, and they all share one exchange."""
+    import re
+
+    from inkveil.operators import detect
+    from inkveil.plans import cards
+
+    lined = detect.on_texts(cards.card_texts(spark, small))
+    rows = detect.rows(lined)
+    for found in (detect.id_numbers(lined), detect.pans(lined), detect.dates(lined), detect.names(rows), detect.addresses(rows)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"[ -]Exchange hashpartitioning\(doc_id", plan)) == 1 and "Join [doc_id" not in plan
+
+
+def test_check_digits(spark):
+    from pyspark.sql import functions as F
+
+    from inkveil.functions import text
+
+    d = spark.range(200).select((F.col("id") * 7919 + 20_000_000_000).cast("string").alias("n"))
+    got = d.select(text.verhoeff(F.concat("n", text.check_digit(F.col("n")).cast("string"))).alias("ok"))
+    assert got.where("ok").count() == 200
