@@ -47,17 +47,20 @@ def contrast_spread(hist: DataFrame, key: str, clip: float = CLIP) -> DataFrame:
     return low.withColumnRenamed("level", "low").join(high.withColumnRenamed("level", "high"), key).withColumn("spread", F.col("high") - F.col("low"))
 
 
-def dark_ratio(pixels: DataFrame, rects: DataFrame, key: str, salts: int = 16) -> DataFrame:
+def dark_ratio(pixels: DataFrame, rects: DataFrame, key: str, salts: int = 16, large: int = 1 << 20) -> DataFrame:
     """key, ratio: the share of dark pixels (key, px, py, dark) in a rectangle (key, x, y, w, h); 0 where it is empty.
 
-    A page's pixels are dealt to ``salts`` tasks, each with the page's rectangle, and counted
-    there before its counts meet.
+    The pixels of a page of more than ``large`` are dealt to ``salts`` tasks, each with the page's
+    rectangle, and counted there before its counts meet.  Pages so large are few for their pixels
+    and broadcast; all others keep one row for their rectangle.
     """
     left, top = F.greatest(F.lit(0), F.floor("x")), F.greatest(F.lit(0), F.floor("y"))
     r = rects.select(key, left.alias("l"), top.alias("t"), F.ceil(F.col("x") + F.col("w")).alias("r"), F.ceil(F.col("y") + F.col("h")).alias("b"))
     inside: Column = (F.col("px") >= F.col("l")) & (F.col("px") < F.col("r")) & (F.col("py") >= F.col("t")) & (F.col("py") < F.col("b"))
-    dealt = pixels.withColumn("_salt", F.pmod(F.hash("px", "py"), F.lit(salts)))
-    dark = dealt.join(r.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")), [key, "_salt"]).where(inside)
+    parts = F.broadcast(pixels.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > large).select(key, F.lit(salts).alias("_parts")))
+    dealt = pixels.join(parts, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.hash("px", "py"), F.col("_parts")), F.lit(0))).drop("_parts")
+    each = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    dark = dealt.join(r.join(parts, key, "left").select(*r.columns, F.explode(each).alias("_salt")), [key, "_salt"]).where(inside)
     empty = rects.select(key, F.lit(None).cast("double").alias("dark"))
     return dark.select(key, F.col("dark").cast("double").alias("dark")).unionByName(empty).groupBy(key).agg(F.coalesce(F.avg("dark"), F.lit(0.0)).alias("ratio"))
 

@@ -281,3 +281,12 @@ def test_off_device_table_stays_small(spark, tmp_path):
     monitor.watch(stream, "https://own.example", seen, str(tmp_path / "c"), every=4).awaitTermination()
     assert {r["host"]: (r["requests"], r["bytes"]) for r in monitor.host_totals(spark, seen).collect()} == want
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["batch=-1", "batch=10", "batch=8", "batch=9", "batch=all-7"]
+
+
+def test_dark_ratio_repeats_rectangles_only_of_large_pages(spark):
+    from inkveil.operators import histogram
+
+    pixels = spark.range(400).selectExpr("case when id < 300 then 1 else id end as page", "cast(id % 20 as int) as px", "cast(id % 7 as int) as py", "id % 2 as dark")
+    rects = pixels.select("page").distinct().selectExpr("page", "2.0 as x", "1.0 as y", "9.0 as w", "4.0 as h")
+    whole, parts = (sorted(map(tuple, histogram.dark_ratio(pixels, rects, "page", large=n).collect())) for n in (1 << 20, 100))
+    assert whole == parts and len(whole) == 101
