@@ -35,8 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import staged
-from .repeats import CHUNK, NO_ID, Chunk, Store, Unit, by_row, unpack_rows
-from .suffixes import anchored
+from .repeats import CHUNK, NO_ID, Chunk, Segment, Store, Sums, Unit, by_row, sliding_min, unpack_rows
 
 #: Chunks that are sampled, about, and windows of each, to choose the groups' bounds.
 SAMPLED, EACH = 24, 400
@@ -88,36 +87,47 @@ def bounds(store: Store, width: int) -> list[bytes]:
     return prefixes([bytes(r["prefix"]) for r in rows], store.parts)
 
 
+def anchored(seg: Segment, at: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
+    """(piece, first window, number of windows, distance to the anchor) of neighbouring passing windows with one anchor.
+
+    As ``suffixes.anchored``, for windows of few k-grams: all windows step to their leftmost smallest one together.
+    """
+    grams = Sums(seg.codes).of(unit.gram)
+    choices = unit.width - unit.gram + 1
+    least = sliding_min(grams, choices)[at]
+    anchor = at.copy()
+    for step in range(choices - 1, -1, -1):
+        here = grams[at + step] == least
+        anchor[here] = at[here] + step
+    piece = np.searchsorted(seg.start, at, side="right") - 1
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(anchor) != 0) | (np.diff(piece) != 0)]))
+    return piece[begin], at[begin], np.diff(begin, append=len(at)), (anchor - at)[begin]
+
+
 class Neighbourhoods:
     """The different texts around anchors of a chunk's windows that pass, their smallest
     documents, and where the chunk has them.  ``at`` is the place of a text's first window."""
 
     def __init__(self, chunk: Chunk, samples):
-        unit, ids, known = chunk.unit, chunk.ids.tolist(), {}
-        self.row, self.start, self.which, self.least, size, last_doc = [], [], [], [], [], -1
+        unit, known, which, runs = chunk.unit, {}, [], [[np.zeros(0, np.int64)] * 3]
         for seg, at in chunk.passing(samples):
-            begins, docs, shifts = seg.start.tolist(), seg.doc.tolist(), (seg.first - seg.start).tolist()
-            for first, last, q, _ in anchored(seg, at, unit):
-                piece = bisect_right(begins, first) - 1
-                doc, a = docs[piece], first + shifts[piece]
-                if doc != last_doc:
-                    words = chunk.texts[doc].split()
-                    whole, last_doc = b" ".join(words), doc
-                    place = [0, *accumulate([len(w) + 1 for w in words])]
-                n, b, own = last - first + 1, q - first, ids[doc]
-                key = (b, whole[place[a] : place[a + n - 1 + unit.width] - 1])
-                w = known.get(key)
-                if w is None:
-                    w = known[key] = len(known)
-                    size.append(n)
-                    self.least.append(own)
-                elif own < self.least[w]:
-                    self.least[w] = own
-                self.row.append(doc)
-                self.start.append(a)
-                self.which.append(w)
-        self.known, self.gram, self.own = list(known), unit.gram, chunk.ids
-        self.size = np.array(size, np.int64)
+            piece, first, n, before = anchored(seg, at, unit)
+            doc, start = seg.doc[piece], first - seg.start[piece] + seg.first[piece]
+            runs.append((doc, start, n))
+            # One document at a time; its words are joined by single spaces.
+            cut = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
+            for i, j in zip(cut.tolist(), cut[1:].tolist()):
+                whole = b" ".join(chunk.texts[doc[i]].split())
+                place = np.concatenate([[0], np.flatnonzero(np.frombuffer(whole, np.uint8) == 32) + 1, [len(whole) + 1]])
+                begin, end = place[start[i:j]], place[start[i:j] + n[i:j] - 1 + unit.width] - 1
+                for b, x, y in zip(before[i:j].tolist(), begin.tolist(), end.tolist()):
+                    which.append(known.setdefault((b, whole[x:y]), len(known)))
+        self.row, self.start, n = map(np.concatenate, zip(*runs))
+        self.known, self.gram, self.own, self.which = list(known), unit.gram, chunk.ids, np.array(which, np.int64)
+        self.least = np.full(len(known), NO_ID)
+        np.minimum.at(self.least, self.which, self.own[self.row])
+        self.size = np.zeros(len(known), np.int64)
+        self.size[self.which] = n
         self.at = np.cumsum(self.size) - self.size
 
     def send(self, number: int, first: list[bytes], rows: int = 5000) -> Iterator[pa.RecordBatch]:
@@ -136,10 +146,10 @@ class Neighbourhoods:
         hit = np.zeros(int(self.size.sum()), bool)
         for x in found or ():
             hit[np.frombuffer(x, np.int32)] = True
-        row, start, which = (np.array(x, np.int64) for x in (self.row, self.start, self.which))
+        row, start, which = self.row, self.start, self.which
         n = self.size[which]
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        later = np.repeat(self.own[row] > np.array(self.least, np.int64)[which], n)
+        later = np.repeat(self.own[row] > self.least[which], n)
         keep = later | hit[np.repeat(self.at[which], n) + step]
         return np.repeat(row, n)[keep], (np.repeat(start, n) + step)[keep]
 
@@ -180,9 +190,11 @@ def subtree(rows: list[tuple], width: int) -> Iterator[tuple[int, int]]:
     for own, (text, copies) in enumerate(rows_of.items()):
         least = min(doc for doc, _, _ in copies)
         text += b" "
-        place = [0, *accumulate([len(w) + 1 for w in text[:-1].split(b" ")])][: -width]
-        leaves += [(text[p:], least, own, i) for i, p in enumerate(place)]
-        lowest.append([least] * len(place))
+        n, place = text.count(b" ") - width + 1, 0
+        for i in range(n):
+            leaves.append((text[place:], least, own, i))
+            place = text.index(b" ", place) + 1
+        lowest.append([least] * n)
     if len(rows_of) > 1:
         leaves.sort()
         common = [words_in_common(x[0], y[0]) for x, y in zip(leaves, leaves[1:])]

@@ -84,3 +84,55 @@ def test_neighbourhoods_that_meet_none_are_passed_over():
     for anchors, want in (("", ""), ("a", "a"), ("ab", "ab"), ("abc", "ac"), ("aabc", "aac"), ("abbc", "abbc"), ("abcdde", "adde"), ("aaaa", "aaaa")):
         b = pa.RecordBatch.from_pydict({"anchor": [x.encode() for x in anchors]}, schema=pa.schema([("anchor", pa.binary())]))
         assert b"".join(trees.met(b).column("anchor").to_pylist()).decode() == want
+
+
+def test_words_are_coded_many_at_a_time():
+    import cProfile
+    import pstats
+
+    import pyarrow as pa
+
+    from inkveil.llm import repeats, substrings
+
+    docs = [" ".join(f"w{i}-{j}" for j in range(500)) for i in range(40)]
+    data = repeats.pack_rows(pa.table({"doc_id": pa.array(range(40), pa.int64()), "text": docs}))
+    profile = cProfile.Profile()
+    profile.enable()
+    repeats.Chunk(data, substrings.WORD_UNIT, True)
+    profile.disable()
+    assert pstats.Stats(profile).total_calls < 2000  # of 20,000 words
+
+
+def test_word_codes(monkeypatch):
+    from inkveil.llm import substrings
+
+    monkeypatch.setattr(substrings, "BLOCK", 50)
+    rng = random.Random(6)
+    long = ["q" * 51, "q" * 60, "q" * 101, "r" * 400, "é" * 49]
+    words = ["a", "aa", "b", "ab", "ba", "é", "東京", "x\x00", "\x1c", "\x85", "\xa0", *long]
+    texts = ["", " ", "\n\t", *[rng.choice(["", " "]) + "".join(rng.choice(words) + rng.choice(" \t\n\v\f\r") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 30))) for _ in range(150)]]
+    texts = [t.encode() for t in texts]
+    known = {}
+    for text, codes in zip(texts, substrings.codes_of_words(texts), strict=True):
+        assert codes.tolist() == substrings.word_codes(text).tolist()
+        for word, code in zip(text.split(), codes.tolist(), strict=True):
+            assert known.setdefault(word, code) == code
+    assert set(known) == {w.encode() for w in words} and len(set(known.values())) == len(known)
+
+
+def test_anchors_are_those_of_suffixes(texts, monkeypatch):
+    import numpy as np
+
+    from inkveil.llm import repeats, substrings, suffixes
+
+    monkeypatch.setattr(repeats, "SEGMENT", 500)
+    unit, rng = substrings.WORD_UNIT, np.random.default_rng(7)
+    found = 0
+    for seg in repeats.segments(substrings.codes_of_words([(t or "").encode() for t in texts]), unit.width):
+        at = np.flatnonzero(repeats._inside(seg, unit.width, len(seg.codes)))
+        at = at[rng.random(len(at)) < 0.9]
+        piece, first, n, before = trees.anchored(seg, at, unit)
+        assert list(zip(first.tolist(), (first + n - 1).tolist(), (first + before).tolist())) == [x[:3] for x in suffixes.anchored(seg, at, unit)]
+        assert (seg.start[piece] <= first).all() and (first + n - 1 < seg.start[piece] + seg.windows[piece]).all()
+        found += len(first)
+    assert found > 100
