@@ -6,7 +6,7 @@ page serves them all: a page never needs another page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import geometry as G, text as T
 
@@ -19,13 +19,26 @@ def _tasks(texts: DataFrame, pages: int = 40_000) -> int:
     return few if texts.isStreaming else max(few, texts.count() // pages)
 
 
-def lines_from_text(texts: DataFrame, keep=None, unit: int = 18, gap: int = 15, left: int = 50, top: int = 40, pitch: int = 60, height: int = 40) -> DataFrame:
+def tasks_by_chars(texts: DataFrame, chars: int = 8_000_000) -> int:
+    """As _tasks, for pages of any length whose words are all wanted: a window's sort holds some twenty times their characters."""
+    few = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    return max(few, (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // chars)
+
+
+def with_digits(page: Column) -> Column:
+    """Of an array of lines (row, line_no, line) those that a numeric word can be in."""
+    return F.filter(page, lambda s: s["line"].rlike("[0-9]"))
+
+
+def lines_from_text(
+    texts: DataFrame, keep=None, unit: int = 18, gap: int = 15, left: int = 50, top: int = 40, pitch: int = 60, height: int = 40, tasks: int | None = None
+) -> DataFrame:
     """lines(words) of pages set from plain text, whose rows are their lines: no window over the page's words.
 
     texts has doc_id, page_no and text, and width and height if these are wanted along.  Words
     are what spaces part; empty ones are dropped.  keep: from an array of lines (row, line_no,
     line) to those whose words are wanted, so that no other word leaves the scan.  Null texts
-    have no words.
+    have no words.  tasks: into how many parts pages are dealt, where their number does not tell.
     """
     if pitch * 2 < height:
         raise ValueError("rows of text that overlap by more than half are not lines")
@@ -36,7 +49,7 @@ def lines_from_text(texts: DataFrame, keep=None, unit: int = 18, gap: int = 15,
     # page_no goes through the generator: a constant one would be folded out of later keys but not of
     # this exchange, which would then serve none of them, and every step would shuffle the words anew.
     told = F.transform(numbered if keep is None else keep(numbered), lambda s: F.struct(F.col("page_no").alias("page_no"), s["row"].alias("row"), s["line_no"].alias("line_no"), s["line"].alias("line")))
-    each = texts.select("doc_id", *more, F.inline(told)).repartition(_tasks(texts), *PAGE)
+    each = texts.select("doc_id", *more, F.inline(told)).repartition(tasks or _tasks(texts), *PAGE)
     rows = each.select(*PAGE, *more, "row", "line_no", F.posexplode(F.filter(F.split("line", " ", -1), lambda w: w != "")).alias("pos", "text"))
     # By line_no, as in the windows of detectors, which then find the words in order.
     before = Window.partitionBy(*PAGE, "line_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,6 +73,20 @@ def words_from_text(texts: DataFrame, **metrics: int) -> DataFrame:
     return lines_from_text(texts.select(*PAGE, "text"), **metrics).drop("line_no", "pos")
 
 
+def lines_of_texts(texts: DataFrame, keep=None, tasks: int | None = None) -> DataFrame:
+    """lines(words_from_text(texts)); with keep, of a page that is one text only the lines that it wants.
+
+    Texts that share a page lie over each other; only these pages need windows over all their words.
+    """
+    texts = texts.select(*PAGE, "text")
+    shared = texts.groupBy(*PAGE).count().where("count > 1").select(F.col("doc_id").alias("_doc"), F.col("page_no").alias("_page"))
+    if shared.isEmpty():
+        return lines_from_text(texts, keep, tasks=tasks)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("page_no").eqNullSafe(F.col("_page"))
+    alone, over = (texts.join(shared, same, how) for how in ("left_anti", "left_semi"))
+    return lines_from_text(alone, keep, tasks=tasks).unionByName(lines(words_from_text(over, tasks=tasks)))
+
+
 def read_words(recognised: DataFrame) -> DataFrame:
     """Flattens an OCR result (blocks of paragraphs of lines of words, in a scaled raster) to words.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators.layout import words_from_text
+from ..operators.layout import lines_of_texts, tasks_by_chars, words_from_text
 from ..shared import dealt
 
 WIDTH, HEIGHT = 1000, 600
@@ -59,4 +59,10 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The documents' words and their pages."""
     texts = document_texts(spark, sf_dir)
-    return words_from_text(texts), texts.select("doc_id", "page_no", "width", "height")
+    return words_from_text(texts, tasks=tasks_by_chars(texts)), texts.select("doc_id", "page_no", "width", "height")
+
+
+def document_lines(spark: SparkSession, sf_dir: str, keep) -> DataFrame:
+    """The words of those of the documents' lines that keep wants, with line_no and pos."""
+    texts = document_texts(spark, sf_dir)
+    return lines_of_texts(texts, keep, tasks_by_chars(texts))
